@@ -8,6 +8,7 @@ texts count as empty, null ids stay null, repeated rows stay separate rows.
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import types
 import uuid
@@ -54,12 +55,16 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """The rows, once written to the shared folder: lineage ends there and an executor may go."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    df.write.option("compression", codec).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files of the finished steps go now, not when the driver's heap fills
+    return spark.read.schema(schema).parquet(path), path
 
 
 def task_cache() -> dict:
@@ -316,3 +321,36 @@ def read_bits(cell: bytes, n: int) -> np.ndarray:
 
 def parts_for(total_bytes: int) -> int:
     return max(12, -(-int(total_bytes) // EXCHANGE_BYTES))
+
+
+# ---------------------------------------------------------------- components
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of the undirected links (a, b): component is the smallest node; nodes without links are absent.
+
+    Large-star, small-star rounds: every round at least halves the depth of the
+    trees, and a node's neighbours only ever meet as a minimum, never as a list.
+    """
+    spark = links.sparkSession
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, path = written(edges, "links")
+    while True:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # large star: the larger neighbours of a node go to the node's minimum
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large, large_path = written(large, "large")
+        # small star: a node and its smaller neighbours go to their minimum
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small, small_path = written(small, "small")
+        changed = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
+        drop(spark, large_path)
+        drop(spark, path)
+        edges, path = small, small_path
+        if not changed:
+            break
+    found = edges.groupBy("a").agg(F.min("b").alias("component"))
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return found.select(F.col("a").alias("node"), "component").union(roots)

@@ -28,13 +28,15 @@ from snapgraph.llm.common import id_and_text, joined, slices, task_cache, writte
 from snapgraph.llm.pieces import PieceMemo
 
 SHARD_TOKENS = 1 << 20
-#: Tokens of one range of documents: a task writes them as several shards.
-RANGE_TOKENS = 1 << 22
+#: Text bytes of one range of documents: a task writes them as a few shards.
+RANGE_BYTES = 8 << 20
+#: Ranges whose first places are broadcast (16 bytes each); more are joined.
+BROADCAST_RANGES = 1 << 20
 END = 0
 #: The string of the vocabulary's special token, which the library finds in any text.
 SPECIALS = (b"<|endoftext|>",)
 STEP = 512
-SHARDS = "part int, shard int, n_tokens long, docs array<long>, ends array<long>, payload binary"
+SHARDS = "part int, shard int, first long, n_tokens long, docs array<long>, ends array<long>, payload binary"
 
 
 # ---------------------------------------------------------------- wavelet matrix
@@ -172,52 +174,62 @@ def ids_of(col: pa.Array, memo: PieceMemo):
     return np.split(ids, upto)[:-1]
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, check, narrow, ids: every whole text with the end id, 16 bits an id where that is enough."""
+ENCODED = "range int, doc_id long, n_tokens long, check long, narrow boolean, ids binary"
+
+
+def encoded(docs: DataFrame, path: str, bounds: tuple[int, ...] = ()) -> DataFrame:
+    """ENCODED: every whole text with the end id, 16 bits an id where that is enough; range: how many bounds its doc_id has reached."""
 
     def run(batches):
         memo = memo_for(path)
-        end = np.array([END], "<u4")
+        end, cuts = np.array([END], "<u4"), np.array(bounds, np.int64)
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
-                for own in ids_of(part.column(1), memo):
+                for doc, own in zip(part.column(0).to_pylist(), ids_of(part.column(1), memo)):
                     ids = np.concatenate([own, end]).astype("<u4")
                     narrow = bool(ids.max() < 1 << 16)
-                    rows.append((len(ids), zlib.crc32(ids), narrow, ids.astype("<u2").tobytes() if narrow else ids.tobytes()))
+                    place = len(cuts) if doc is None else int(np.searchsorted(cuts, doc, side="right"))
+                    rows.append((place, doc, len(ids), zlib.crc32(ids), narrow, ids.astype("<u2").tobytes() if narrow else ids.tobytes()))
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]))], names=["doc_id", "n_tokens", "check", "narrow", "ids"])
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["range", "doc_id", "n_tokens", "check", "narrow", "ids"])
+
+    return id_and_text(docs).mapInArrow(run, ENCODED)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, check long, narrow boolean, ids binary")
+
+def range_bounds(docs: DataFrame) -> tuple[int, ...]:
+    """Ids that cut the documents into ranges of about RANGE_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(-(-size // RANGE_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / ranges for k in range(1, ranges)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 4 * ranges))).first()[0] if shares else None
+    return tuple(sorted(set(found or ())))
 
 
 def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, str]:
     """Writes the shard files and returns them as read back, with their folder."""
-    ids, _ = written(encoded(docs, path), "ids")
-    total = ids.agg(F.sum("n_tokens")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_TOKENS))
-    late = F.col("doc_id").isNull()
-    ordered = ids.withColumn("late", late).repartitionByRange(ranges, "late", "doc_id", "check").sortWithinPartitions("late", "doc_id", "check")
+    bounds = range_bounds(docs)
+    ordered = encoded(docs, path, bounds).repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_last(), "check")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, shard = TaskContext.get().partitionId(), 0
+        shard, first, part = 0, 0, 0
         held, docs_held, ends, n = [], [], [], 0
 
         def flush():
             matrix = WaveletMatrix.build(np.concatenate(held))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([docs_held], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([matrix.dump()], pa.binary())],
-                names=["part", "shard", "n_tokens", "docs", "ends", "payload"],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([docs_held], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([matrix.dump()], pa.binary())],
+                names=["part", "shard", "first", "n_tokens", "docs", "ends", "payload"],
             )
 
         for batch in batches:
-            for doc, narrow, cell in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
+            for place, doc, narrow, cell in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5))):
                 own = np.frombuffer(cell, "<u2" if narrow else "<u4")
                 if n and n + len(own) > shard_tokens:
                     yield flush()
-                    held, docs_held, ends, n, shard = [], [], [], 0, shard + 1
+                    held, docs_held, ends, shard, first, n = [], [], [], shard + 1, first + n, 0
+                part = place
                 held.append(own)
                 docs_held.append(doc)
                 n += len(own)
@@ -225,7 +237,7 @@ def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -
         if n:
             yield flush()
 
-    return written(ordered.mapInArrow(run, SHARDS), "shards")
+    return written(ordered.mapInArrow(run, SHARDS), "shards", "zstd")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -234,21 +246,20 @@ def read_shards(shards: DataFrame) -> DataFrame:
     # One row per range of documents: the only list that one task sums.
     before = F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
-    within = F.sum("n_tokens").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    lengths = shards.select("part", "shard", "n_tokens").withColumn("inner", F.coalesce(within, F.lit(0))).join(starts, "part").select("part", "shard", (F.col("inner") + F.col("part_start")).alias("first"))
-    placed = shards.join(lengths, ["part", "shard"]).select("first", "docs", "ends", "payload")
+    few = starts.count() <= BROADCAST_RANGES
+    placed = shards.join(F.broadcast(starts) if few else starts, "part").select((F.col("part_start") + F.col("first")).alias("first"), "docs", "ends", "payload")
 
     def run(batches):
         for batch in batches:
             for first, docs, ends, payload in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 ids = WaveletMatrix.load(payload).decode().astype("<u4")
-                starts = [0, *ends[:-1]]
+                begins = [0, *ends[:-1]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(docs, pa.int64()),
-                        pa.array([first + s for s in starts], pa.int64()),
-                        pa.array([e - s for s, e in zip(starts, ends)], pa.int64()),
-                        pa.array([zlib.crc32(ids[s:e]) for s, e in zip(starts, ends)], pa.int64()),
+                        pa.array([first + s for s in begins], pa.int64()),
+                        pa.array([e - s for s, e in zip(begins, ends)], pa.int64()),
+                        pa.array([zlib.crc32(ids[s:e]) for s, e in zip(begins, ends)], pa.int64()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from snapgraph.llm import decontaminate, mixing, ngram_join, suffix_dedup, token_counts, token_output
+from snapgraph.llm import decontaminate, lm_score, mixing, ngram_join, suffix_dedup, token_counts, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_ngram_join, op8_token_output, op9_mixing)}
+    return {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_ngram_join, op8_token_output, op9_mixing, op10_lm_score)}
 
 
 def oracle_sql() -> dict:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op9_mixing": mixing.ORACLE, "op10_lm_score": lm_score.ORACLE}

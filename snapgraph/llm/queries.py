@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgraph.llm import decontaminate, lm_score, mixing, ngram_join, suffix_dedup, token_counts, token_output
+from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, suffix_dedup, token_counts, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined_components(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,7 +50,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_ngram_join, op8_token_output, op9_mixing, op10_lm_score)}
+    return {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_ngram_join, op6_toxicity, op7_nearest, op8_token_output, op9_mixing, op10_lm_score)}
 
 
 def oracle_sql() -> dict:

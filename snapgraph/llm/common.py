@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
+#: Bytes that go to a Python worker at once, so that two workers and the JVM fit an executor of 3 GB.
+BATCH_BYTES = 16 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of packed keys that one task of an exchange holds at a time.
 EXCHANGE_BYTES = 12 << 20
 
@@ -80,6 +83,9 @@ BLOCKS = "block long, ids array<long>, ends array<long>, text binary"
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns an operator works on, so other columns may have any name."""
+    spark = docs.sparkSession
+    if spark.conf.get(BATCH_CONF) == "67108864b":  # Spark's default; a setting of the user's stays
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

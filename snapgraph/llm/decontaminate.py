@@ -32,6 +32,8 @@ from snapgraph.llm.common import alnum_words, id_and_text, joined, lower_table,
 WINDOW = 10
 #: Characters of test texts that are broadcast at once; a larger test set is searched in blocks of this size.
 QUERY_CHARS = 8_000_000
+#: Candidate starts that a shard holds at once.
+CANDIDATES = 400_000
 INDEX = "ids array<long>, n_words array<int>, terms binary, term_ends binary, hashes binary, list_ends binary, gaps binary"
 
 
@@ -141,7 +143,7 @@ def occurrences(shard: Shard, phrases: dict, slop: int = 0) -> tuple[np.ndarray,
     counts = shard.list_ends[lead] - shard.list_starts[lead]
     found_phrase, found_start = [], []
     # Candidates are opened in runs of bounded size.
-    bounds = np.searchsorted(np.cumsum(counts), np.arange(0, int(counts.sum()) + 1, 2_000_000), side="left")
+    bounds = np.searchsorted(np.cumsum(counts), np.arange(0, int(counts.sum()) + 1, CANDIDATES), side="left")
     for low, high in zip(bounds, [*bounds[1:], len(live)]):
         own = np.arange(low, high)
         if not len(own):
@@ -188,7 +190,8 @@ def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0) -
         asked = pickle.loads(phrases.value)
         lengths = asked["lengths"]
         for batch in batches:
-            for ids, n_words, *cells in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):  # one shard at a time
+                ids, n_words, *cells = (c[k].as_py() for c in batch.columns)
                 shard = Shard(np.array(n_words, np.int64), *cells)
                 which, start = occurrences(shard, asked, slop)
                 edge = np.zeros(shard.n + 1, np.int32)

@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, suffix_dedup, token_counts, token_output, toxicity
+from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, pii, suffix_dedup, token_counts, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_ngram_join, op6_toxicity, op7_nearest, op8_token_output, op9_mixing, op10_lm_score)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_ngram_join, op6_toxicity, op7_nearest, op8_token_output, op9_mixing, op10_lm_score)}
 
 
 def oracle_sql() -> dict:

@@ -264,9 +264,9 @@ ROUTED = "part int, block long, space int, n int, keys binary, counts binary"
 REPLIES = "block long, part int, space int, n int, reply binary"
 
 
-def routes(block: int, space: int, keys: np.ndarray, counts: np.ndarray | None, parts: int):
-    """Rows of ROUTED for the ascending distinct keys of one block: each goes to the part of its high bits."""
-    width = (1 << 64) // parts + 1
+def routes(block: int, space: int, keys: np.ndarray, counts: np.ndarray | None, parts: int, bits: int = 64):
+    """Rows of ROUTED for the ascending distinct keys (of so many bits) of one block: each goes to the part of its high bits."""
+    width = (1 << bits) // parts + 1
     cuts = np.searchsorted(keys, np.array([k * width for k in range(1, parts)], dtype=np.uint64))
     at = 0
     for part, upto in enumerate([*cuts.tolist(), len(keys)]):
@@ -282,7 +282,9 @@ def routed_batch(rows: list) -> pa.RecordBatch:
 
 
 def answered(routed: DataFrame, answer) -> DataFrame:
-    """Sums the counts of equal keys over all blocks and sends each block what answer(sums) makes of its own keys.
+    """Sums the counts of equal keys over all blocks and sends each block what answer(sums, leads) makes of its own keys.
+
+    leads: True for exactly one of the blocks that hold the key.
 
     A block sends a key once, however often it holds it, so the rows of the
     commonest key are at most as many as the blocks.  Parts cut the space of
@@ -292,7 +294,7 @@ def answered(routed: DataFrame, answer) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         out = []
         for space in sorted(set(table.column("space").to_pylist())):
-            rows = [r for r in table.filter(pc.equal(table.column("space"), space)).to_pylist()]
+            rows = table.filter(pc.equal(table.column("space"), space)).to_pylist()
             keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
             counts = np.concatenate([np.ones(r["n"], np.int64) if r["counts"] is None else unpack_small(r["counts"], r["n"]) for r in rows])
             order = np.argsort(keys)
@@ -301,9 +303,11 @@ def answered(routed: DataFrame, answer) -> DataFrame:
             sums = np.add.reduceat(counts[order], first)
             per_key = np.empty(len(keys), np.int64)
             per_key[order] = np.repeat(sums, np.diff(first, append=len(keys)))
+            leads = np.zeros(len(keys), bool)
+            leads[order[first]] = True
             at = 0
             for r in rows:
-                out.append((r["block"], r["part"], space, r["n"], answer(per_key[at : at + r["n"]])))
+                out.append((r["block"], r["part"], space, r["n"], answer(per_key[at : at + r["n"]], leads[at : at + r["n"]])))
                 at += r["n"]
         columns = list(zip(*out))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()])], names=["block", "part", "space", "n", "reply"])
@@ -311,10 +315,14 @@ def answered(routed: DataFrame, answer) -> DataFrame:
     return routed.groupBy("part").applyInArrow(count, REPLIES)
 
 
-def repeated_bits(sums: np.ndarray) -> bytes:
+def repeated_bits(sums: np.ndarray, leads: np.ndarray) -> bytes:
     return np.packbits(sums > 1).tobytes()
 
 
+def sum_bytes(sums: np.ndarray, leads: np.ndarray) -> bytes:
+    return pack_small(sums)
+
+
 def in_order(replies: pa.Table, space: int, decode) -> np.ndarray:
     """The answers of one block, in the order of its keys."""
     rows = sorted((r for r in replies.to_pylist() if r["space"] == space), key=lambda r: r["part"])

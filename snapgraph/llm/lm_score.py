@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, answered, gram_hashes, in_order, lower_table, pack_small, parts_for, prefix_sums, routed_batch, routes, span_hashes, text_blocks, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, answered, gram_hashes, in_order, lower_table, parts_for, prefix_sums, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpack_small, words_of, written
 
 ALPHA = 0.4
 ORDER = 3
@@ -73,7 +73,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
                     rows += routes(row["block"], n, distinct, counts, parts)
                 yield routed_batch(rows)
 
-    counts = answered(blocks.mapInArrow(send, "part int, block long, space int, n int, keys binary, counts binary"), pack_small)
+    counts = answered(blocks.mapInArrow(send, "part int, block long, space int, n int, keys binary, counts binary"), sum_bytes)
 
     def finish(key, block: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []

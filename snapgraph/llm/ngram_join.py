@@ -157,7 +157,7 @@ def set_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
                 if rows:
                     yield routed_batch(rows)
 
-    def octave(sums: np.ndarray) -> bytes:
+    def octave(sums: np.ndarray, leads: np.ndarray) -> bytes:
         """0 for frequency 1, else how many bits the frequency has: a byte orders tokens well enough."""
         return np.where(sums > 1, np.ceil(np.log2(np.maximum(sums, 2))), 0).astype(np.uint8).tobytes()
 

@@ -11,8 +11,11 @@ sort is cut at that depth:
 2. Discard and recurse: samples whose name is unique leave.  What remains is
    named again at full depth in the next step, on the starts that a surviving
    name can reach (at most V-1 bytes before it) and on no others.
-3. Merge: those remaining suffixes, sampled or not, enter one sort on their
-   400-byte prefixes; neighbours with equal prefixes are repeats.
+3. Merge: those remaining suffixes, sampled or not, are merged into one order by
+   their 400-byte prefixes; neighbours with equal prefixes are repeats.  Runs of
+   adjoining starts go first as segments, cut by content: all starts of a segment
+   that occurs again are repeats, and one of each class of equal segments, with
+   the unique segments, enters the sort start by start.
 
 Sorting is by 64-bit fingerprints of the prefixes, not by their bytes: names need
 an order in which equal prefixes are neighbours, not the alphabet's.  Each sort
@@ -35,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import BLOCKS, answered, in_order, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, text_blocks, written
+from snapgraph.llm.common import BLOCKS, answered, drop, in_order, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, text_blocks, written
 
 DEPTH = 400
 #: A perfect difference set: every number under V is a difference of two of these modulo V.
 V = 183
 COVER = (0, 1, 8, 24, 37, 41, 59, 107, 119, 128, 134, 139, 153, 181)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Remaining starts are merged by segments of about so many, cut where the CONTEXT bytes at a start say so.
+SEGMENT, CONTEXT = 64, 16
 ROUTED = "part int, block long, space int, n int, keys binary, counts binary"
 
 
@@ -91,86 +96,169 @@ def reach(survivors: np.ndarray, begin: np.ndarray, ends: np.ndarray, shift: int
     return np.flatnonzero(np.cumsum(edge) > 0)
 
 
-def send(find):
-    """Routes the distinct names that find(data, ends, rest of the row) gives for each block."""
+def segments(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (inclusive, as indexes of starts) of runs of adjoining starts, cut where the text itself says so."""
+    if not len(starts):
+        return starts, starts
+    padded = np.concatenate([data, np.zeros(CONTEXT, np.uint8)])
+    cut = names(padded, starts, CONTEXT) % np.uint64(SEGMENT) == 0
+    cut[0] = True
+    cut[1:] |= np.diff(starts) != 1
+    first = np.flatnonzero(cut)
+    return first, np.append(first[1:], len(starts)) - 1
+
+
+def segment_names(data: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Fingerprints of all bytes that the 400-byte strings of each segment hold."""
+    out = np.empty(len(first), np.uint64)
+    run = 1 << 20
+    for low in range(0, len(first), 1 << 14):
+        a, b = starts[first[low : low + (1 << 14)]], starts[last[low : low + (1 << 14)]] + DEPTH
+        base = int(a[0])
+        if b.max() - base > 4 * run:  # very long segments: one by one
+            out[low : low + len(a)] = [int.from_bytes(hashlib.blake2b(data[x:y].tobytes(), digest_size=8).digest(), "little") if y - x > run else span_hashes(prefix_sums(data[x:y]), np.array([0]), np.array([y - x]))[0] for x, y in zip(a.tolist(), b.tolist())]
+        else:
+            out[low : low + len(a)] = span_hashes(prefix_sums(data[base : int(b.max())]), a - base, b - base)
+    return out
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, ends = np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64)
-                keys, counts = np.unique(find(data, ends, row), return_counts=True)
-                rows = list(routes(row["block"], 0, keys, np.minimum(counts, 2), row["parts"]))
-                if rows:
-                    yield routed_batch(rows)
 
-    return run
+def runs_of(row: dict) -> np.ndarray:
+    return np.concatenate([np.arange(a, b + 1) for a, b in zip(row["low"], row["high"])]) if row["low"] else np.zeros(0, np.int64)
+
+
+def two_bits(sums: np.ndarray, leads: np.ndarray) -> bytes:
+    return (np.packbits(sums > 1)).tobytes() + np.packbits(leads).tobytes()
+
+
+def read_two_bits(cell: bytes, n: int) -> np.ndarray:
+    """1: repeated, 2: this block leads."""
+    half = len(cell) // 2
+    return read_bits(cell[:half], n).astype(np.int8) + 2 * read_bits(cell[half:], n).astype(np.int8)
+
+
+class Remaining:
+    """The starts of a block that are left after the sample, by segment, and what is known of them."""
+
+    def __init__(self, row: dict, replies: pa.Table | None):
+        self.data, self.ends = np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64)
+        self.starts = runs_of(row)
+        first, last = segments(self.data, self.starts)
+        self.sizes = last - first + 1
+        self.keys, self.first_of, self.inverse = np.unique(segment_names(self.data, self.starts, first, last), return_index=True, return_inverse=True)
+        if replies is not None:
+            state = in_order(replies, 1, read_two_bits)
+            here = np.bincount(self.inverse, minlength=len(self.keys))
+            self.repeated = ((state & 1).astype(bool) | (here > 1))[self.inverse]
+            # Every segment that is unique, and one of each class of equal ones, go on.
+            leads = np.zeros(len(self.inverse), bool)
+            leads[self.first_of] = (state & 2).astype(bool)
+            self.sent = np.repeat(leads | ~self.repeated, self.sizes)
+
+    def names(self) -> np.ndarray:
+        return names(self.data, self.starts[self.sent], DEPTH)
+
+
+REMAIN = BLOCKS + ", low array<long>, high array<long>, done array<struct<doc_id: long, n_bytes: long, kept_sha256: string>>"
 
 
 def removed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if depth != DEPTH or not is_cover(COVER, V):
         raise ValueError("the cover is made for this depth")
+    spark = docs.sparkSession
     width = DEPTH - V + 1
-    blocks, _ = written(text_blocks(docs), "blocks")
+    blocks, blocks_path = written(text_blocks(docs), "blocks")
     size = blocks.agg(F.sum(F.length("text"))).first()[0] or 0
+    # The sample only filters, so its names need just so many bits that few unlike ones meet.
+    bits = min(64, max(32, int(size * len(COVER) // V + 1).bit_length() + 12))
     sample_parts = parts_for(size * 8 * len(COVER) // V)
 
-    def sampled(data, ends, row):
-        return names(data, sample_starts(begins(ends), ends, width), width)
+    def sample(data, ends):
+        starts = sample_starts(begins(ends), ends, width)
+        return starts, names(data, starts, width) >> np.uint64(64 - bits)
 
-    first = answered(blocks.withColumn("parts", F.lit(sample_parts)).mapInArrow(send(sampled), ROUTED), repeated_bits)
+    def send_sample(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in ("block", "ends", "text")}
+                _, own = sample(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64))
+                keys, counts = np.unique(own, return_counts=True)
+                rows = list(routes(row["block"], 0, keys, np.minimum(counts, 2), sample_parts, bits))
+                if rows:
+                    yield routed_batch(rows)
 
     def survive(key, block: pa.Table, replies: pa.Table) -> pa.Table:
-        """Keeps of a block the runs of starts that a surviving name reaches."""
-        out = {"block": [], "ids": [], "ends": [], "text": [], "low": [], "high": []}
+        """Keeps of a block the texts, and in them the runs of starts, that a surviving name reaches; the others are done."""
+        out: dict[str, list] = {"block": [], "ids": [], "ends": [], "text": [], "low": [], "high": [], "done": []}
         for row in block.to_pylist():
             data, ends = np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64)
             begin = begins(ends)
-            starts = sample_starts(begin, ends, width)
-            own = names(data, starts, width)
-            distinct, inverse = np.unique(own, return_inverse=True)
-            bits = in_order(replies, 0, read_bits)
-            again = starts[bits[inverse]] if len(distinct) else starts
-            places = reach(again, begin, ends, V - 1)
+            starts, own = sample(data, ends)
+            if len(own):
+                _, inverse = np.unique(own, return_inverse=True)
+                starts = starts[in_order(replies, 0, read_bits)[inverse]]
+            places = reach(starts, begin, ends, V - 1)
             steps = np.flatnonzero(np.diff(places, prepend=-2) != 1)
-            for k in ("block", "ids", "ends", "text"):
-                out[k].append(row[k])
-            out["low"].append(places[steps])
-            out["high"].append(places[np.append(steps[1:], len(places)) - 1] if len(places) else places)
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
-
-    remain, _ = written(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(survive, BLOCKS + ", low array<long>, high array<long>"), "remain")
+            low, high = places[steps], places[np.append(steps[1:], len(places)) - 1] if len(places) else places
+            # A run of starts stays in one text: texts are set apart by a byte that no start reaches.
+            text = np.searchsorted(ends, low, side="right")
+            keep = np.zeros(len(ends), bool)
+            keep[text] = True
+            lengths = ends - begin + 1
+            shift = np.cumsum(np.where(keep, 0, lengths))
+            out["block"].append(row["block"])
+            out["ids"].append([d for d, k in zip(row["ids"], keep) if k])
+            out["ends"].append((ends - shift)[keep])
+            out["text"].append(b"".join(row["text"][a : b + 1] for a, b, k in zip(begin.tolist(), ends.tolist(), keep) if k))
+            out["low"].append(low - shift[text])
+            out["high"].append(high - shift[text])
+            out["done"].append([{"doc_id": d, "n_bytes": b - a, "kept_sha256": hashlib.sha256(data[a:b]).hexdigest()} for d, a, b, k in zip(row["ids"], begin.tolist(), ends.tolist(), keep) if not k])
+        longs, done = pa.list_(pa.int64()), pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept_sha256", pa.string())]))
+        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out.values(), [pa.int64(), longs, longs, pa.binary(), longs, longs, done])], names=list(out))
+
+    first = answered(blocks.mapInArrow(send_sample, ROUTED), repeated_bits)
+    remain, _ = written(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(survive, REMAIN), "remain")
+    drop(spark, blocks_path)
     places = remain.agg(F.sum(F.aggregate(F.zip_with("high", "low", lambda h, l: h - l + 1), F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    merge_parts = parts_for(places * 8)
+    segment_parts, merge_parts = parts_for(places * 8 // SEGMENT), parts_for(places * 4)
+    some = remain.where("size(low) > 0").drop("done")
 
-    def merged(data, ends, row):
-        return names(data, runs_of(row), DEPTH)
+    def send_segments(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in ("block", "ends", "text", "low", "high")}
+                left = Remaining(row, None)
+                yield routed_batch(list(routes(row["block"], 1, left.keys, None, segment_parts)))
 
-    second = answered(remain.where("size(low) > 0").withColumn("parts", F.lit(merge_parts)).mapInArrow(send(merged), ROUTED), repeated_bits)
+    def send_starts(key, block: pa.Table, replies: pa.Table) -> pa.Table:
+        rows: list = []
+        for row in block.to_pylist():
+            keys, counts = np.unique(Remaining(row, replies).names(), return_counts=True)
+            rows += routes(row["block"], 2, keys, np.minimum(counts, 2), merge_parts)
+        return pa.Table.from_batches([routed_batch(rows)])
 
     def finish(key, block: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in block.to_pylist():
-            data, ends = np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64)
-            starts = runs_of(row)
-            gone = np.zeros(len(data) + 1, np.int32)
-            if len(starts):
-                _, inverse = np.unique(names(data, starts, DEPTH), return_inverse=True)
-                again = starts[in_order(replies, 0, read_bits)[inverse]]
-                gone[again] += 1
-                gone[again + DEPTH] -= 1
+            left = Remaining(row, replies)
+            again = np.repeat(left.repeated, left.sizes)
+            if left.sent.any():
+                _, inverse = np.unique(left.names(), return_inverse=True)
+                again[left.sent] |= in_order(replies, 2, read_bits)[inverse]
+            gone = np.zeros(len(left.data) + 1, np.int32)
+            gone[left.starts[again]] += 1
+            gone[left.starts[again] + DEPTH] -= 1
             gone = np.cumsum(gone[:-1]) > 0
-            for doc, a, b in zip(row["ids"], begins(ends).tolist(), ends.tolist()):
+            for doc, a, b in zip(row["ids"], begins(left.ends).tolist(), left.ends.tolist()):
                 lost = gone[a:b]
                 count = int(np.count_nonzero(lost))
                 spans = int(np.count_nonzero(np.diff(lost.astype(np.int8), prepend=np.int8(0)) == 1)) if count else 0
-                out.append((doc, b - a, count, spans, hashlib.sha256(data[a:b][~lost] if count else data[a:b]).hexdigest()))
+                out.append((doc, b - a, count, spans, hashlib.sha256(left.data[a:b][~lost] if count else left.data[a:b]).hexdigest()))
         columns = list(zip(*out)) if out else [[]] * 5
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return remain.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(finish, RESULT)
-
-
-def runs_of(row: dict) -> np.ndarray:
-    return np.concatenate([np.arange(a, b + 1) for a, b in zip(row["low"], row["high"])]) if row["low"] else np.zeros(0, np.int64)
+    second, _ = written(answered(some.mapInArrow(send_segments, ROUTED), two_bits), "segments")
+    third, _ = written(answered(some.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(send_starts, ROUTED), repeated_bits), "starts")
+    found = some.groupBy("block").cogroup(second.unionByName(third).groupBy("block")).applyInArrow(finish, RESULT)
+    done = remain.select(F.explode("done").alias("d")).select("d.doc_id", "d.n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "d.kept_sha256")
+    return found.unionByName(done)

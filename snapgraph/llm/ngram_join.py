@@ -1,10 +1,10 @@
 """Jaccard self-join of word-shingle sets by a token-group matrix; the result is the components of its links.
 
-1. Equal sets become one class; its smallest document stands for it.
+1. Equal sets become one class; its first document stands for it.
 2. The document frequency of every shingle (packed exchange) orders the shingles
    of each set, rare ones first.  Two sets with similarity t share a shingle among
-   the first n - ceil(t n) + 1 of each (prefix), so only those of frequency over 1
-   are listed: rows (token, set).
+   the first n - ceil(t n) + 1 of each (prefix), so only those that other
+   classes hold too are listed: rows (token, set).
 3. Partition: each set goes to the group of the leader (smallest set of a
    token's list) that most of its tokens name.  Groups over ``GROUP_BYTES`` are
    split, the leader in each piece.  A group keeps its sets, its token union and
@@ -28,16 +28,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import answered, components, drop, gram_hashes, id_and_text, in_order, joined, lower_table, parts_for, prefix_sums, routed_batch, routes, slices, span_hashes, spaced_words, text_blocks, words_of, written
+from snapgraph.llm.common import answered, components, drop, gram_hashes, in_order, lower_table, pack_sorted, parts_for, prefix_sums, routed_batch, routes, span_hashes, spaced_words, sum_bytes, text_blocks, unpack_small, unpack_sorted, words_of, written
 
 WORDS = 4
 #: Linked: 100 * intersection >= PERCENT * union, in whole numbers.
 PERCENT = 85
 GROUP_BYTES = 6 << 20
-SIZES = "doc_id long, n_shingles long, set_id long"
+SIZES = "block long, k int, doc_id long, n_shingles long, set_id long"
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int):
@@ -72,16 +73,24 @@ def linked(overlap, n, m, percent: int):
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set)."""
+def row_sets(row: dict, words: int) -> list[np.ndarray]:
+    return list(shingle_sets(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64), words))
+
+
+def sizes(blocks: DataFrame, words: int = WORDS) -> DataFrame:
+    """block, k (place in the block), doc_id, n_shingles, set_id (null for an empty set)."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = list(shingle_sets(*joined(part.column(1)), words))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            for j in range(batch.num_rows):
+                row = {n: batch.column(n)[j].as_py() for n in ("block", "ids", "ends", "text")}
+                sets = row_sets(row, words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int32()), pa.array(row["ids"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
+                    names=["block", "k", "doc_id", "n_shingles", "set_id"],
+                )
 
-    return id_and_text(docs).mapInArrow(run, SIZES)
+    return blocks.mapInArrow(run, SIZES)
 
 
 def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -126,61 +135,68 @@ def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
 
 def joined_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    light, _ = written(sizes(docs, words), "sizes")
-    classes, _ = written(light.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")), "classes")
-    links = set_links(docs, classes, words, percent)
+    blocks, path = written(text_blocks(docs), "blocks")
+    light, _ = written(sizes(blocks, words), "sizes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "block", "k")).alias("first")
+    classes, _ = written(light.where("set_id is not null").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies")).select("set_id", "first.doc_id", "first.block", "first.k", "copies"), "classes")
+    links = set_links(blocks, path, classes, words, percent)
     return labelled(light, classes, links)
 
 
 def labelled(light: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     nodes = components(links)
-    of_set = classes.join(nodes, classes["set_id"] == nodes["node"], "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
-    smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_set = classes.join(nodes, classes["set_id"] == nodes["node"], "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
+    smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named, _ = written(of_set.join(smallest, "component").select(F.col("set_id").alias("s"), "component_id"), "named")
-    return light.join(named, light["set_id"] == named["s"], "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return light.join(named, light["set_id"] == named["s"], "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def set_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links between set ids that join all similar classes."""
-    spark = docs.sparkSession
-    ours = id_and_text(docs).join(classes.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    blocks, blocks_path = written(text_blocks(ours), "blocks")
+    spark = blocks.sparkSession
     total = blocks.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = parts_for(total)
+    # Frequencies only order shingles, so their names need just so many bits that few unlike ones meet.
+    bits = min(64, max(32, int(total // 6 + 1).bit_length() + 11))
+    cut = np.uint64(64 - bits)
+    parts = parts_for(total // 2)
+
+    def names_of(sets: list[np.ndarray]):
+        return np.unique(np.concatenate(sets) >> cut, return_counts=True)
 
     def send(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                sets = list(shingle_sets(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64), words))
-                keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-                rows = list(routes(row["block"], 0, keys, counts, parts))
+            for j in range(batch.num_rows):
+                row = {n: batch.column(n)[j].as_py() for n in ("block", "ends", "text")}
+                keys, counts = names_of(row_sets(row, words))
+                rows = list(routes(row["block"], 0, keys, counts, parts, bits))
                 if rows:
                     yield routed_batch(rows)
 
-    def octave(sums: np.ndarray, leads: np.ndarray) -> bytes:
-        """0 for frequency 1, else how many bits the frequency has: a byte orders tokens well enough."""
-        return np.where(sums > 1, np.ceil(np.log2(np.maximum(sums, 2))), 0).astype(np.uint8).tobytes()
-
-    replies = answered(blocks.mapInArrow(send, "part int, block long, space int, n int, keys binary, counts binary"), octave)
+    replies, _ = written(answered(blocks.mapInArrow(send, "part int, block long, space int, n int, keys binary, counts binary"), sum_bytes), "degrees")
+    # The first document of each class, as rows of the same shape: its place and its class's copies.
+    firsts = classes.select("block", F.col("k").alias("part"), F.lit(1).alias("space"), F.col("copies").cast("int").alias("n"), F.lit(None).cast("binary").alias("reply"))
 
     def listed(key, block: pa.Table, answers: pa.Table) -> pa.Table:
-        """Sets with a listed prefix token: set_id, n, their shingles, and those tokens."""
+        """Of the first documents, those with a listed prefix token: set id, n, shingles, and those tokens."""
         rows = []
         for row in block.to_pylist():
-            sets = list(shingle_sets(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64), words))
-            keys = np.unique(np.concatenate(sets))
-            degree = in_order(answers, 0, lambda cell, n: np.frombuffer(cell, np.uint8))
-            for own in sets:
+            sets = row_sets(row, words)
+            keys, _ = names_of(sets)
+            ours = answers.filter(pc.equal(answers.column("space"), 1))
+            degree = in_order(answers, 0, unpack_small)
+            # 0 for frequency 1, else how many bits the frequency has: fine enough an order.
+            octave = np.ceil(np.log2(np.maximum(degree, 1))).astype(np.uint8)
+            for k, copies in zip(ours.column("part").to_pylist(), ours.column("n").to_pylist()):
+                own = sets[k]
                 n = len(own)
-                if n:
-                    rank = degree[np.searchsorted(keys, own)]
-                    prefix = np.lexsort((own, rank))[: n - need(n, percent) + 1]
-                    tokens = own[prefix[rank[prefix] > 0]]
-                    if len(tokens):
-                        rows.append((set_id(own), n, own.tobytes(), tokens.view(np.int64)))
+                at = np.searchsorted(keys, own >> cut)
+                prefix = np.lexsort((own, octave[at]))[: n - need(n, percent) + 1]
+                tokens = own[prefix[degree[at[prefix]] > copies]]
+                if len(tokens):
+                    rows.append((set_id(own), n, own.tobytes(), tokens.view(np.int64)))
         return _table(rows, ["x", "n", "keys", "tokens"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])
 
-    active, _ = written(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(listed, "x long, n long, keys binary, tokens array<long>"), "active")
+    active, _ = written(blocks.groupBy("block").cogroup(replies.unionByName(firsts).groupBy("block")).applyInArrow(listed, "x long, n long, keys binary, tokens array<long>"), "active")
     drop(spark, blocks_path)
     tokens, _ = written(active.select("x", F.explode("tokens").alias("token")), "tokens")
 
@@ -204,12 +220,12 @@ def set_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
         links = local_links(names, sets, percent)
         union = np.unique(np.concatenate(sets))
         return _table(
-            [(key[0].as_py(), names, [len(s) for s in sets], np.concatenate(sets).tobytes(), union.tobytes(), [a for a, _ in links], [b for _, b in links])],
-            ["g", "ids", "n", "sets", "union", "a", "b"],
-            [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())],
+            [(key[0].as_py(), names, [len(s) for s in sets], np.concatenate(sets).tobytes(), len(union), pack_sorted(union), [a for a, _ in links], [b for _, b in links])],
+            ["g", "ids", "n", "sets", "n_union", "union", "a", "b"],
+            [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())],
         )
 
-    schema = "g long, ids array<long>, n array<long>, sets binary, union binary, a array<long>, b array<long>"
+    schema = "g long, ids array<long>, n array<long>, sets binary, n_union long, union binary, a array<long>, b array<long>"
     groups, _ = written(placed.join(active.select("x", "keys"), "x").groupBy("g").applyInArrow(group, schema), "groups")
     inner = groups.select(F.explode(F.arrays_zip("a", "b")).alias("l")).select("l.a", "l.b")
     inner, _ = written(inner, "inner")
@@ -231,7 +247,7 @@ def set_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
     def open_group(key, asks: pa.Table, held: pa.Table) -> pa.Table:
         found = []
         for row in held.to_pylist():
-            union = np.frombuffer(row["union"], np.uint64)
+            union = unpack_sorted(row["union"], row["n_union"])
             n = np.array(row["n"], np.int64)
             bounds = np.concatenate([[0], np.cumsum(n)])
             every = np.frombuffer(row["sets"], np.uint64)
@@ -244,5 +260,5 @@ def set_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
                         found.append((x, row["ids"][k]))
         return _table(found, ["a", "b"], [pa.int64(), pa.int64()])
 
-    outer = queries.groupBy("g").cogroup(groups.select("g", "ids", "n", "sets", "union").groupBy("g")).applyInArrow(open_group, "a long, b long")
+    outer = queries.groupBy("g").cogroup(groups.select("g", "ids", "n", "sets", "n_union", "union").groupBy("g")).applyInArrow(open_group, "a long, b long")
     return inner.union(outer)

@@ -70,6 +70,11 @@ def written(df: DataFrame, tag: str, codec: str = "snappy") -> tuple[DataFrame,
     return spark.read.schema(schema).parquet(path), path
 
 
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """The rows, written once with a number each, so that repeated rows and null ids stay apart."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")[0]
+
+
 def task_cache() -> dict:
     """What a Python worker keeps between tasks (tokenizers, memo tables)."""
     holder = sys.modules.setdefault("_snapgraph_worker_cache", types.ModuleType("_snapgraph_worker_cache"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, id_and_text, joined, lower_table, pack_small, prefix_sums, slices, span_hashes, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, id_and_text, joined, lower_table, numbered, pack_small, prefix_sums, slices, span_hashes, unpack_small, words_of, written
 
 WINDOW = 10
 #: Characters of test texts that are broadcast at once; a larger test set is searched in blocks of this size.
@@ -264,3 +264,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             yield _digest(b.column(0), b.column(1), runs, b.column(3).to_pylist())
 
     return met.mapInArrow(merged, DIGEST)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows, with all their columns, whose text holds no window of the test set."""
+    rows = numbered(docs)
+    hit = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_row"))
+    hit, _ = written(hit, "hit")
+    return rows.join(hit, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import answered, components, drop, gram_hashes, in_order, lower_table, pack_sorted, parts_for, prefix_sums, routed_batch, routes, span_hashes, spaced_words, sum_bytes, text_blocks, unpack_small, unpack_sorted, words_of, written
+from snapgraph.llm.common import answered, components, drop, gram_hashes, in_order, lower_table, numbered, pack_sorted, parts_for, prefix_sums, routed_batch, routes, span_hashes, spaced_words, sum_bytes, text_blocks, unpack_small, unpack_sorted, words_of, written
 
 WORDS = 4
 #: Linked: 100 * intersection >= PERCENT * union, in whole numbers.
@@ -262,3 +262,12 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
 
     outer = queries.groupBy("g").cogroup(groups.select("g", "ids", "n", "sets", "n_union", "union").groupBy("g")).applyInArrow(open_group, "a long, b long")
     return inner.union(outer)
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, of one document of each component: the smallest doc_id, then the first row.  Texts without words stay."""
+    rows = numbered(docs)
+    found = joined_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
+    found, _ = written(found.select(F.col("doc_id").alias("_row"), "component_id"), "found")
+    ranked = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row")).alias("first"))
+    return rows.join(ranked.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -266,16 +266,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model([r["text"] for r in rows], np.array([int(r["toxic"] > 0) for r in rows]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score."""
+def shipped(docs: DataFrame, model: Model):
+    """A function for executors that gives (model, memo), made once in each worker."""
     packed = cloudpickle.dumps(model)
     spread, tag = docs.sparkSession.sparkContext.broadcast(packed), hashlib.sha256(packed).hexdigest()
 
-    def run(batches):
+    def fetch():
         cache = task_cache()
         if ("toxic", tag) not in cache:
             cache["toxic", tag] = pickle.loads(spread.value), {}
-        model, memo = cache["toxic", tag]
+        return cache["toxic", tag]
+
+    return fetch
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score."""
+    fetch = shipped(docs, model)
+
+    def run(batches):
+        model, memo = fetch()
         for batch in batches:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1).to_pylist(), memo), pa.float64())], names=["doc_id", "score"])
@@ -283,6 +293,21 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores under ``least``."""
+    fetch = shipped(docs, model)
+
+    def run(batches):
+        model, memo = fetch()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(model.scores(texts, memo) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     return scored(docs, fit(docs, labels)).select("doc_id", F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -121,10 +121,10 @@ def joined(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, ends = raw(col)
     n = len(ends)
     out = np.full(len(data) + n, 10, dtype=np.uint8)
-    if n:
-        lengths = np.diff(ends, prepend=0)
-        shift = np.repeat(np.arange(n), lengths)
-        out[np.arange(len(data)) + shift] = data
+    at = 0
+    for k, end in enumerate(ends.tolist()):
+        out[at + k : end + k] = data[at:end]
+        at = end
     return out, ends + np.arange(n)
 
 
@@ -186,7 +186,9 @@ def prefix_sums(data: np.ndarray, seed: int = 1) -> np.ndarray:
     """Polynomial prefix sums mod 2^64, one longer than the data."""
     table = _mix_table(seed)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * _powers(_BASE, len(data)), out=out[1:])
+    terms = table[data]
+    terms *= _powers(_BASE, len(data))
+    np.cumsum(terms, out=out[1:])
     return out
 
 

@@ -33,7 +33,9 @@ WINDOW = 10
 #: Characters of test texts that are broadcast at once; a larger test set is searched in blocks of this size.
 QUERY_CHARS = 8_000_000
 #: Candidate starts that a shard holds at once.
-CANDIDATES = 400_000
+CANDIDATES = 200_000
+#: Text bytes of a shard.
+SHARD_BYTES = 1 << 20
 INDEX = "ids array<long>, n_words array<int>, terms binary, term_ends binary, hashes binary, list_ends binary, gaps binary"
 
 
@@ -48,7 +50,7 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, str]:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SHARD_BYTES):
                 data, text_ends = joined(part.column(1))
                 low, starts, ends = word_spans(data)
                 n_words = np.diff(np.searchsorted(starts, text_ends), prepend=0)

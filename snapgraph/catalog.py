@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from snapgraph.plans import queries_graph
+
+
+def _all() -> dict:
+    return dict(queries_graph.QUERIES)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from snapgraph.plans import queries_graph
+from snapgraph.plans import queries_graph, queries_maps, queries_seq
 
 
 def _all() -> dict:
-    return dict(queries_graph.QUERIES)
+    return queries_graph.QUERIES | queries_maps.QUERIES | queries_seq.QUERIES
 
 
 def queries() -> dict:

@@ -218,7 +218,7 @@ def find_if(a: DataFrame, condition: Column) -> DataFrame:
 
 
 def quantifiers(a: DataFrame, condition: Column) -> DataFrame:
-    return a.agg(F.coalesce(F.bool_and(condition), F.lit(True)).alias("all_of"), F.coalesce(F.bool_or(condition), F.lit(False)).alias("any_of"), ~F.coalesce(F.bool_or(condition), F.lit(False)).alias("none_of"))
+    return a.agg(F.coalesce(F.bool_and(condition), F.lit(True)).alias("all_of"), F.coalesce(F.bool_or(condition), F.lit(False)).alias("any_of"), (~F.coalesce(F.bool_or(condition), F.lit(False))).alias("none_of"))
 
 
 def find_first_of(a: DataFrame, values: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, n_backoff (words not scored by their longest n-gram), score (mean log10 of a word)."""
     blocks, _ = written(text_blocks(docs), "blocks")
     size = blocks.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = parts_for(2 * size)
+    parts = parts_for(3 * size)
 
     def send(batches):
         for batch in batches:

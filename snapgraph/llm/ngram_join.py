@@ -158,7 +158,7 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
     # Frequencies only order shingles, so their names need just so many bits that few unlike ones meet.
     bits = min(64, max(32, int(total // 6 + 1).bit_length() + 11))
     cut = np.uint64(64 - bits)
-    parts = parts_for(total // 2)
+    parts = parts_for(total * 8 // 6)
 
     def names_of(sets: list[np.ndarray]):
         return np.unique(np.concatenate(sets) >> cut, return_counts=True)

@@ -220,7 +220,7 @@ def removed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     remain, _ = written(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(survive, REMAIN), "remain")
     drop(spark, blocks_path)
     places = remain.agg(F.sum(F.aggregate(F.zip_with("high", "low", lambda h, l: h - l + 1), F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    segment_parts, merge_parts = parts_for(places * 8 // SEGMENT), parts_for(places * 4)
+    segment_parts, merge_parts = parts_for(places * 8 // SEGMENT), parts_for(places * 8)
     some = remain.where("size(low) > 0").drop("done")
 
     def send_segments(batches):

@@ -2,7 +2,9 @@
 
 Count tables of 1-, 2- and 3-grams are partitioned by the n-gram's hash; the
 n-grams of each block of documents are joined to them there and the counts go
-back to the block, where they are summed per document.  A document is scored by
+back to the block, where they are summed per document.  A first join on short
+hashes finds the n-grams that occur only once in the corpus (count 1, nothing
+more to ask); all others are counted by their whole 64-bit hash.  A document is scored by
 the rest of the corpus: its own occurrences are taken off every count first.
 
   S(w | u v) = c(u v w) / c(u v)                     if c(u v w) > 0
@@ -23,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, answered, gram_hashes, in_order, lower_table, parts_for, prefix_sums, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, answered, gram_hashes, in_order, lower_table, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpack_small, words_of, written
 
 ALPHA = 0.4
 ORDER = 3
+#: Spaces of the exchange: 1 to ORDER for short names, FULL + n for whole ones, TOTAL for the words of all texts.
+FULL, TOTAL = 10, 0
+ROUTED = "part int, block long, space int, n int, keys binary, counts binary"
 SCORES = "doc_id long, n_words long, n_backoff long, score double"
 
 
@@ -61,27 +66,53 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, n_backoff (words not scored by their longest n-gram), score (mean log10 of a word)."""
     blocks, _ = written(text_blocks(docs), "blocks")
     size = blocks.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = parts_for(3 * size)
+    # Short names are enough to see that an n-gram occurs once; only a few others share them.
+    bits = min(64, max(32, int(size // 2 + 1).bit_length() + 11))
+    cut, parts = np.uint64(64 - bits), parts_for(4 * size)
 
-    def send(batches):
+    def send_short(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                n_words, orders = grams_of(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64))
-                rows = list(routes(row["block"], 0, np.zeros(1, np.uint64), np.array([int(n_words.sum())]), parts))
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in ("block", "ends", "text")}
+                _, orders = grams_of(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64))
+                rows = []
                 for n, (keys, has) in enumerate(orders, 1):
-                    distinct, counts = np.unique(keys[has], return_counts=True)
-                    rows += routes(row["block"], n, distinct, counts, parts)
+                    distinct, counts = np.unique(keys[has] >> cut, return_counts=True)
+                    rows += routes(row["block"], n, distinct, np.minimum(counts, 2), parts, bits)
                 yield routed_batch(rows)
 
-    counts = answered(blocks.mapInArrow(send, "part int, block long, space int, n int, keys binary, counts binary"), sum_bytes)
+    short, _ = written(answered(blocks.mapInArrow(send_short, ROUTED), repeated_bits), "short")
+
+    def shared(keys: np.ndarray, has: np.ndarray, replies: pa.Table, n: int):
+        """The distinct n-grams of a block, their counts in it, and which of them may occur again."""
+        distinct, counts = np.unique(keys[has], return_counts=True)
+        names = np.unique(distinct >> cut)
+        return distinct, counts, in_order(replies, n, read_bits).astype(bool)[np.searchsorted(names, distinct >> cut)] if len(distinct) else np.zeros(0, bool)
+
+    def send_counts(key, block: pa.Table, replies: pa.Table) -> pa.Table:
+        rows: list = []
+        for row in block.to_pylist():
+            n_words, orders = grams_of(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64))
+            rows += routes(row["block"], TOTAL, np.zeros(1, np.uint64), np.array([int(n_words.sum())]), parts)
+            for n, (keys, has) in enumerate(orders, 1):
+                distinct, counts, again = shared(keys, has, replies, n)
+                rows += routes(row["block"], FULL + n, distinct[again], counts[again], parts)
+        return pa.Table.from_batches([routed_batch(rows)])
+
+    full, _ = written(answered(blocks.groupBy("block").cogroup(short.groupBy("block")).applyInArrow(send_counts, ROUTED), sum_bytes), "counts")
 
     def finish(key, block: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
         for row in block.to_pylist():
             n_words, orders = grams_of(np.frombuffer(row["text"], np.uint8), np.array(row["ends"], np.int64))
             doc = np.repeat(np.arange(len(n_words)), n_words)
-            total = int(in_order(replies, 0, unpack_small)[0])
-            c = [others(keys, has, doc, in_order(replies, n, unpack_small)) for n, (keys, has) in enumerate(orders, 1)]
+            total = int(in_order(replies, TOTAL, unpack_small)[0])
+            c = []
+            for n, (keys, has) in enumerate(orders, 1):
+                distinct, _, again = shared(keys, has, replies, n)
+                totals = np.ones(len(distinct), np.int64)
+                totals[again] = in_order(replies, FULL + n, unpack_small)
+                c.append(others(keys, has, doc, totals))
             rest = (total - n_words)[doc].astype(np.float64)
             value = np.where(c[0] > 0, c[0] / np.maximum(rest, 1.0), 1.0 / (rest + 1.0))
             top = c[0] > 0
@@ -99,7 +130,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         columns = list(zip(*rows)) if rows else [[]] * 4
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.float64()])], names=["doc_id", "n_words", "n_backoff", "score"])
 
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(finish, SCORES)
+    return blocks.groupBy("block").cogroup(short.unionByName(full).groupBy("block")).applyInArrow(finish, SCORES)
 
 
 #: The same scores in DuckDB.

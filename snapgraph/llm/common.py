@@ -29,6 +29,10 @@ EXCHANGE_BYTES = 8 << 20
 
 # ---------------------------------------------------------------- scratch
 
+#: Cells of a megabyte are common here: sizes of pages and row groups are looked at from
+#: the first row on, else the writer gathers a hundred such cells in direct memory.
+WRITES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder."""
@@ -62,7 +66,10 @@ def written(df: DataFrame, tag: str, codec: str = "snappy") -> tuple[DataFrame,
     """The rows, once written to the shared folder: lineage ends there and an executor may go."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    for name, value in WRITES.items():
+        writer = writer.option(name, value)
+    writer.parquet(path)
     schema = df.schema
     del df
     gc.collect()

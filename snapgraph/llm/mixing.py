@@ -23,16 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import written
+from snapgraph.llm.common import numbered, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
+ROW = "_mix_row"
+
+
+def sized(docs: DataFrame, *rest: str) -> DataFrame:
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *rest)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -71,14 +74,15 @@ def _picked(sizes: DataFrame, weights, most) -> DataFrame:
     spark = sizes.sparkSession
     goals = targets(sizes, weights, most)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
+    inner = ["size", "doc_id", *([ROW] if ROW in sizes.columns else [])]
+    key = [F.col("source").asc_nulls_last(), *inner]
     ranged, _ = written(sizes.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()), "ranges")
     # A few rows per range; their running sum is the only thing that spans ranges.
     counts = ranged.groupBy("source", "part").agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = counts.select("source", "part", F.coalesce(before, F.lit(0)).alias("before"))
     facts = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(starts["source"].alias("s"), F.col("part").alias("p"), "before", "source_size", "target")
-    inside = W.partitionBy("part", "source").orderBy("size", "doc_id")
+    inside = W.partitionBy("part", "source").orderBy(*inner)
     numbered = ranged.withColumn("row", F.row_number().over(inside))
     placed = numbered.join(facts, (numbered["part"] == facts["p"]) & numbered["source"].eqNullSafe(facts["s"]))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
@@ -90,11 +94,10 @@ def _picked(sizes: DataFrame, weights, most) -> DataFrame:
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    rows, _ = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mixdocs")
-    sizes = sized(rows.select(F.col("_mix_row").alias("doc_id"), "source", "text"))
-    sizes, _ = written(sizes, "sizes")
-    picks = _picked(sizes, weights, most).where("copies > 0").select(F.col("doc_id").alias("_mix_row"), "copies")
-    return rows.join(picks, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = numbered(docs, ROW)
+    sizes, _ = written(sized(rows, ROW), "sizes")
+    picks = _picked(sizes, weights, most).where("copies > 0").select(ROW, "copies")
+    return rows.join(picks, ROW).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same rows in DuckDB.

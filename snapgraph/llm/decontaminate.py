@@ -274,3 +274,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     hit = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_row"))
     hit, _ = written(hit, "hit")
     return rows.join(hit, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The same rows in DuckDB.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT item_id, ws, least(len(ws), 10)::INT AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1))::INT AS i FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g FROM i),
+p AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2))::INT AS i FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)),
+h AS MATERIALIZED (SELECT doc_id, i, p.n, item_id FROM p JOIN w ON p.n = w.n AND p.g = w.g),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

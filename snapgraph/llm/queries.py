@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_mixing": mixing.ORACLE, "op10_lm_score": lm_score.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE, "op10_lm_score": lm_score.ORACLE}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, id_and_text, joined, lower_table, numbered, pack_small, prefix_sums, slices, span_hashes, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, drop, id_and_text, joined, lower_table, numbered, pack_small, prefix_sums, slices, span_hashes, unpack_small, words_of, written
 
 WINDOW = 10
 #: Characters of test texts that are broadcast at once; a larger test set is searched in blocks of this size.
@@ -232,7 +232,11 @@ def _digest(docs: pa.Array, words: pa.Array, runs: list, items: list) -> pa.Reco
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    index, _ = build_index(docs)
+    return described(build_index(docs)[0], benchmark, window)
+
+
+def described(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The same, from an index."""
     blocks = test_blocks(benchmark)
     parts = [search(index, next(blocks), window)]
     parts += [search(index, block, window).where("size(items) > 0") for block in blocks]
@@ -271,8 +275,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows, with all their columns, whose text holds no window of the test set."""
     rows = numbered(docs)
-    hit = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_row"))
-    hit, _ = written(hit, "hit")
+    index, path = build_index(rows.select(F.col("_row").alias("doc_id"), "text"))
+    hit, _ = written(described(index, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_row")), "hit")
+    drop(docs.sparkSession, path)
     return rows.join(hit, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -426,3 +426,33 @@ def test_lm_scores(spark):
     for a, b in zip(got, want):
         assert a[:2] == b[:2] and (a[2] is None if b[2] is None else math.isclose(a[2], b[2], rel_tol=1e-9))
     assert lm_score.scored(nothing(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    docs, labels = labelled(spark, 400)
+    prose = lambda k: " ".join("p%d" % rng.randrange(5000) for _ in range(k))
+    shared, copy = prose(30), prose(80)
+    more = [(1000 + k, prose(40), "en", "b", 1, "k") for k in range(40)] + [(2000 + k, copy, "en", "b", 1, "k") for k in range(5)] + [(3000, prose(9) + " " + shared + " " + prose(9), "en", "a", 1, "k")]
+    all_docs = docs.union(spark.createDataFrame(more, SCHEMA))
+    all_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, shared)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        now = spark.read.parquet(str(tmp_path / f"out{k}"))
+        kept[name] = collections.Counter(r[0] for r in now.select("doc_id").collect())
+        if name != "token_output":
+            assert now.columns == docs.columns
+    assert sum(d % 4 == 0 for d in kept["toxicity"] if d is not None and d < 400) <= 5 and set(range(1000, 1040)) <= set(kept["toxicity"])
+    assert 2000 in kept["ngram_join"] and not {2001, 2002, 2003, 2004} & set(kept["ngram_join"]) and 3000 in kept["ngram_join"]
+    assert set(kept["decontamination"]) == set(kept["ngram_join"]) - {3000}
+    assert set(kept["mixing"]) <= set(kept["decontamination"]) and max(kept["mixing"].values()) <= 3
+    assert kept["token_output"] == kept["mixing"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == sum(kept["mixing"].values())

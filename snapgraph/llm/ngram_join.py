@@ -93,13 +93,32 @@ def sizes(blocks: DataFrame, words: int = WORDS) -> DataFrame:
     return blocks.mapInArrow(run, SIZES)
 
 
+class Joined:
+    """Disjoint sets over 0..n-1; join() tells whether it joined two."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components among the sets of one group, the first set being its leader."""
+    """Fewer links than sets, that join the components among the sets of one group, the first set being its leader."""
     n = np.array([len(s) for s in sets], np.int64)
-    found, open_ones = [], []
+    found, open_ones, joined_sets = [], [], Joined(len(sets))
     for k in range(1, len(sets)):
         overlap = shared(sets[k], sets[0])
         if linked(overlap, n[k], n[0], percent):
+            joined_sets.join(0, k)
             found.append((ids[0], ids[k]))
         else:
             open_ones.append(k)
@@ -114,7 +133,7 @@ def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
             at = np.repeat(low - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
             overlap = np.bincount(owner[at], minlength=len(sets))
             for j in np.flatnonzero(linked(overlap, n[k], n, percent) & (overlap > 0)).tolist():
-                if j != k:
+                if joined_sets.join(k, j):
                     found.append((ids[k], ids[j]))
     return found
 
@@ -251,16 +270,24 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
             n = np.array(row["n"], np.int64)
             bounds = np.concatenate([[0], np.cumsum(n)])
             every = np.frombuffer(row["sets"], np.uint64)
+            # One link of a set to each of the group's own components is enough.
+            place = {x: k for k, x in enumerate(row["ids"])}
+            own_parts = Joined(len(n))
+            for a, b in zip(row["a"], row["b"]):
+                own_parts.join(place[a], place[b])
             for x, cell in zip(asks.column("x").to_pylist(), asks.column("keys").to_pylist()):
                 own = np.frombuffer(cell, np.uint64)
                 if shared(own, union) < need(len(own), percent):
                     continue
+                met = set()
                 for k in np.flatnonzero((100 * n >= percent * len(own)) & (100 * len(own) >= percent * n)).tolist():
-                    if linked(shared(own, every[bounds[k] : bounds[k + 1]]), len(own), int(n[k]), percent) and row["ids"][k] != x:
+                    part = own_parts.root(k)
+                    if part not in met and row["ids"][k] != x and linked(shared(own, every[bounds[k] : bounds[k + 1]]), len(own), int(n[k]), percent):
+                        met.add(part)
                         found.append((x, row["ids"][k]))
         return _table(found, ["a", "b"], [pa.int64(), pa.int64()])
 
-    outer = queries.groupBy("g").cogroup(groups.select("g", "ids", "n", "sets", "n_union", "union").groupBy("g")).applyInArrow(open_group, "a long, b long")
+    outer = queries.groupBy("g").cogroup(groups.groupBy("g")).applyInArrow(open_group, "a long, b long")
     return inner.union(outer)
 
 

@@ -29,6 +29,7 @@ EXCHANGE_BYTES = 8 << 20
 
 # ---------------------------------------------------------------- scratch
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Cells of a megabyte are common here: sizes of pages and row groups are looked at from
 #: the first row on, else the writer gathers a hundred such cells in direct memory.
 WRITES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
@@ -69,7 +70,14 @@ def written(df: DataFrame, tag: str, codec: str = "snappy") -> tuple[DataFrame,
     writer = df.write.option("compression", codec)
     for name, value in WRITES.items():
         writer = writer.option(name, value)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:  # the shuffle files of this step alone go with its end
+        spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     schema = df.schema
     del df
     gc.collect()

@@ -16,6 +16,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,8 +144,8 @@ def joined(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, ends + np.arange(n)
 
 
-def text_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as blocks; nothing is shuffled."""
+def text_blocks(docs: DataFrame, most: int = BLOCK_BYTES, packed: bool = False) -> DataFrame:
+    """Documents as blocks; nothing is shuffled.  packed: the text cells are Zstandard frames (see unpacked)."""
 
     def pack(batches):
         from pyspark import TaskContext
@@ -153,8 +154,9 @@ def text_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1, most):
                 data, ends = joined(part.column(1))
+                cell = zstandard.ZstdCompressor(level=3).compress(data) if packed else data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([n], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())],
+                    [pa.array([n], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([cell], pa.binary())],
                     names=["block", "ids", "ends", "text"],
                 )
                 n += 1
@@ -162,6 +164,10 @@ def text_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     return id_and_text(docs).mapInArrow(pack, BLOCKS)
 
 
+def unpacked(cell: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8)
+
+
 # ---------------------------------------------------------------- fingerprints
 
 

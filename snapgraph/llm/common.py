@@ -8,6 +8,7 @@ texts count as empty, null ids stay null, repeated rows stay separate rows.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import sys
 import types
@@ -97,6 +98,29 @@ def task_cache() -> dict:
     return holder.__dict__.setdefault("items", {})
 
 
+def kept(key: tuple, make):
+    """What make() gives, kept in the worker under the key until a task asks for another one."""
+    cache = task_cache()
+    if key not in cache:
+        forget()
+        cache[key] = make()
+    return cache[key]
+
+
+def forget() -> None:
+    """Drops what other operators keep in this worker and hands the memory back."""
+    cache = task_cache()
+    old = [k for k in cache if k[0] != "pow"]
+    for k in old:
+        del cache[k]
+    if old:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it has its own ways
+            pass
+
+
 # ---------------------------------------------------------------- blocks
 
 BLOCKS = "block long, ids array<long>, ends array<long>, text binary"
@@ -150,6 +174,7 @@ def text_blocks(docs: DataFrame, most: int = BLOCK_BYTES, packed: bool = False)
     def pack(batches):
         from pyspark import TaskContext
 
+        forget()
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, 1, most):

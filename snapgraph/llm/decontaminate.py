@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, drop, id_and_text, joined, lower_table, numbered, pack_small, prefix_sums, slices, span_hashes, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, drop, forget, id_and_text, joined, lower_table, numbered, pack_small, prefix_sums, slices, span_hashes, unpack_small, words_of, written
 
 WINDOW = 10
 #: Characters of test texts that are broadcast at once; a larger test set is searched in blocks of this size.
@@ -49,6 +49,7 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, str]:
     """The shards, written to the shared folder."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for part in slices(batch, 1, SHARD_BYTES):
                 data, text_ends = joined(part.column(1))
@@ -184,8 +185,8 @@ def test_blocks(benchmark: DataFrame, most: int = QUERY_CHARS):
 HITS = "doc_id long, n_words long, hit_starts array<int>, hit_ends array<int>, items array<long>"
 
 
-def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """One row per document and block of items: its words, the hit runs (word numbers, end exclusive), the items found."""
+def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0, digest: bool = False) -> DataFrame:
+    """One row per document and block of items: its words, the hit runs (word numbers, end exclusive), the items found; or their digest."""
     phrases = index.sparkSession.sparkContext.broadcast(pickle.dumps(phrases_of(items, window)))
 
     def run(batches):
@@ -210,12 +211,15 @@ def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0) -
                     low, high = int(shard.doc_ends[d] - n_words[d]), int(shard.doc_ends[d])
                     steps = np.diff(hit[low:high].astype(np.int8), prepend=np.int8(0), append=np.int8(0))
                     runs[d] = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+                if digest:
+                    yield _digest(pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), [list(zip(*r)) for r in runs], [sorted(items_of.get(d, ())) for d in range(len(ids))])
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array([r[0] for r in runs], pa.list_(pa.int32())), pa.array([r[1] for r in runs], pa.list_(pa.int32())), pa.array([sorted(items_of.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64()))],
                     names=["doc_id", "n_words", "hit_starts", "hit_ends", "items"],
                 )
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(run, DIGEST if digest else HITS)
 
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -238,18 +242,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def described(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same, from an index."""
     blocks = test_blocks(benchmark)
-    parts = [search(index, next(blocks), window)]
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return search(index, first, window, digest=True)
+    parts = [search(index, first, window), search(index, second, window).where("size(items) > 0")]
     parts += [search(index, block, window).where("size(items) > 0") for block in blocks]
 
-    if len(parts) == 1:
-
-        def single(batches):
-            for b in batches:
-                runs = [list(zip(s, e)) for s, e in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-                yield _digest(b.column(0), b.column(1), runs, b.column(4).to_pylist())
-
-        return parts[0].mapInArrow(single, DIGEST)
-
     # Several blocks: the hits of a document meet by its id, once per block.
     hits = parts[0]
     for part in parts[1:]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import id_and_text, joined, slices, task_cache
+from snapgraph.llm.common import id_and_text, joined, kept, slices
 from snapgraph.llm.pieces import PieceMemo
 
 LIMIT = 2048
@@ -28,10 +28,7 @@ TABLE = "doc_id long, n_bytes long, n_tokens long, fit_bytes long, ends binary,
 
 
 def memo_for(path: str) -> PieceMemo:
-    cache = task_cache()
-    if ("counts", path) not in cache:
-        cache["counts", path] = PieceMemo(path, lower=True, specials=SPECIALS, drop_space=True)
-    return cache["counts", path]
+    return kept(("counts", path), lambda: PieceMemo(path, lower=True, specials=SPECIALS, drop_space=True))
 
 
 def tables(col: pa.Array, memo: PieceMemo):
@@ -99,8 +96,8 @@ def prefix_table(docs: DataFrame, path: str, limit: int = LIMIT, keep_table: boo
                 rows = []
                 for size, ends, sums in tables(part.column(1), memo):
                     k = int(np.searchsorted(sums, limit, side="right"))
-                    kept = (ends.astype("<i4").tobytes(), sums.astype("<i4").tobytes()) if keep_table else (None, None)
-                    rows.append((size, int(sums[-1]) if len(sums) else 0, int(ends[k - 1]) if k else 0, *kept))
+                    arrays = (ends.astype("<i4").tobytes(), sums.astype("<i4").tobytes()) if keep_table else (None, None)
+                    rows.append((size, int(sums[-1]) if len(sums) else 0, int(ends[k - 1]) if k else 0, *arrays))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2))], names=["doc_id", "n_bytes", "n_tokens", "fit_bytes", "ends", "counts"])
 

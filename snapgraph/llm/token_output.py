@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import id_and_text, joined, slices, task_cache, written
+from snapgraph.llm.common import id_and_text, joined, kept, slices, written
 from snapgraph.llm.pieces import PieceMemo
 
 SHARD_TOKENS = 1 << 20
@@ -159,10 +159,7 @@ class WaveletMatrix:
 
 
 def memo_for(path: str) -> PieceMemo:
-    cache = task_cache()
-    if ("ids", path) not in cache:
-        cache["ids", path] = PieceMemo(path, lower=False, specials=SPECIALS, drop_space=False)
-    return cache["ids", path]
+    return kept(("ids", path), lambda: PieceMemo(path, lower=False, specials=SPECIALS, drop_space=False))
 
 
 def ids_of(col: pa.Array, memo: PieceMemo):

@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import id_and_text, slices, task_cache
+from snapgraph.llm.common import id_and_text, kept, slices
 
 LENGTH, DECAY, WIDTH = 3, 0.6, 24
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 40_000
@@ -272,10 +272,7 @@ def shipped(docs: DataFrame, model: Model):
     spread, tag = docs.sparkSession.sparkContext.broadcast(packed), hashlib.sha256(packed).hexdigest()
 
     def fetch():
-        cache = task_cache()
-        if ("toxic", tag) not in cache:
-            cache["toxic", tag] = pickle.loads(spread.value), {}
-        return cache["toxic", tag]
+        return kept(("toxic", tag), lambda: (pickle.loads(spread.value), {}))
 
     return fetch
 

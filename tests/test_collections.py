@@ -6,6 +6,7 @@ from snapgraph.operators import nbrs as N
 from snapgraph.operators import sequences as Q
 from snapgraph.operators import text as T
 from snapgraph.operators.ordered import OrderedMap
+from snapgraph.plans.queries_maps import QUERIES as MAPS
 from snapgraph.plans.queries_seq import QUERIES
 
 
@@ -91,6 +92,19 @@ def test_suffix_structures(spark):
         assert rows(T.lcp(chars, ranks)) == want
 
 
+def test_ordered_fold_of_all_keys(spark, tmp_path):
+    rng = random.Random(10)
+    balances = {k: rng.randrange(-99_999, 999_999) for k in rng.sample(range(10_000), 500)}
+    spark.createDataFrame([(k, v / 100) for k, v in balances.items()], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    want = 0
+    for _, v in sorted(balances.items()):
+        want = (want * 31 + v) % 1_000_003
+    assert rows(MAPS["m14_ordered_fold"][0](spark, str(tmp_path))) == [(want,)]
+    few = OrderedMap(spark.createDataFrame([(1, 5), (2, -7)], "key long, val long"))
+    assert rows(few.affine_fold(3, 101, 4)) == [(((4 * 3 + 5) * 3 - 7) % 101,)]
+    assert rows(few.up_to(0).affine_fold(3, 101, 4)) == [(4,)]
+
+
 def documents_at(spark, tmp_path, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     return str(tmp_path)

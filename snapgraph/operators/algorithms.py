@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.functions.cuts import cut, with_rank
+from snapgraph.functions.cuts import cut, scanned, with_rank
 from snapgraph.functions.hashing import priority
 from snapgraph.operators.traverse import EdgeProgram, edge_map, neighbours_of
 from snapgraph.plans.graph import Graph
@@ -187,14 +188,50 @@ def components(g: Graph) -> DataFrame:
             return labels
 
 
-def deterministic_reservations(claims: DataFrame) -> DataFrame:
-    """(i, round): items i that claim resources (i, resource); an item commits in the first round in which it holds all it claims, lower i first."""
-    left, done, number = cut(claims.select("i", "resource").distinct()), None, 0
-    while not left.isEmpty():
-        holder = left.groupBy("resource").agg(F.min("i").alias("holder"))
-        losers = left.join(holder, "resource").where("i <> holder").select("i").distinct()
-        winners = cut(left.select("i").distinct().join(losers, "i", "left_anti").withColumn("round", F.lit(number)))
-        done = winners if done is None else done.unionByName(winners)
-        left = cut(left.join(winners, "i", "left_anti"))
-        number += 1
-    return done if done is not None else claims.select("i", F.lit(0).alias("round")).limit(0)
+#: Claims that one range of items holds.
+CLAIMS = 1 << 18
+
+
+def deterministic_reservations(claims: DataFrame, most: int = CLAIMS) -> DataFrame:
+    """(i, round): items i that claim resources (i, resource); an item commits in the first round in which it holds all it claims, lower i first.
+
+    An item's round is one after the latest round of the items before it at its
+    resources.  Ranges of items take their turn and hand on each resource's next
+    free round, so a long chain costs no job a round.
+    """
+    own = claims.select("i", "resource").where("i is not null").distinct()
+    sizes = scanned(own.groupBy("i").agg(F.count(F.lit(1)).alias("n")), ["i"], {"before": (F.col("n"), "sum")}, inclusive=False)
+    left = cut(own.join(sizes.select("i", F.floor(F.col("before") / most).alias("turn")), "i"))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    free = claims.sparkSession.createDataFrame([], f"resource {kinds['resource']}, next int")
+
+    def commit(mine: pa.Table, earlier: pa.Table) -> pa.Table:
+        after = dict(zip(earlier.column("resource").to_pylist(), earlier.column("next").to_pylist()))
+        wants: dict = {}
+        for i, resource in zip(mine.column("i").to_pylist(), mine.column("resource").to_pylist()):
+            wants.setdefault(i, []).append(resource)
+        rounds = {}
+        for i in sorted(wants):
+            held = [r for r in wants[i] if r is not None]
+            rounds[i] = max((after.get(r, 0) for r in held), default=0)
+            after.update((r, rounds[i] + 1) for r in held)
+        items, resources = list(rounds), list(after)
+        return pa.table(
+            {
+                "i": pa.array(items + [None] * len(resources), mine.schema.field("i").type),
+                "round": pa.array([*rounds.values(), *after.values()], pa.int32()),
+                "resource": pa.array([None] * len(items) + resources, mine.schema.field("resource").type),
+            }
+        )
+
+    done = left.select("i", F.lit(0).alias("round")).limit(0)
+    for turn in range(1 + (left.agg(F.max("turn")).first()[0] if not left.isEmpty() else -1)):
+        mine = left.where(F.col("turn") == turn).select("i", "resource")
+        here = mine.select(F.col("resource").alias("_r")).distinct()
+        asked = free.join(here, F.col("resource") == F.col("_r"), "left_semi")
+        one = F.lit(0).alias("one")
+        both = cut(mine.groupBy(one).cogroup(asked.groupBy(one)).applyInArrow(commit, f"i {kinds['i']}, round int, resource {kinds['resource']}"))
+        done = done.unionByName(both.where("i is not null").select("i", "round"))
+        mark = both.where("i is null").select("resource", F.col("round").alias("next"))
+        free = cut(free.join(mark.select(F.col("resource").alias("_r")), F.col("resource") == F.col("_r"), "left_anti").unionByName(mark))
+    return done

@@ -60,10 +60,6 @@ def suffix_text(s, d):
 SUFFIX = "tx AS MATERIALIZED (SELECT string_agg(substr(lower(text), 1, 60), '' ORDER BY doc_id) AS t FROM documents WHERE doc_id<4), sx AS MATERIALIZED (SELECT i-1 AS idx, substr(t, i::INT) AS suf FROM tx, (SELECT unnest(range(1, length(t)+1)) AS i FROM tx))"
 
 
-def characters_of(s, d):
-    return io.characters(docs(s, d).where("doc_id = 2"))
-
-
 CH = "ch AS MATERIALIZED (SELECT i-1 AS idx, substr(text, i::INT, 1) AS val FROM (SELECT text, unnest(range(1, length(text)+1)) AS i FROM documents WHERE doc_id=2))"
 
 QUERIES = {
@@ -84,7 +80,7 @@ QUERIES = {
     ),
     "p15_range_min": (lambda s, d: Q.range_min(vals(s, d), ranges(s), 64), f"WITH {E}, {RANGES} SELECT low, high, (min(struct_pack(v := val, i := idx))).i AS idx FROM rg JOIN e ON idx BETWEEN low AND high GROUP BY low, high"),
     "p17_reservations": (
-        lambda s, d: _first_round(s, d),
+        lambda s, d: _all_rounds(s, d),
         "WITH c AS (SELECT DISTINCT l_orderkey AS i, l_suppkey AS r FROM lineitem WHERE l_orderkey<200), h AS (SELECT r, min(i) AS h FROM c GROUP BY r) SELECT i FROM c JOIN h USING (r) GROUP BY i HAVING bool_and(i=h)",
     ),
     "p18_bag": (lambda s, d: Q.bag(vals(s, d), small(s, d)), f"WITH {E} SELECT val FROM e UNION ALL SELECT val FROM sm"),
@@ -135,7 +131,7 @@ QUERIES = {
     ),
     "str2_tokens": (lambda s, d: T.tokens(docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.max_by("token", "k").alias("last")), None),
     "str3_tokenize": (lambda s, d: T.tokenize(docs(s, d)).select("doc_id", F.size("words").alias("n"), F.element_at("words", -1).alias("last")), "SELECT doc_id, len(w) AS n, w[-1] AS last FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\r\\t\\n\\x00 ]'), lambda x: x <> '') AS w FROM documents)"),
-    "str4_partition_at": (lambda s, d: T.partition_at(characters_of(s, d), F.col("val") == " "), f"WITH {CH}, p AS (SELECT idx, sum((idx=0 OR val=' ')::INT) OVER (ORDER BY idx)-1 AS part FROM ch) SELECT part::BIGINT AS part, min(idx) AS \"first\", max(idx) AS \"last\" FROM p GROUP BY part"),
+    "str4_partition_at": (lambda s, d: T.partition_texts(docs(s, d), lambda c: c == " "), f"WITH {CH}, p AS (SELECT idx, sum((idx=0 OR val=' ')::INT) OVER (ORDER BY idx)-1 AS part FROM ch) SELECT part::BIGINT AS part, min(idx) AS \"first\", max(idx) AS \"last\" FROM p GROUP BY part"),
     "str5_split": (lambda s, d: T.tokenize(docs(s, d), chars=".,").select("doc_id", F.size("words").alias("n")), "SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.,]'), lambda x: x <> '')) AS n FROM documents"),
     "agg11_inverted_index": (lambda s, d: T.inverted_index(docs(s, d)).select("word", "n", F.concat_ws(",", "keys").alias("docs")), "SELECT word, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) GROUP BY word"),
     "str6_suffix_array": (lambda s, d: T.suffix_array(suffix_text(s, d)), f"WITH {SUFFIX} SELECT idx, row_number() OVER (ORDER BY suf)-1 AS rank FROM sx"),
@@ -145,13 +141,12 @@ QUERIES = {
     ),
     "str8_cartesian_tree": (lambda s, d: T.cartesian_tree(seq(s, d).select(F.col("user_id").alias("g"), "idx", "val"), "g"), None),
     "str9_find": (lambda s, d: T.find(docs(s, d), "tion the"), "SELECT doc_id, instr(text, 'tion the')-1 AS at FROM documents WHERE instr(text, 'tion the')>0"),
-    "io12_characters": (lambda s, d: io.characters(docs(s, d).where("doc_id < 20"), start=5, end=25), "SELECT doc_id, i-1 AS idx, substr(substr(text, 6, 20), i::INT, 1) AS val FROM (SELECT doc_id, text, unnest(range(1, length(substr(text, 6, 20))+1)) AS i FROM documents WHERE doc_id<20)"),
+    "io12_characters": (lambda s, d: io.characters(docs(s, d), start=5, end=25), "SELECT doc_id, i-1 AS idx, substr(substr(text, 6, 20), i::INT, 1) AS val FROM (SELECT doc_id, text, unnest(range(1, length(substr(text, 6, 20))+1)) AS i FROM documents WHERE doc_id<20)"),
     "io16_mix": (lambda s, d: vals(s, d).select("idx", priority("idx").alias("h")), f"WITH {E} SELECT idx, (idx*2654435761)%4294967296 AS h FROM e"),
 }
 
 
-def _first_round(s, d):
+def _all_rounds(s, d):
     from snapgraph.operators.algorithms import deterministic_reservations
 
-    claims = table(s, d, "lineitem").where("l_orderkey < 200").select(F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("resource"))
-    return deterministic_reservations(claims).where("round = 0").select("i")
+    return deterministic_reservations(table(s, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("resource")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from snapgraph.operators import nbrs as N
 from snapgraph.operators import sequences as Q
 from snapgraph.operators import text as T
+from snapgraph.operators.algorithms import deterministic_reservations
 from snapgraph.operators.ordered import OrderedMap
 from snapgraph.plans.queries_maps import QUERIES as MAPS
 from snapgraph.plans.queries_seq import QUERIES
@@ -110,6 +111,37 @@ def documents_at(spark, tmp_path, texts):
     return str(tmp_path)
 
 
+def test_partitions_and_characters_of_all_documents(spark, tmp_path):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    texts[5], texts[7], texts[9], texts[11] = None, "", " ", "  a"
+    at = documents_at(spark, tmp_path, texts)
+    want = []
+    for d, t in enumerate(t or "" for t in texts):
+        starts = [k for k in range(len(t)) if k == 0 or t[k] == " "]
+        want += [(d, p, a, b - 1) for p, (a, b) in enumerate(zip(starts, [*starts[1:], len(t)]))]
+    assert rows(QUERIES["str4_partition_at"][0](spark, at).select("doc_id", "part", "first", "last")) == want
+    assert rows(QUERIES["io12_characters"][0](spark, at)) == [(d, k, c) for d, t in enumerate(texts) for k, c in enumerate((t or "")[5:25])]
+
+
+def test_reservations_return_every_round(spark, tmp_path):
+    rng = random.Random(12)
+    claims = [(rng.randrange(900), rng.randrange(15)) for _ in range(600)]
+    spark.createDataFrame(claims, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    left, want, number = {}, [], 0
+    for i, r in claims:
+        left.setdefault(i, set()).add(r)
+    while left:
+        holder = {}
+        for i in sorted(left, reverse=True):
+            holder.update((r, i) for r in left[i])
+        won = [i for i in left if all(holder[r] == i for r in left[i])]
+        want += [(i, number) for i in won]
+        left, number = {i: c for i, c in left.items() if i not in won}, number + 1
+    assert rows(QUERIES["p17_reservations"][0](spark, str(tmp_path))) == sorted(want)
+    assert rows(deterministic_reservations(spark.createDataFrame(claims, "i long, resource long"), most=250)) == sorted(want)
+
+
 def test_suffix_array_of_whole_documents(spark, tmp_path):
     rng = random.Random(8)
     texts = ["".join(rng.choice("aBé ") for _ in range(rng.randrange(1, 150))) for _ in range(12)]

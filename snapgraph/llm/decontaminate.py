@@ -69,7 +69,8 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, str]:
                     names=["ids", "n_words", "terms", "term_ends", "hashes", "list_ends", "gaps"],
                 )
 
-    return written(id_and_text(docs).mapInArrow(run, INDEX), "index")
+    # A shard's number and a place in it tell repeated rows and null ids apart.
+    return written(id_and_text(docs).mapInArrow(run, INDEX).withColumn("shard", F.monotonically_increasing_id()), "index")
 
 
 class Shard:
@@ -182,7 +183,7 @@ def test_blocks(benchmark: DataFrame, most: int = QUERY_CHARS):
     yield block
 
 
-HITS = "doc_id long, n_words long, hit_starts array<int>, hit_ends array<int>, items array<long>"
+HITS = "shard long, place int, doc_id long, n_words long, hit_starts array<int>, hit_ends array<int>, items array<long>"
 
 
 def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0, digest: bool = False) -> DataFrame:
@@ -194,7 +195,7 @@ def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0, d
         lengths = asked["lengths"]
         for batch in batches:
             for k in range(batch.num_rows):  # one shard at a time
-                ids, n_words, *cells = (c[k].as_py() for c in batch.columns)
+                ids, n_words, *cells, number = (c[k].as_py() for c in batch.columns)
                 shard = Shard(np.array(n_words, np.int64), *cells)
                 which, start = occurrences(shard, asked, slop)
                 edge = np.zeros(shard.n + 1, np.int32)
@@ -215,8 +216,8 @@ def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0, d
                     yield _digest(pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), [list(zip(*r)) for r in runs], [sorted(items_of.get(d, ())) for d in range(len(ids))])
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array([r[0] for r in runs], pa.list_(pa.int32())), pa.array([r[1] for r in runs], pa.list_(pa.int32())), pa.array([sorted(items_of.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "hit_starts", "hit_ends", "items"],
+                    [pa.array([number] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array([r[0] for r in runs], pa.list_(pa.int32())), pa.array([r[1] for r in runs], pa.list_(pa.int32())), pa.array([sorted(items_of.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64()))],
+                    names=["shard", "place", "doc_id", "n_words", "hit_starts", "hit_ends", "items"],
                 )
 
     return index.mapInArrow(run, DIGEST if digest else HITS)
@@ -248,11 +249,11 @@ def described(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     parts = [search(index, first, window), search(index, second, window).where("size(items) > 0")]
     parts += [search(index, block, window).where("size(items) > 0") for block in blocks]
 
-    # Several blocks: the hits of a document meet by its id, once per block.
+    # Several blocks: the hits of a row meet by its place in the index, once per block.
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
-    met = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    met = hits.groupBy("shard", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("shard", "place")
 
     def merged(batches):
         for b in batches:

@@ -143,6 +143,16 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_decontamination_keeps_repeated_and_null_ids_apart_in_several_blocks(spark, monkeypatch):
+    rows = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "x y alpha beta z w"), (None, "nothing here"), (None, "gamma delta and more"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "beta gamma")], "item_id long, text string")
+    found = lambda: sorted(map(str, decontaminate.contamination(docs, items).collect()))
+    whole = found()
+    monkeypatch.setattr(decontaminate.test_blocks, "__defaults__", (1,))
+    assert found() == whole and len(whole) == len(rows)
+
+
 def test_proximity(spark):
     docs, _ = documents(spark, ["alpha beta gamma", "alpha x beta gamma", "gamma beta alpha"])
     index, _ = decontaminate.build_index(docs)

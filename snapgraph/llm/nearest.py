@@ -71,7 +71,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def hashed(rows: DataFrame, width: int, longest: float | None, tables: int, probes: int, asks: bool) -> DataFrame:
-    """vec_id and cell (table and axis), one row for each table and probe."""
+    """row and cell (table and axis) of rows (row, v), one for each table and probe."""
 
     def run(batches):
         for batch in batches:
@@ -95,45 +95,49 @@ def hashed(rows: DataFrame, width: int, longest: float | None, tables: int, prob
                 part = numbers[low : low + 256]
                 each = part.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(ids[low : low + 256], np.int64), each)), pa.array(part.reshape(-1))], names=["vec_id", "cell"]
+                    [pa.array(np.repeat(np.array(ids[low : low + 256], np.int64), each)), pa.array(part.reshape(-1))], names=["row", "cell"]
                 )
 
-    return rows.mapInArrow(run, "vec_id long, cell int")
+    return rows.mapInArrow(run, "row long, cell int")
 
 
-def best_of(ids: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, rough: np.ndarray, top: int):
-    """The top of one query among the rows: exact scores, ties to the smaller id."""
+def best_of(ids: np.ndarray, firsts: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, rough: np.ndarray, top: int):
+    """The top distinct ids of one query among the rows, which are in order of ids (each begins at firsts): exact scores, ties to the smaller id."""
     allowed = ids != query
     rough = np.where(allowed, rough, -np.inf)
-    if len(ids) > top:
-        edge = np.partition(rough, len(ids) - top)[len(ids) - top]
+    if len(firsts) > top:
+        edge = np.partition(np.maximum.reduceat(rough, firsts), len(firsts) - top)[len(firsts) - top]
         near = np.flatnonzero((rough >= edge - 1e-9 * (1 + abs(edge))) & allowed)
     else:
         near = np.flatnonzero(allowed)
     scores = (x[near] * q).sum(1)
-    order = np.lexsort((ids[near], -scores))[:top]
+    order = np.lexsort((ids[near], -scores))
+    order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:top]
     return ids[near][order], scores[order]
 
 
 def neighbours(vectors: DataFrame, is_query: Column, top: int = TOP, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every row for which is_query (on vec_id) holds."""
-    rows, _ = written(usable(vectors), "vectors")
+    rows, _ = written(usable(vectors).dropDuplicates(["vec_id", "v"]).withColumn("row", F.monotonically_increasing_id()), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     facts = rows.agg(F.max(F.size("v")), F.max(norm), F.min(norm)).first()
     width = int(facts[0] or 1)
     longest = float(facts[1]) if facts[1] and facts[1] - facts[2] > 1e-6 * facts[1] else None
-    base, _ = written(hashed(rows, width, longest, tables, 1, False), "cells")
+    base, _ = written(hashed(rows.select("row", "v"), width, longest, tables, 1, False), "cells")
     loads = base.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    held = base.join(loads, "cell").select("vec_id", "cell", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece"))
-    asked = hashed(rows.where(is_query), width, longest, tables, probes, True)
-    asks = asked.join(loads, "cell").select(F.col("vec_id").alias("query_id"), "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    asks = asks.join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
-    held = held.join(rows, "vec_id")
+    held = base.join(loads, "cell").select("row", "cell", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece"))
+    queries, _ = written(rows.where(is_query).dropDuplicates(["vec_id"]), "queries")
+    asked = hashed(queries.select("row", "v"), width, longest, tables, probes, True)
+    asks = asked.join(loads, "cell").select("row", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    asks = asks.join(queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "row").select("query_id", "cell", "piece", "q")
+    held = held.join(rows, "row").select("vec_id", "cell", "piece", "v")
 
     def search(key, queries: pa.Table, items: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if queries.num_rows and items.num_rows:
+            items = items.sort_by("vec_id")
             ids = items.column("vec_id").to_numpy()
+            firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             x = np.zeros((len(ids), width))
             for row, own in zip(x, items.column("v").to_pylist()):
                 row[: len(own)] = own
@@ -144,7 +148,7 @@ def neighbours(vectors: DataFrame, is_query: Column, top: int = TOP, tables: int
             for low in range(0, len(names), 256):
                 rough = q[low : low + 256] @ x.T
                 for name, own, line in zip(names[low : low + 256], q[low : low + 256], rough):
-                    found, scores = best_of(ids, x, name, own, line, top)
+                    found, scores = best_of(ids, firsts, x, name, own, line, top)
                     out_q.append(np.full(len(found), name))
                     out_v.append(found)
                     out_s.append(scores)

@@ -367,6 +367,32 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert nearest.neighbours(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def exact_hits(y, got, queries):
+    """How many of the true 20 nearest were found, as a share."""
+    hits = total = 0
+    for q in queries:
+        scores = y @ y[q]
+        want = [k for k in np.lexsort((np.arange(len(y)), -scores)) if k != q][:20]
+        hits, total = hits + len(set(want) & set(got[q])), total + len(want)
+    return hits / total
+
+
+def found_by(spark, rows):
+    got = collections.defaultdict(list)
+    for r in nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 60 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    return got
+
+
+def test_nearest_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(600, 16)) / 50 + rng.normal(size=(12, 16))[np.arange(600) % 12]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    got = found_by(spark, [(k, y[k].tolist()) for k in range(600)] * 6)
+    assert exact_hits(y, got, range(0, 600, 60)) >= 0.95
+    assert all(len(v) == len(set(v)) == 20 for v in got.values())
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -6,12 +6,14 @@ indexed under their own axis of each of ``TABLES`` tables; a query looks under
 its ``PROBES`` nearest axes of each.  Candidates are ranked by the exact inner
 product in double precision on the original vectors.
 
-If norms differ, vectors get one more coordinate before hashing, sqrt(1 - |x|^2/M^2)
-for the indexed ones and 0 for queries, which makes the largest inner product the
-smallest angle.  Index rows of one axis are dealt to pieces of about
+Rows are bucketed by norm, in bands a factor of ``BAND`` wide.  Inside a band the
+smallest angle is nearly the largest inner product, so hashing sees unit vectors
+and every band is asked with all probes; a band of at most ``PIECE`` rows is
+one cell and is searched whole.  Index rows of one cell are dealt to pieces of about
 ``PIECE`` vectors and its queries go to every piece, so copies of one vector,
 however many, never meet in one task; each piece returns a query's best TOP, which
-loses none of the best TOP over all.
+loses none of the best TOP over all.  A query that found fewer than TOP, where
+more candidates are, is asked of every piece.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or
 whose vec_id is null, take no part.  Shorter vectors count as padded with zeros.
@@ -21,6 +23,8 @@ repeated row of it); other repeated rows of one vec_id count once.  Empty table:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +35,7 @@ from snapgraph.llm.common import written
 
 TABLES, PROBES, TOP = 8, 18, 20
 PIECE = 2048
+BAND = 1.25
 SEED = 20240607
 
 
@@ -70,7 +75,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite & F.exists("v", lambda x: x != 0))
 
 
-def hashed(rows: DataFrame, width: int, longest: float | None, tables: int, probes: int, asks: bool) -> DataFrame:
+def hashed(rows: DataFrame, width: int, tables: int, probes: int) -> DataFrame:
     """row and cell (table and axis) of rows (row, v), one for each table and probe."""
 
     def run(batches):
@@ -82,13 +87,7 @@ def hashed(rows: DataFrame, width: int, longest: float | None, tables: int, prob
             for row, own in zip(x, cells):
                 row[: len(own)] = own
             scale = np.abs(x).max(1, keepdims=True)
-            norm = scale * np.linalg.norm(x / scale, axis=1, keepdims=True)
-            if longest is None:
-                unit = x / norm
-            elif asks:
-                unit = np.hstack([x / norm, np.zeros((len(x), 1))])
-            else:
-                unit = np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))])
+            unit = x / (scale * np.linalg.norm(x / scale, axis=1, keepdims=True))
             found = axes(unit, tables, probes)
             numbers = (found + (np.arange(tables, dtype=np.int32) << 20)[None, :, None]).reshape(len(x), -1)
             for low in range(0, len(ids), 256):
@@ -119,17 +118,24 @@ def best_of(ids: np.ndarray, firsts: np.ndarray, x: np.ndarray, query: int, q: n
 def neighbours(vectors: DataFrame, is_query: Column, top: int = TOP, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every row for which is_query (on vec_id) holds."""
     rows, _ = written(usable(vectors).dropDuplicates(["vec_id", "v"]).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = rows.agg(F.max(F.size("v")), F.max(norm), F.min(norm)).first()
-    width = int(facts[0] or 1)
-    longest = float(facts[1]) if facts[1] and facts[1] - facts[2] > 1e-6 * facts[1] else None
-    base, _ = written(hashed(rows.select("row", "v"), width, longest, tables, 1, False), "cells")
-    loads = base.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    held = base.join(loads, "cell").select("row", "cell", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece"))
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    norm = F.log(F.col("most")) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + x / F.col("most") * (x / F.col("most")))) / 2
+    rows, _ = written(rows.withColumn("most", most).withColumn("band", F.round(norm / math.log(BAND)).cast("int")).drop("most"), "banded")
+    width = int(rows.agg(F.max(F.size("v"))).first()[0] or 1)
+    bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()
+    large = [r.band for r in bands if r.n > PIECE]
+    # A cell is a band's number above 32 bits of table and axis; the one cell of a small band has 1 << 31 there.
+    cell = lambda below: (F.col("band").cast("long") * (1 << 32) + below).alias("cell")
+    whole = F.lit(1 << 31)
+    spread = hashed(rows.where(F.col("band").isin(large)).select("row", "v"), width, tables, 1).join(rows.select("row", "band"), "row")
+    base, _ = written(spread.select("row", cell(F.col("cell"))).unionByName(rows.where(~F.col("band").isin(large)).select("row", cell(whole))), "cells")
+    loads, _ = written(base.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")), "loads")
     queries, _ = written(rows.where(is_query).dropDuplicates(["vec_id"]), "queries")
-    asked = hashed(queries.select("row", "v"), width, longest, tables, probes, True)
-    asks = asked.join(loads, "cell").select("row", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    asks = asks.join(queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "row").select("query_id", "cell", "piece", "q")
+    spark = rows.sparkSession
+    both = spark.createDataFrame([(b,) for b in large], "band int"), spark.createDataFrame([(r.band,) for r in bands if r.n <= PIECE], "band int")
+    asked = hashed(queries.select("row", "v"), width, tables, probes).crossJoin(F.broadcast(both[0])).select("row", cell(F.col("cell")))
+    asked = asked.unionByName(queries.select("row").crossJoin(F.broadcast(both[1])).select("row", cell(whole)))
+    held = base.join(loads, "cell").select("row", "cell", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece"))
     held = held.join(rows, "row").select("vec_id", "cell", "piece", "v")
 
     def search(key, queries: pa.Table, items: pa.Table) -> pa.Table:
@@ -155,7 +161,20 @@ def neighbours(vectors: DataFrame, is_query: Column, top: int = TOP, tables: int
         arrays = [np.concatenate(a) if a else np.zeros(0) for a in (out_q, out_v, out_s)]
         return pa.Table.from_arrays([pa.array(arrays[0].astype(np.int64)), pa.array(arrays[1].astype(np.int64)), pa.array(arrays[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
-    found = asks.groupBy("cell", "piece").cogroup(held.groupBy("cell", "piece")).applyInArrow(search, "query_id long, vec_id long, score double")
-    each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def answers(asked: DataFrame) -> DataFrame:
+        asks = asked.select("row", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        asks = asks.join(queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "row").select("query_id", "cell", "piece", "q")
+        found = asks.groupBy("cell", "piece").cogroup(held.groupBy("cell", "piece")).applyInArrow(search, "query_id long, vec_id long, score double")
+        each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+        return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    first, _ = written(answers(asked.join(loads, "cell")), "answers")
+    candidates = rows.select("vec_id").distinct().count() - 1
+    counts = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short, _ = written(queries.select("row", F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(top, candidates)).select("row", "query_id"), "short")
+    if short.isEmpty():
+        return first
+    # Table 0 and the small bands hold every row once.
+    once = loads.where((F.pmod("cell", F.lit(1 << 32)) < 1 << 20) | (F.pmod("cell", F.lit(1 << 32)) == whole))
+    return first.join(short, "query_id", "left_anti").unionByName(answers(short.select("row").crossJoin(F.broadcast(once))))

@@ -393,6 +393,33 @@ def test_nearest_counts_repeated_rows_once(spark):
     assert all(len(v) == len(set(v)) == 20 for v in got.values())
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "lognormal", "outlier"])
+def test_nearest_recall_on_unequal_norms(spark, kind):
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(6000, 64))
+    if kind != "gaussian":
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+    if kind == "lognormal":
+        y *= rng.lognormal(size=(6000, 1))
+    if kind == "outlier":
+        y[7] *= 1000
+    got = found_by(spark, [(k, y[k].tolist()) for k in range(6000)])
+    recall = exact_hits(y, got, range(0, 6000, 60))
+    print(kind, recall)
+    assert recall >= 0.9
+
+
+def test_nearest_gives_all_of_few_candidates_and_of_far_queries(spark):
+    rng = np.random.default_rng(7)
+    few = found_by(spark, [(k, rng.normal(size=8).tolist()) for k in range(13)])
+    assert sorted(few[0]) == list(range(1, 13))
+    near = rng.normal(size=(3000, 128)) * 0.001
+    near[:, 0] += 1
+    near[0] = -near[0]
+    far = found_by(spark, [(k, near[k].tolist()) for k in range(3000)])
+    assert len(far[0]) == 20
+
+
 # ---------------------------------------------------------------- 9
 
 

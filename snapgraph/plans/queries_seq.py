@@ -136,7 +136,7 @@ QUERIES = {
     "agg11_inverted_index": (lambda s, d: T.inverted_index(docs(s, d)).select("word", "n", F.concat_ws(",", "keys").alias("docs")), "SELECT word, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) GROUP BY word"),
     "str6_suffix_array": (lambda s, d: T.suffix_array(suffix_text(s, d)), f"WITH {SUFFIX} SELECT idx, row_number() OVER (ORDER BY suf)-1 AS rank FROM sx"),
     "str7_lcp": (
-        lambda s, d: T.lcp(c := suffix_text(s, d), T.suffix_array(c)),
+        lambda s, d: T.lcp(suffix_text(s, d)),
         f"WITH {SUFFIX}, o AS (SELECT row_number() OVER (ORDER BY suf)-1 AS rank, suf, lag(suf) OVER (ORDER BY suf) AS prev FROM sx) SELECT rank, (SELECT count(*) FROM (SELECT unnest(range(1, least(length(suf), length(prev))+1)) AS k) WHERE substr(suf, 1, k::INT)=substr(prev, 1, k::INT)) AS lcp FROM o WHERE prev IS NOT NULL",
     ),
     "str8_cartesian_tree": (lambda s, d: T.cartesian_tree(seq(s, d).select(F.col("user_id").alias("g"), "idx", "val"), "g"), None),

@@ -152,6 +152,21 @@ def test_suffix_array_of_whole_documents(spark, tmp_path):
     assert rows(got.select("rank", "idx")) == list(enumerate(order))
 
 
+def test_lcp_of_whole_documents_takes_few_rounds(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    long_one = "".join(rng.choice("aBé ") for _ in range(200))
+    whole = (long_one + "x" + long_one).lower()
+    cuts = []
+    monkeypatch.setattr(T, "cut", lambda df, cut=T.cut: cuts.append(1) or cut(df))
+    got = rows(QUERIES["str7_lcp"][0](spark, documents_at(spark, tmp_path, [long_one, "X", long_one])).select("rank", "lcp"))
+    order, want = sorted(range(len(whole)), key=lambda k: whole[k:].encode()), []
+    for r in range(1, len(whole)):
+        x, y = whole[order[r - 1] :], whole[order[r] :]
+        want.append((r, next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))))
+    assert got == want and max(n for _, n in want) == 200
+    assert len(cuts) < 40  # one for each character before
+
+
 def test_cartesian_tree_and_tokens(spark):
     got = rows(T.cartesian_tree(spark.createDataFrame([(1, k, v) for k, v in enumerate([3, 1, 2, 1, 5])], "g long, idx long, val long"), "g"))
     assert got == [(1, 0, 1), (1, 1, 1), (1, 2, 3), (1, 3, 1), (1, 4, 3)]

@@ -9,10 +9,12 @@
    token's list) that most of its tokens name.  Groups over ``GROUP_BYTES`` are
    split, the leader in each piece.  A group keeps its sets, its token union and
    the links inside it.
-4. Matrix: rows (token, group).  A set asks a foreign group only if a listed
-   token of the set is in it and the two are not already in one component; the
+4. Matrix: one row per (token, group), with the span of the components that the
+   group's sets of the token are in.  A set asks a foreign group only if a listed
+   token of the set is in it and a set of another component may hold it there; the
    group counts the set's overlap with its token union first and is opened only
-   if that can reach ceil(t n).
+   if that can reach ceil(t n).  A group with many askers is copied, one copy for
+   each ASKS of them.
 5. Components of all links.
 
 Links inside a component that is already joined are not listed: the smallest id
@@ -38,6 +40,8 @@ WORDS = 4
 #: Linked: 100 * intersection >= PERCENT * union, in whole numbers.
 PERCENT = 85
 GROUP_BYTES = 6 << 20
+#: Sets that are looked up in one copy of an opened group.
+ASKS = 1024
 #: Small blocks: a task holds the shingles of one, and the answers to them.
 BLOCK = 1 << 20
 SIZES = "block long, k int, doc_id long, n_shingles long, set_id long"
@@ -113,15 +117,13 @@ class Joined:
         return a != b
 
 
-def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Fewer links than sets, that join the components among the sets of one group, the first set being its leader."""
+def local_components(sets: list[np.ndarray], percent: int) -> list[int]:
+    """For each set of a group the place of the first one of its component; the first set of all is the group's leader."""
     n = np.array([len(s) for s in sets], np.int64)
-    found, open_ones, joined_sets = [], [], Joined(len(sets))
+    open_ones, joined_sets = [], Joined(len(sets))
     for k in range(1, len(sets)):
-        overlap = shared(sets[k], sets[0])
-        if linked(overlap, n[k], n[0], percent):
+        if linked(shared(sets[k], sets[0]), n[k], n[0], percent):
             joined_sets.join(0, k)
-            found.append((ids[0], ids[k]))
         else:
             open_ones.append(k)
     if open_ones and len(sets) > 2:
@@ -135,9 +137,8 @@ def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
             at = np.repeat(low - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
             overlap = np.bincount(owner[at], minlength=len(sets))
             for j in np.flatnonzero(linked(overlap, n[k], n, percent) & (overlap > 0)).tolist():
-                if joined_sets.join(k, j):
-                    found.append((ids[k], ids[j]))
-    return found
+                joined_sets.join(k, j)
+    return [joined_sets.root(k) for k in range(len(sets))]
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -160,21 +161,30 @@ def joined_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     light, _ = written(sizes(blocks, words), "sizes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "block", "k")).alias("first")
     classes, _ = written(light.where("set_id is not null").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies")).select("set_id", "first.doc_id", "first.block", "first.k", "copies"), "classes")
-    links = set_links(blocks, path, classes, words, percent)
-    return labelled(light, classes, links)
+    state, links = set_links(blocks, path, classes, words, percent)
+    return labelled(light, classes, state, links)
 
 
-def labelled(light: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(light: DataFrame, classes: DataFrame, state: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id of their component; state: components inside groups, links: between those."""
     nodes = components(links)
-    of_set = classes.join(nodes, classes["set_id"] == nodes["node"], "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
+    joined = state.join(nodes, state["c"] == nodes["node"], "left").select("x", F.coalesce("component", "c").alias("component"))
+    of_set = classes.join(joined, classes["set_id"] == joined["x"], "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named, _ = written(of_set.join(smallest, "component").select(F.col("set_id").alias("s"), "component_id"), "named")
     return light.join(named, light["set_id"] == named["s"], "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links between set ids that join all similar classes."""
+def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(x, c): the component that each listed set has inside its group, and (a, b): links between such components that join all similar classes."""
     spark = blocks.sparkSession
+    paths: list[str] = []
+
+    def step(df: DataFrame, tag: str) -> DataFrame:
+        df, path = written(df, tag)
+        paths.append(path)
+        return df
+
     total = blocks.agg(F.sum(F.length("text"))).first()[0] or 0
     # Frequencies only order shingles, so their names need just so many bits that few unlike ones meet.
     bits = min(64, max(32, int(total // 6 + 1).bit_length() + 11))
@@ -193,7 +203,7 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
                 if rows:
                     yield routed_batch(rows)
 
-    replies, _ = written(answered(blocks.mapInArrow(send, "part int, block long, space int, n int, keys binary, counts binary"), sum_bytes), "degrees")
+    replies = step(answered(blocks.mapInArrow(send, "part int, block long, space int, n int, keys binary, counts binary"), sum_bytes), "degrees")
     # The first document of each class, as rows of the same shape: its place and its class's copies.
     firsts = classes.select("block", F.col("k").alias("part"), F.lit(1).alias("space"), F.col("copies").cast("int").alias("n"), F.lit(None).cast("binary").alias("reply"))
 
@@ -217,20 +227,21 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
                     rows.append((set_id(own), n, own.tobytes(), tokens.view(np.int64)))
         return _table(rows, ["x", "n", "keys", "tokens"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])
 
-    active, _ = written(blocks.groupBy("block").cogroup(replies.unionByName(firsts).groupBy("block")).applyInArrow(listed, "x long, n long, keys binary, tokens array<long>"), "active")
+    active = step(blocks.groupBy("block").cogroup(replies.unionByName(firsts).groupBy("block")).applyInArrow(listed, "x long, n long, keys binary, tokens array<long>"), "active")
     drop(spark, blocks_path)
-    tokens, _ = written(active.select("x", F.explode("tokens").alias("token")), "tokens")
+    drop(spark, paths.pop(0))
+    tokens = step(active.select("x", F.explode("tokens").alias("token")), "tokens")
 
     # Leaders and groups.
     leaders = tokens.groupBy("token").agg(F.min("x").alias("leader"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token", "leader")
     votes = tokens.join(leaders, "token").groupBy("x", "leader").agg(F.count(F.lit(1)).alias("votes"))
     chosen = votes.groupBy("x").agg(F.max(F.struct("votes", (-F.col("leader")).alias("minus"))).alias("best")).select("x", (-F.col("best.minus")).alias("leader"))
     leads = chosen.select("leader").distinct().select(F.col("leader").alias("x"), F.col("leader"))
-    member, _ = written(leads.union(chosen.join(leads.select("x"), "x", "left_anti")), "member")
+    member = step(leads.union(chosen.join(leads.select("x"), "x", "left_anti")), "member")
     loads = member.join(active.select("x", F.length("keys").alias("bytes")).dropDuplicates(["x"]), "x").groupBy("leader").agg(F.sum("bytes").alias("bytes"))
     pieces = loads.select("leader", F.ceil(F.col("bytes") / GROUP_BYTES).cast("int").alias("pieces"))
     placed = member.join(pieces, "leader").select("x", "leader", F.explode(F.when(F.col("x") == F.col("leader"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.hash("x"), F.col("pieces"))))).alias("piece"))
-    placed, _ = written(placed.withColumn("g", F.xxhash64("leader", "piece")), "placed")
+    placed = step(placed.withColumn("g", F.xxhash64("leader", "piece")), "placed")
 
     def group(key, table):
         ids, cells, lead = (table.column(c).to_pylist() for c in ("x", "keys", "leader"))
@@ -238,32 +249,34 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
         order = [k for j, k in enumerate(order) if not j or ids[k] != ids[order[j - 1]]]
         sets = [np.frombuffer(cells[k], np.uint64) for k in order]
         names = [ids[k] for k in order]
-        links = local_links(names, sets, percent)
+        # Named by its first set, a component is the same in all pieces: only the leader is in several.
+        parts = [names[k] for k in local_components(sets, percent)]
         union = np.unique(np.concatenate(sets))
         return _table(
-            [(key[0].as_py(), names, [len(s) for s in sets], np.concatenate(sets).tobytes(), len(union), pack_sorted(union), [a for a, _ in links], [b for _, b in links])],
-            ["g", "ids", "n", "sets", "n_union", "union", "a", "b"],
-            [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())],
+            [(key[0].as_py(), lead[0], table.column("piece")[0].as_py(), names, parts, [len(s) for s in sets], np.concatenate(sets).tobytes(), len(union), pack_sorted(union))],
+            ["g", "leader", "piece", "ids", "parts", "n", "sets", "n_union", "union"],
+            [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary()],
         )
 
-    schema = "g long, ids array<long>, n array<long>, sets binary, n_union long, union binary, a array<long>, b array<long>"
-    groups, _ = written(placed.join(active.select("x", "keys"), "x").groupBy("g").applyInArrow(group, schema), "groups")
-    inner = groups.select(F.explode(F.arrays_zip("a", "b")).alias("l")).select("l.a", "l.b")
-    inner, _ = written(inner, "inner")
-
-    # Token-group matrix: what a token still has to join.
-    so_far = components(inner)
-    state = member.join(so_far, member["x"] == so_far["node"], "left").select("x", F.coalesce("component", "x").alias("c"))
-    state, _ = written(placed.where("x <> leader or piece = 0").select("x", "g").join(state, "x"), "state")
-    spots, _ = written(tokens.join(state, "x"), "spots")
-    mixed = spots.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    rows = spots.join(mixed, "token", "left_semi")
-    shares = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("sets"))
-    main = shares.groupBy("token").agg(F.max(F.struct("sets", "c")).alias("m")).select("token", F.col("m.c").alias("main"))
-    asking = rows.join(main, "token").where("c <> main").select("token", "x", "c", "main")
-    matrix = rows.groupBy("token", "c", "g").agg(F.count(F.lit(1)).alias("k")).select("token", F.col("c").alias("d"), "g")
-    asked = asking.join(matrix, "token").where("c <> d and (d = main or c < d)").select("x", "g").distinct()
-    queries = asked.join(active.select("x", "keys").dropDuplicates(["x"]), "x")
+    schema = "g long, leader long, piece int, ids array<long>, parts array<long>, n array<long>, sets binary, n_union long, union binary"
+    groups = step(placed.join(active.select("x", "keys"), "x").groupBy("g").applyInArrow(group, schema), "groups")
+
+    # Token-group matrix: what a token still has to join.  A cell tells the span of the components that the
+    # group's sets with the token are in, so it is one row however many of its sets are not joined yet.
+    inner = groups.select("g", "leader", "piece", F.explode(F.arrays_zip("ids", "parts")).alias("s"))
+    state, _ = written(inner.select("g", "leader", "piece", F.col("s.ids").alias("x"), F.col("s.parts").alias("c")).where("x <> leader or piece = 0").select("x", "g", "c"), "state")
+    spots = step(tokens.join(state, "x"), "spots")
+    cells = step(spots.groupBy("token", "g").agg(F.min("c").alias("low"), F.max("c").alias("high")), "cells")
+    open_tokens = cells.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("groups")).where("low <> high and groups > 1").select("token")
+    # The component that most of a token's sets are in does not ask: the others ask it.
+    shares = spots.join(open_tokens, "token", "left_semi").groupBy("token", "c").agg(F.count(F.lit(1)).alias("sets"))
+    main = step(shares.groupBy("token").agg(F.max(F.struct("sets", "c")).alias("m")).select("token", F.col("m.c").alias("main")), "main")
+    asking = spots.join(main, "token").where("c <> main").select("token", "x", "c", "main", F.col("g").alias("own"))
+    asked = asking.join(cells, "token").where("g <> own and (high > c or low <= main and main <= high)").select("x", "c", "g").distinct()
+    asked = step(asked, "asked")
+    shares = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("shares"))
+    queries = asked.join(shares, "g").join(active.select("x", "keys").dropDuplicates(["x"]), "x").select("g", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"), "x", "c", "keys")
+    opened = groups.join(shares, "g").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
 
     def open_group(key, asks: pa.Table, held: pa.Table) -> pa.Table:
         found = []
@@ -273,24 +286,22 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
             bounds = np.concatenate([[0], np.cumsum(n)])
             every = np.frombuffer(row["sets"], np.uint64)
             # One link of a set to each of the group's own components is enough.
-            place = {x: k for k, x in enumerate(row["ids"])}
-            own_parts = Joined(len(n))
-            for a, b in zip(row["a"], row["b"]):
-                own_parts.join(place[a], place[b])
-            for x, cell in zip(asks.column("x").to_pylist(), asks.column("keys").to_pylist()):
+            for x, c, cell in zip(*(asks.column(name).to_pylist() for name in ("x", "c", "keys"))):
                 own = np.frombuffer(cell, np.uint64)
                 if shared(own, union) < need(len(own), percent):
                     continue
-                met = set()
+                met = {c}
                 for k in np.flatnonzero((100 * n >= percent * len(own)) & (100 * len(own) >= percent * n)).tolist():
-                    part = own_parts.root(k)
-                    if part not in met and row["ids"][k] != x and linked(shared(own, every[bounds[k] : bounds[k + 1]]), len(own), int(n[k]), percent):
+                    part = row["parts"][k]
+                    if part not in met and linked(shared(own, every[bounds[k] : bounds[k + 1]]), len(own), int(n[k]), percent):
                         met.add(part)
-                        found.append((x, row["ids"][k]))
+                        found.append((c, part))
         return _table(found, ["a", "b"], [pa.int64(), pa.int64()])
 
-    outer = queries.groupBy("g").cogroup(groups.groupBy("g")).applyInArrow(open_group, "a long, b long")
-    return inner.union(outer)
+    links, _ = written(queries.groupBy("g", "share").cogroup(opened.groupBy("g", "share")).applyInArrow(open_group, "a long, b long").distinct(), "links")
+    for path in paths:
+        drop(spark, path)
+    return state.select("x", "c"), links
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -4,16 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.  A single machine gets one of its own; a cluster without one is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    there = context._jsc.sc().getCheckpointDir()
+    if not there.isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='snapgraph-')}")
+        there = context._jsc.sc().getCheckpointDir()
+    return there.get().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows from a reliable checkpoint; the folder is the cluster's spark.checkpoint.dir, one of our own only where none is set."""
+    """The rows from a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="snapgraph-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

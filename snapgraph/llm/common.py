@@ -8,6 +8,7 @@ texts count as empty, null ids stay null, repeated rows stay separate rows.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import sys
@@ -21,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapgraph.functions.cuts import shared_folder
+
 BLOCK_BYTES = 2 << 20
 #: Bytes that go to a Python worker at once, so that two workers and the JVM fit an executor of 3 GB.
 BATCH_BYTES = 16 << 20
@@ -39,16 +42,7 @@ WRITES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if there.isDefined():
-            base = there.get()
-        else:  # tests and single machines only: a cluster names its shared folder
-            base = f"file:///tmp/snapgraph-{uuid.uuid4().hex}"
-            spark.sparkContext.setCheckpointDir(base)
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{base.rstrip('/')}/snapgraph-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/snapgraph-{tag}-{uuid.uuid4().hex}"
     atexit.register(_drop_quietly, spark, path)
     return path
 
@@ -65,31 +59,60 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def own_shuffles(spark: SparkSession):
+    """Writes begun here lose their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, tag: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """The rows, once written to the shared folder: lineage ends there and an executor may go."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
+    path = scratch(df.sparkSession, tag)
     writer = df.write.option("compression", codec)
     for name, value in WRITES.items():
         writer = writer.option(name, value)
-    before = spark.conf.get(CLEANUP, None)
-    if before is not None:  # the shuffle files of this step alone go with its end
-        spark.conf.set(CLEANUP, "true")
-    try:
+    with own_shuffles(df.sparkSession):
         writer.parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of the finished steps go now, not when the driver's heap fills
-    return spark.read.schema(schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+#: As many buckets as Spark allows by default.
+MOST_BUCKETS = 100_000
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, tag: str):
+    """The rows as a table in the shared folder, bucketed by the key, so that grouping by it never shuffles them; and a function that drops it."""
+    spark = df.sparkSession
+    path, name = scratch(spark, tag), f"snapgraph_{tag}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", path).option("compression", "snappy")
+    for option, value in WRITES.items():
+        writer = writer.option(option, value)
+    with own_shuffles(spark):
+        writer.bucketBy(min(buckets, MOST_BUCKETS), key).saveAsTable(name)
+
+    def done() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop(spark, path)
+
+    return spark.table(name), done
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """row, d: the rows as structs, written once with a number each, so that repeated rows and null ids
+    stay apart and no column of the user's can be taken for one of ours; and their folder."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[named(c)] for c in docs.columns)).alias("d")), "rows")
 
 
-def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """The rows, written once with a number each, so that repeated rows and null ids stay apart."""
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")[0]
+def named(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def task_cache() -> dict:

@@ -273,11 +273,11 @@ def described(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows, with all their columns, whose text holds no window of the test set."""
-    rows = numbered(docs)
-    index, path = build_index(rows.select(F.col("_row").alias("doc_id"), "text"))
-    hit, _ = written(described(index, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_row")), "hit")
+    rows, _ = numbered(docs)
+    index, path = build_index(rows.select(F.col("row").alias("doc_id"), F.col("d.text").alias("text")))
+    hit, _ = written(described(index, benchmark, window).where("contaminated").select(F.col("doc_id").alias("row")), "hit")
     drop(docs.sparkSession, path)
-    return rows.join(hit, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(hit, "row", "left_anti").select("d.*")
 
 
 #: The same rows in DuckDB.

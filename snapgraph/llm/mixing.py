@@ -30,12 +30,11 @@ MOST_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-ROW = "_mix_row"
-
-
-def sized(docs: DataFrame, *rest: str) -> DataFrame:
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *rest)
+def sized(docs: DataFrame, place: str = "", *rest: str) -> DataFrame:
+    """doc_id, source, size (and the columns named) of rows that hold the documents at the place given."""
+    text = F.col(place + "text")
+    size = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
+    return docs.select(F.col(place + "doc_id").cast("long").alias("doc_id"), F.col(place + "source").cast("string").alias("source"), size.alias("size"), *rest)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -74,7 +73,7 @@ def _picked(sizes: DataFrame, weights, most) -> DataFrame:
     spark = sizes.sparkSession
     goals = targets(sizes, weights, most)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inner = ["size", "doc_id", *([ROW] if ROW in sizes.columns else [])]
+    inner = ["size", "doc_id", *(c for c in sizes.columns if c == "row")]
     key = [F.col("source").asc_nulls_last(), *inner]
     ranged, _ = written(sizes.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()), "ranges")
     # A few rows per range; their running sum is the only thing that spans ranges.
@@ -83,21 +82,21 @@ def _picked(sizes: DataFrame, weights, most) -> DataFrame:
     starts = counts.select("source", "part", F.coalesce(before, F.lit(0)).alias("before"))
     facts = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(starts["source"].alias("s"), F.col("part").alias("p"), "before", "source_size", "target")
     inside = W.partitionBy("part", "source").orderBy(*inner)
-    numbered = ranged.withColumn("row", F.row_number().over(inside))
-    placed = numbered.join(facts, (numbered["part"] == facts["p"]) & numbered["source"].eqNullSafe(facts["s"]))
+    ranks = ranged.withColumn("rank", F.row_number().over(inside))
+    placed = ranks.join(facts, (ranks["part"] == facts["p"]) & ranks["source"].eqNullSafe(facts["s"]))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rank = (F.col("before") + F.col("row")).cast("double")
+    rank = (F.col("before") + F.col("rank")).cast("double")
     copies = F.floor(rank * F.col("each") + F.col("offset")) - F.floor((rank - 1.0) * F.col("each") + F.col("offset"))
     return placed.withColumn("each", each).withColumn("offset", offset).withColumn("copies", copies.cast("long"))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    rows = numbered(docs, ROW)
-    sizes, _ = written(sized(rows, ROW), "sizes")
-    picks = _picked(sizes, weights, most).where("copies > 0").select(ROW, "copies")
-    return rows.join(picks, ROW).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, _ = numbered(docs)
+    sizes, _ = written(sized(rows, "d.", "row"), "sizes")
+    picks = _picked(sizes, weights, most).where("copies > 0").select("row", "copies")
+    return rows.join(picks, "row").select("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("d.*")
 
 
 #: The same rows in DuckDB.

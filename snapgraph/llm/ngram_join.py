@@ -306,11 +306,11 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows, with all their columns, of one document of each component: the smallest doc_id, then the first row.  Texts without words stay."""
-    rows = numbered(docs)
-    found = joined_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
-    found, _ = written(found.select(F.col("doc_id").alias("_row"), "component_id"), "found")
-    ranked = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row")).alias("first"))
-    return rows.join(ranked.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, _ = numbered(docs)
+    found = joined_components(rows.select(F.col("row").alias("doc_id"), F.col("d.text").alias("text")), words, percent)
+    found, _ = written(found.select(F.col("doc_id").alias("row"), "component_id"), "found")
+    ranked = found.join(rows.select("row", "d.doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first"))
+    return rows.join(ranked.select(F.col("first.row").alias("row")), "row", "left_semi").select("d.*")
 
 
 #: The same rows in DuckDB, for tables small enough to list the pairs.

@@ -4,9 +4,8 @@ Count tables of 1-, 2- and 3-grams are partitioned by the n-gram's hash; the
 n-grams of each block of documents are joined to them there and the counts go
 back to the block, where they are summed per document.  A first join on short
 hashes finds the n-grams that occur only once in the corpus (count 1, nothing
-more to ask); all others are counted by a hash of 26 bits more than the size of
-the corpus in bytes needs.  A document is scored by the rest of the corpus: its
-own occurrences are taken off every count first.
+more to ask); all others are counted by their 64-bit hash.  A document is scored
+by the rest of the corpus: its own occurrences are taken off every count first.
 
   S(w | u v) = c(u v w) / c(u v)                     if c(u v w) > 0
              = A * S(w | v)                           otherwise, down to
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, answered, gram_hashes, in_order, lower_table, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpacked, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, answered, bucketed, drop, gram_hashes, in_order, lower_table, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpacked, unpack_small, words_of, written
 
 ALPHA = 0.4
 #: Larger blocks send a common n-gram less often.
@@ -38,7 +37,7 @@ ROUTED = "part int, block long, space int, n int, keys binary, counts binary"
 SCORES = "doc_id long, n_words long, n_backoff long, score double"
 
 
-def grams_of(data: np.ndarray, ends: np.ndarray, drop_bits: np.uint64 = np.uint64(0)):
+def grams_of(data: np.ndarray, ends: np.ndarray):
     """Words per text, and for each order the n-grams that end at each word (0 where the text has too few before it) with a flag."""
     low = lower_table()[data]
     starts, stops = words_of(low, alnum_words())
@@ -49,7 +48,7 @@ def grams_of(data: np.ndarray, ends: np.ndarray, drop_bits: np.uint64 = np.uint6
     orders = []
     for n in range(1, ORDER + 1):
         keys = np.zeros(len(words), np.uint64)
-        keys[n - 1 :] = gram_hashes(words, n) >> drop_bits
+        keys[n - 1 :] = gram_hashes(words, n)
         orders.append((keys, place >= n - 1))
     return n_words, orders
 
@@ -67,28 +66,26 @@ def others(keys: np.ndarray, has: np.ndarray, doc: np.ndarray, totals: np.ndarra
 
 def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, n_backoff (words not scored by their longest n-gram), score (mean log10 of a word)."""
-    blocks, _ = written(text_blocks(docs, BLOCK, packed=True), "blocks")
-    size = blocks.agg(F.sum(F.element_at("ends", -1) + 1)).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    # The texts never leave their bucket: only names and the answers to them move.
+    blocks, done = bucketed(text_blocks(docs, BLOCK, packed=True), "block", max(12, -(-size // (2 * BLOCK))), "blocks")
     # Short names are enough to see that an n-gram occurs once; only a few others share them.
     bits = min(64, max(32, int(size // 2 + 1).bit_length() + 11))
     parts = parts_for(4 * size)
-    # Whole names: an n-gram shares its name with another one with a chance of about 2^-28.
-    whole = min(64, int(size + 1).bit_length() + 26)
-    bits = min(bits, whole)
-    shift, cut = np.uint64(64 - whole), np.uint64(whole - bits)
+    cut = np.uint64(64 - bits)
 
     def send_short(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in ("block", "ends", "text")}
-                _, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64), shift)
+                _, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64))
                 rows = []
                 for n, (keys, has) in enumerate(orders, 1):
                     distinct, counts = np.unique(keys[has] >> cut, return_counts=True)
                     rows += routes(row["block"], n, distinct, np.minimum(counts, 2), parts, bits)
                 yield routed_batch(rows)
 
-    short, _ = written(answered(blocks.mapInArrow(send_short, ROUTED), repeated_bits), "short")
+    short, short_path = written(answered(blocks.mapInArrow(send_short, ROUTED), repeated_bits), "short")
 
     def shared(keys: np.ndarray, has: np.ndarray, replies: pa.Table, n: int):
         """The distinct n-grams of a block, their counts in it, and which of them may occur again."""
@@ -99,19 +96,19 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     def send_counts(key, block: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list = []
         for row in block.to_pylist():
-            n_words, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64), shift)
+            n_words, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64))
             rows += routes(row["block"], TOTAL, np.zeros(1, np.uint64), np.array([int(n_words.sum())]), parts)
             for n, (keys, has) in enumerate(orders, 1):
                 distinct, counts, again = shared(keys, has, replies, n)
-                rows += routes(row["block"], FULL + n, distinct[again], counts[again], parts, whole)
+                rows += routes(row["block"], FULL + n, distinct[again], counts[again], parts)
         return pa.Table.from_batches([routed_batch(rows)])
 
-    full, _ = written(answered(blocks.groupBy("block").cogroup(short.groupBy("block")).applyInArrow(send_counts, ROUTED), sum_bytes), "counts")
+    full, full_path = written(answered(blocks.groupBy("block").cogroup(short.groupBy("block")).applyInArrow(send_counts, ROUTED), sum_bytes), "counts")
 
     def finish(key, block: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
         for row in block.to_pylist():
-            n_words, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64), shift)
+            n_words, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64))
             doc = np.repeat(np.arange(len(n_words)), n_words)
             total = int(in_order(replies, TOTAL, unpack_small)[0])
             c = []
@@ -137,7 +134,11 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         columns = list(zip(*rows)) if rows else [[]] * 4
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.float64()])], names=["doc_id", "n_words", "n_backoff", "score"])
 
-    return blocks.groupBy("block").cogroup(short.unionByName(full).groupBy("block")).applyInArrow(finish, SCORES)
+    scores, _ = written(blocks.groupBy("block").cogroup(short.unionByName(full).groupBy("block")).applyInArrow(finish, SCORES), "scores")
+    done()
+    for path in (short_path, full_path):
+        drop(docs.sparkSession, path)
+    return scores
 
 
 #: The same scores in DuckDB.

@@ -1,15 +1,24 @@
 """A versioned graph store: one writer commits batches of insertions or deletions, readers pin immutable versions.
 
-Layout below a root folder: base/v=K (all edges of version K), delta/v=K (the
-batch that made version K, with its kind) and manifest/K.json.  A commit writes
-its data first and then creates the next manifest file, which fails if another
-writer has; that creation is the point at which the version exists.  Everything
-goes through Hadoop's file API, so the root may be any store Spark writes to.
+Layout below a root folder: base/ (all edges of some version), delta/ (the batch
+that made a version), manifest/K.json and pins/.  A commit writes its data, then
+its manifest under another name, and renames that to the next number without
+overwriting; the rename is the point at which the version exists, so a crash
+leaves no half version.  The root must be on a file system whose rename is atomic
+and refuses to overwrite (HDFS and its like); an object store needs a committer
+that gives it that.
+
+A pin is a file with the time until which it holds, so readers of other processes
+are seen too; a reader that dies loses its pin when that time is over.  Data files
+that no manifest names may belong to a commit under way: they go only when they
+are older than GRACE_S.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -19,6 +28,12 @@ from pyspark.sql import functions as F
 from snapgraph.plans.graph import Graph
 
 
+#: Seconds that a pin holds unless it is renewed, and that unnamed data files are left alone.
+LEASE_S, GRACE_S = 3600.0, 24 * 3600.0
+#: Batches after which a commit writes a new base, so that reads stay short.
+COMPACT_AFTER = 64
+
+
 class Conflict(RuntimeError):
     """Another writer has committed the version."""
 
@@ -29,13 +44,17 @@ class Snapshot:
 
     store: GraphStore
     version: int
+    pin: str
 
     @property
     def graph(self) -> Graph:
         return self.store.graph_at(self.version)
 
+    def renew(self, seconds: float = LEASE_S) -> None:
+        self.store.hold(self.version, self.pin, seconds)
+
     def release(self) -> None:
-        self.store.release(self.version)
+        self.store.release(self.pin)
 
     def __enter__(self) -> Graph:
         return self.graph
@@ -45,9 +64,9 @@ class Snapshot:
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._pins: dict[int, int] = {}
+    def __init__(self, spark: SparkSession, root: str, compact_after: int = COMPACT_AFTER):
+        self.spark, self.root, self.compact_after = spark, root.rstrip("/"), compact_after
+        self._writing = threading.RLock()
 
     # -- files
 
@@ -59,28 +78,50 @@ class GraphStore:
         fs, p = self._fs(f"{self.root}/{folder}")
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
+    def _delete(self, name: str) -> None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        fs.delete(p, True)
+
     def _read(self, version: int) -> dict:
-        fs, p = self._fs(f"{self.root}/manifest/{version}.json")
+        return self._json(f"manifest/{version}.json")
+
+    def _json(self, name: str) -> dict:
+        fs, p = self._fs(f"{self.root}/{name}")
         stream = fs.open(p)
         try:
             return json.loads(bytes(b & 255 for b in stream.readAllBytes()))
         finally:
             stream.close()
 
-    def _publish(self, version: int, facts: dict) -> None:
-        fs, p = self._fs(f"{self.root}/manifest/{version}.json")
+    def _put(self, name: str, facts: dict) -> None:
+        """The file, whole or not at all; raises Conflict if there is one of that name."""
+        aside = f"{name}.{uuid.uuid4().hex}.part"
+        fs, p = self._fs(f"{self.root}/{aside}")
+        out = fs.create(p, False)
         try:
-            out = fs.create(p, False)
+            out.write(bytearray(json.dumps(facts).encode()))
+        finally:
+            out.close()
+        context, hadoop = self.spark.sparkContext, self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        never = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        never[0] = getattr(hadoop, "Options$Rename").NONE
+        target = hadoop.Path(f"{self.root}/{name}")
+        try:
+            hadoop.FileContext.getFileContext(target.toUri(), context._jsc.hadoopConfiguration()).rename(p, target, never)
         except Exception as e:
-            raise Conflict(f"version {version} exists") from e
-        out.write(bytearray(json.dumps(facts).encode()))
-        out.close()
+            fs.delete(p, False)
+            if fs.exists(target):
+                raise Conflict(f"{name} exists") from e
+            raise
+
+    def _publish(self, version: int, facts: dict) -> None:
+        self._put(f"manifest/{version}.json", facts)
 
     # -- versions
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, graph: Graph | None = None) -> GraphStore:
-        store = cls(spark, root)
+    def create(cls, spark: SparkSession, root: str, graph: Graph | None = None, compact_after: int = COMPACT_AFTER) -> GraphStore:
+        store = cls(spark, root, compact_after)
         graph = graph or Graph.empty(spark)
         folder = f"base/{uuid.uuid4().hex}"
         graph.edges.select("src", "dst").repartition("src").sortWithinPartitions("src", "dst").write.parquet(f"{store.root}/{folder}")
@@ -94,18 +135,35 @@ class GraphStore:
     def latest(self) -> int:
         return self.versions()[-1]
 
-    def readers(self, version: int) -> int:
-        return self._pins.get(version, 0)
-
-    def acquire(self, version: int | None = None) -> Snapshot:
-        version = self.latest() if version is None else version
-        self._pins[version] = self._pins.get(version, 0) + 1
-        return Snapshot(self, version)
+    def _pins(self) -> list[tuple[int, float, str]]:
+        """(version, until when, name) of every pin."""
+        return [(int(v), float(until), n) for n in self._names("pins") if not n.endswith(".part") for v, until in [n.split("-")[:2]]]
 
-    def release(self, version: int) -> None:
-        self._pins[version] -= 1
-        if not self._pins[version]:
-            del self._pins[version]
+    def readers(self, version: int) -> int:
+        return sum(v == version and until > time.time() for v, until, _ in self._pins())
+
+    def acquire(self, version: int | None = None, seconds: float = LEASE_S) -> Snapshot:
+        """A pinned version.  The pin is there before the version is looked at again, so no vacuum goes between."""
+        while True:
+            wanted = self.latest() if version is None else version
+            pin = uuid.uuid4().hex
+            self.hold(wanted, pin, seconds)
+            if wanted in self.versions():
+                return Snapshot(self, wanted, pin)
+            self.release(pin)
+            if version is not None:
+                raise KeyError(f"version {version} is gone")
+
+    def hold(self, version: int, pin: str, seconds: float) -> None:
+        old = [n for _, _, n in self._pins() if n.endswith(pin)]
+        self._put(f"pins/{version}-{time.time() + seconds:.3f}-{pin}", {})
+        for name in old:
+            self._delete(f"pins/{name}")
+
+    def release(self, pin: str) -> None:
+        for _, _, name in self._pins():
+            if name.endswith(pin):
+                self._delete(f"pins/{name}")
 
     # -- commits
 
@@ -117,15 +175,19 @@ class GraphStore:
 
     def _commit(self, op: str, batch: DataFrame, batch_id: int | None, small: bool) -> int:
         """A batch_id that a version carries already is not applied again."""
-        latest = self.latest()
-        facts = self._read(latest)
-        if batch_id is not None and facts["batch"] is not None and batch_id <= facts["batch"]:
-            return latest
-        folder = f"delta/{uuid.uuid4().hex}"
-        rows = batch.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropDuplicates()
-        (rows.coalesce(1) if small else rows).write.parquet(f"{self.root}/{folder}")
-        self._publish(latest + 1, {"base": facts["base"], "deltas": [*facts["deltas"], [latest + 1, op, folder]], "batch": batch_id if batch_id is not None else facts["batch"]})
-        return latest + 1
+        with self._writing:
+            latest = self.latest()
+            facts = self._read(latest)
+            if batch_id is not None and facts["batch"] is not None and batch_id <= facts["batch"]:
+                return latest
+            folder = f"delta/{uuid.uuid4().hex}"
+            rows = batch.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropDuplicates()
+            (rows.coalesce(1) if small else rows).write.parquet(f"{self.root}/{folder}")
+            deltas = [*facts["deltas"], [latest + 1, op, folder]]
+            self._publish(latest + 1, {"base": facts["base"], "deltas": deltas, "batch": batch_id if batch_id is not None else facts["batch"]})
+            if len(deltas) >= self.compact_after:
+                self.compact()
+            return latest + 1
 
     # -- reads
 
@@ -158,23 +220,28 @@ class GraphStore:
         graph.vertices.write.parquet(f"{self.root}/{folder}-v")
         self._publish(latest + 1, {"base": folder, "deltas": [], "batch": facts["batch"]})
 
-    def vacuum(self) -> list[int]:
-        """Drops the versions that are neither the newest nor pinned, and the data that no kept version needs."""
+    def vacuum(self, grace: float = GRACE_S) -> list[int]:
+        """Drops the versions that are neither the newest nor pinned, and the data older than ``grace`` seconds that no kept version needs."""
+        now = time.time()
+        for _, until, name in self._pins():
+            if until <= now:
+                self._delete(f"pins/{name}")
         every = self.versions()
-        kept = {every[-1], *self._pins}
+        kept = {every[-1], *(v for v, until, _ in self._pins() if until > now)} & set(every)
+        dropped = [v for v in every if v not in kept]
+        for v in dropped:
+            self._delete(f"manifest/{v}.json")
+        # Read after the versions went: what a commit has published meanwhile is needed too.
         needed = set()
-        for v in kept:
+        for v in self.versions():
             facts = self._read(v)
             needed |= {facts["base"], f"{facts['base']}-v", *(d[2] for d in facts["deltas"])}
-        dropped = [v for v in every if v not in kept]
-        for v in dropped:
-            fs, p = self._fs(f"{self.root}/manifest/{v}.json")
-            fs.delete(p, False)
         for folder in ("base", "delta"):
-            for name in self._names(folder):
-                if f"{folder}/{name}" not in needed:
-                    fs, p = self._fs(f"{self.root}/{folder}/{name}")
-                    fs.delete(p, True)
+            fs, p = self._fs(f"{self.root}/{folder}")
+            for status in fs.listStatus(p) if fs.exists(p) else ():
+                name = f"{folder}/{status.getPath().getName()}"
+                if name not in needed and status.getModificationTime() / 1000 <= now - grace:
+                    self._delete(name)
         return dropped
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgraph.functions.cuts import cut, with_rank
+from snapgraph.functions.cuts import cut, scanned, with_rank
 from snapgraph.functions.hashing import ith_rand
 from snapgraph.plans.graph import Graph
 from snapgraph.sources import codec
@@ -15,8 +16,10 @@ from snapgraph.sources import codec
 HEADER = "AdjacencyGraph"
 
 
-def read_adjacency(spark: SparkSession, path: str) -> Graph:
-    """Text: the header token, n, m, n offsets, m neighbour ids, white space between.
+def read_csr(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """The vertex count and the raw edges (place, src, dst) of a text file, as they stand there: self loops and repeats too.
+
+    Text: the header token, n, m, n offsets, m neighbour ids, white space between.
 
     Tokens get global places from per-line counts, so the file is read in splits;
     an edge's source is the last vertex whose offset is not past the edge's place.
@@ -33,7 +36,12 @@ def read_adjacency(spark: SparkSession, path: str) -> Graph:
     targets = spread.where((F.col("pos") >= 3 + n) & (F.col("pos") < 3 + n + m)).select((F.col("pos") - 3 - n).alias("place"), F.col("word").cast("long").alias("dst"))
     ends = offsets.select((F.col("id") - 1).alias("id"), F.col("start").alias("end"))
     lists = offsets.join(ends, "id", "left").select("id", "start", F.coalesce("end", F.lit(m)).alias("end")).where("end > start")
-    edges = lists.select(F.col("id").alias("src"), F.explode(F.sequence("start", F.col("end") - 1)).alias("place")).join(targets, "place").select("src", "dst")
+    edges = lists.select(F.col("id").alias("src"), F.explode(F.sequence("start", F.col("end") - 1)).alias("place")).join(targets, "place").select("place", "src", "dst")
+    return n, edges
+
+
+def read_adjacency(spark: SparkSession, path: str) -> Graph:
+    n, edges = read_csr(spark, path)
     return Graph.from_edges(edges, spark.range(n).toDF("id"))
 
 
@@ -43,65 +51,126 @@ def write_adjacency(g: Graph, path: str) -> None:
     m = g.edges.count()
     spark = g.edges.sparkSession
     every = Graph(spark.range(n).toDF("id"), g.edges)
-    from snapgraph.functions.cuts import scanned
-
     offsets = scanned(every.degrees(), ["id"], {"start": (F.col("degree"), "sum")}, inclusive=False).select((F.col("id") + 3).alias("pos"), F.col("start").cast("string").alias("value"))
     targets = every.retrieve_edges().select((F.col("pos") + 3 + n).alias("pos"), F.col("dst").cast("string").alias("value"))
     head = spark.createDataFrame([(0, HEADER), (1, str(n)), (2, str(m))], "pos long, value string")
     head.union(offsets).union(targets).orderBy("pos").select("value").write.text(path)
 
 
-def _vertex_rows(g: Graph, blocks: bool) -> list[tuple[int, bytes, int]]:
-    rows = []
-    for r in g.adjacency().orderBy("id").toLocalIterator():
-        rows.append((r["id"], (codec.encode_blocks if blocks else codec.encode)(r["id"], list(r["nbrs"])), r["degree"]))
-    return rows
+def _coded(g: Graph, blocks: bool) -> DataFrame:
+    """(id, cell, degree) for every id from 0 to the largest, encoded where the lists are."""
+    n = g.num_vertices().first()["n"]
+    lists = g.edges.sparkSession.range(n).join(g.adjacency(), "id", "left").select("id", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"))
+
+    def run(batches):
+        for batch in batches:
+            ids, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cells = [(codec.encode_blocks if blocks else codec.encode)(v, n) for v, n in zip(ids, own)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary()), pa.array([len(n) for n in own], pa.int64())], names=["id", "cell", "degree"])
+
+    return lists.mapInArrow(run, "id long, cell binary, degree long")
+
 
+def write_compressed(g: Graph, path: str, blocks: bool = False) -> None:
+    """One binary file: n, m, size (i64), n+1 byte offsets (u64), n degrees (u32), codes.
 
-def compressed_bytes(g: Graph, blocks: bool = False) -> bytes:
-    """The whole binary of a small graph: n, m, size (i64), n+1 byte offsets (u64), n degrees (u32), codes."""
-    rows = {i: (cell, degree) for i, cell, degree in _vertex_rows(g, blocks)}
-    n = max(rows, default=-1) + 1
-    cells, degrees = [rows.get(i, (b"", 0))[0] for i in range(n)], [rows.get(i, (b"", 0))[1] for i in range(n)]
-    offsets, at = [0], 0
-    for cell in cells:
-        at += len(cell)
-        offsets.append(at)
-    return struct.pack(f"<qqq{n + 1}Q{n}I", n, sum(degrees), at, *offsets, *degrees) + b"".join(cells)
+    The codes are made by the executors; the driver only passes on a partition at a time, as one file has one writer.
+    """
+    spark = g.edges.sparkSession
+    cells = cut(scanned(_coded(g, blocks).withColumn("size", F.length("cell").cast("long")), ["id"], {"start": (F.col("size"), "sum")}, inclusive=False))
+    n, m, total = cells.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ordered = cells.orderBy("id")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(struct.pack("<qqq", n, m, total)))
+        for column, kind in (("start", "<Q"), ("degree", "<I"), ("cell", None)):
+            held = bytearray()
+            for (value,) in ordered.select(column).toLocalIterator():
+                held += value if kind is None else struct.pack(kind, value)
+                if len(held) > 1 << 20:
+                    out.write(held)
+                    held = bytearray()
+            out.write(held + (struct.pack("<Q", total) if column == "start" else b""))
+    finally:
+        out.close()
+
+
+#: Schemes that pyarrow reads by range; files of other stores are read whole by Spark, up to the 2 GB of one cell.
+RANGED = ("file", "hdfs", "s3", "gs")
 
 
 def read_compressed(spark: SparkSession, path: str, fmt: str = "byte", parts: int = 8) -> Graph:
-    """Binary of either layout, ``byte`` or ``bytepda``; vertex ranges are decoded by as many tasks as there are parts.
+    """Binary of either layout, ``byte`` or ``bytepda``: each of the parts reads its range of vertices, and only its bytes.
 
-    Self loops and repeats go.  The file is one cell of Spark's binaryFile source, which holds files up to 2 GB.
+    Self loops and repeats go.  Raises if the degrees do not add up to the edge count.
     """
     if fmt not in ("byte", "bytepda"):
         raise ValueError(fmt)
-    files = spark.read.format("binaryFile").load(path).select("content")
-    cells = files.select("content", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(parts, "part")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, m, _ = struct.unpack_from("<qqq", content, 0)
-                offsets = struct.unpack_from(f"<{n + 1}Q", content, 24)
-                degrees = struct.unpack_from(f"<{n}I", content, 24 + 8 * (n + 1))
-                if sum(degrees) != m:
-                    raise ValueError("the degrees do not add up to the edge count")
-                base = 24 + 8 * (n + 1) + 4 * n
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(named).toString()
+    scheme = uri.split(":")[0]
+    uri = uri.replace("file:/", "file:///", 1) if scheme == "file" and not uri.startswith("file://") else uri
+
+    def piece(at: int, size: int) -> bytes:
+        import pyarrow.fs as pafs
+
+        system, name = pafs.FileSystem.from_uri(uri)
+        with system.open_input_file(name) as f:
+            f.seek(at)
+            return f.read(size)
+
+    def ranges(part: int, read) -> tuple:
+        """First vertex, degrees, edges of the part's vertices; read gives (offset, size) of the file."""
+        n, m, _ = struct.unpack("<qqq", read(0, 24))
+        low, high = n * part // parts, n * (part + 1) // parts
+        offsets = struct.unpack(f"<{high - low + 1}Q", read(24 + 8 * low, 8 * (high - low + 1)))
+        degrees = struct.unpack(f"<{high - low}I", read(24 + 8 * (n + 1) + 4 * low, 4 * (high - low)))
+        return (n, m), low, offsets, degrees, read(24 + 12 * n + 8 + offsets[0], offsets[-1] - offsets[0])
+
+    def decoded(part: int, read):
+        sizes, low, offsets, degrees, codes = ranges(part, read)
+        src, dst = [], []
+        for k, degree in enumerate(degrees):
+            cell = codes[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]]
+            own = codec.decode(low + k, degree, cell)[0] if fmt == "byte" else codec.decode_blocks(low + k, cell)
+            src += [low + k] * len(own)
+            dst += own
+            if len(src) > 1 << 16:
+                yield src, dst, 0, sizes
                 src, dst = [], []
-                for v in range(n * part // parts, n * (part + 1) // parts):
-                    cell = content[base + offsets[v] : base + offsets[v + 1]]
-                    own = codec.decode(v, degrees[v], cell)[0] if fmt == "byte" else codec.decode_blocks(v, cell)
-                    src += [v] * len(own)
-                    dst += own
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-    edges = cells.mapInArrow(run, "src long, dst long").where("src <> dst")
-    (count,) = struct.unpack("<q", bytes.fromhex(files.select(F.hex(F.substring("content", 1, 8))).first()[0]))
-    return Graph.from_edges(edges, spark.range(count).toDF("id"))
+        yield src, dst, sum(degrees), sizes
+
+    def batches_of(part: int, read):
+        for src, dst, total, (n, m) in decoded(part, read):
+            # A row without an edge tells the part's sum of degrees.
+            yield pa.RecordBatch.from_arrays([pa.array([*src, None], pa.int64()), pa.array([*dst, None], pa.int64()), pa.array([None] * len(src) + [total], pa.int64()), pa.array([None] * len(src) + [m], pa.int64()), pa.array([None] * len(src) + [n], pa.int64())], names=["src", "dst", "total", "m", "n"])
+
+    schema = "src long, dst long, total long, m long, n long"
+    if scheme in RANGED:
+
+        def run(batches):
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    yield from batches_of(part, piece)
+
+        cells = spark.range(0, parts, 1, parts).mapInArrow(run, schema)
+    else:
+
+        def run(batches):
+            for batch in batches:
+                for content in batch.column(0):
+                    whole = memoryview(content.as_buffer())
+                    for part in range(parts):
+                        yield from batches_of(part, lambda at, size: bytes(whole[at : at + size]))
+
+        cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    cells = cut(cells)
+    told = cells.where("total is not null").agg(F.sum("total").alias("total"), F.max("m").alias("m"), F.max("n").alias("n")).first()
+    if told["total"] != told["m"]:
+        raise ValueError("the degrees do not add up to the edge count")
+    edges = cells.where("src is not null and src <> dst").select("src", "dst")
+    return Graph.from_edges(edges, spark.range(told["n"]).toDF("id"))
 
 
 def load(spark: SparkSession, path: str, fmt: str = "adjacency", parts: int = 8) -> Graph:

@@ -18,13 +18,14 @@ UPDATES = "seq long, op string, src long, dst long"
 
 
 def apply_batch(store: GraphStore, batch: DataFrame, batch_id: int) -> None:
-    """One micro-batch as at most two commits: of each edge the last change by seq counts, deletions first.
+    """One micro-batch as at most two commits: of each undirected edge the last change by seq counts, deletions first.
 
     Runs with the same batch_id change nothing, so a restarted stream applies every batch once.
     """
-    last = batch.groupBy("src", "dst").agg(F.max_by("op", "seq").alias("op")).persist()
+    edge = F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")
+    last = batch.groupBy(*edge).agg(F.max_by("op", "seq").alias("op")).persist()
     try:
-        both = last.select("op", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("op", "e.src", "e.dst")
+        both = last.select("op", F.explode(F.array(F.struct(F.col("low").alias("src"), F.col("high").alias("dst")), F.struct(F.col("high").alias("src"), F.col("low").alias("dst")))).alias("e")).select("op", "e.src", "e.dst")
         store.delete_edges(both.where("op = '-'"), batch_id=2 * batch_id)
         store.insert_edges(both.where("op = '+'"), batch_id=2 * batch_id + 1)
     finally:

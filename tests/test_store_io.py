@@ -38,14 +38,23 @@ def test_codec_edges_of_the_code():
     assert codec.decode_blocks(7, codec.encode_blocks(7, many)) == many
 
 
-def test_files_round_trip(spark, tmp_path):
+def test_files_round_trip(spark, tmp_path, monkeypatch):
     rng = random.Random(1)
     g = Graph.from_pairs(spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(60)], "a long, b long"))
     io.write_adjacency(g, str(tmp_path / "adj"))
     assert rows(io.read_adjacency(spark, str(tmp_path / "adj")).edges) == rows(g.edges)
     for fmt in ("byte", "bytepda"):
-        (tmp_path / fmt).write_bytes(io.compressed_bytes(g, fmt == "bytepda"))
-        assert rows(io.read_compressed(spark, str(tmp_path / fmt), fmt, parts=3).edges) == rows(g.edges)
+        io.write_compressed(g, str(tmp_path / fmt), fmt == "bytepda")
+        for path in (str(tmp_path / fmt), f"file://{tmp_path / fmt}", f"file:{tmp_path / fmt}"):
+            assert rows(io.read_compressed(spark, path, fmt, parts=3).edges) == rows(g.edges)
+        monkeypatch.setattr(io, "RANGED", ())
+        assert rows(io.load(spark, str(tmp_path / fmt), fmt, parts=3).edges) == rows(g.edges)
+        monkeypatch.undo()
+    whole = bytearray((tmp_path / "byte").read_bytes())
+    whole[8] ^= 1  # another edge count
+    (tmp_path / "wrong").write_bytes(whole)
+    with pytest.raises(ValueError):
+        io.read_compressed(spark, str(tmp_path / "wrong"))
     with pytest.raises(ValueError):
         (tmp_path / "bad").write_text("Nothing\n1\n")
         io.read_adjacency(spark, str(tmp_path / "bad"))
@@ -77,10 +86,36 @@ def test_snapshots_are_isolated_and_vacuum_keeps_pins(spark, tmp_path):
     assert store.vacuum() == [0]
 
 
-def test_second_writer_is_refused(spark, tmp_path):
+def test_second_writer_is_refused_and_no_half_version_is_seen(spark, tmp_path):
     store = GraphStore.create(spark, str(tmp_path / "s"))
     with pytest.raises(Conflict):
         store._publish(0, {})
+    (tmp_path / "s" / "manifest" / "1.json.0123.part").write_text('{"ba')  # a writer that crashed
+    assert store.versions() == [0] and store.insert_edges(frame(spark, [(0, 1)])) == 1 and rows(store.graph_at(1).edges) == [(0, 1)]
+
+
+def test_pins_are_seen_by_other_stores_and_end(spark, tmp_path):
+    store = GraphStore.create(spark, str(tmp_path / "s"), compact_after=2)
+    other = GraphStore(spark, str(tmp_path / "s"))
+    held, lost = other.acquire(), other.acquire(seconds=0.0)
+    assert store.readers(0) == 1  # the other pin's time is over
+    assert store.insert_edges(frame(spark, [(0, 1)])) == 1 and store.insert_edges(frame(spark, [(1, 2)])) == 2
+    assert store.latest() == 3 and store._read(3)["deltas"] == []  # a new base after two batches
+    stray = tmp_path / "s" / "delta" / "underway"
+    stray.mkdir()
+    assert store.vacuum() == [1, 2] and stray.exists() and rows(held.graph.edges) == []
+    held.renew()
+    held.release()
+    lost.release()
+    with pytest.raises(KeyError):
+        other.acquire(1)
+    assert store.vacuum(grace=0) == [0] and not stray.exists() and rows(store.graph_at(3).edges) == [(0, 1), (1, 2)]
+
+
+def test_last_change_of_an_undirected_edge_wins(spark, tmp_path):
+    store = GraphStore.create(spark, str(tmp_path / "s"))
+    stream.apply_batch(store, spark.createDataFrame([(1, "+", 1, 2), (2, "-", 2, 1), (3, "-", 4, 3), (4, "+", 3, 4)], stream.UPDATES), 0)
+    assert rows(store.graph_at(store.latest()).edges) == [(3, 4), (4, 3)]
 
 
 def test_batches_apply_once(spark, tmp_path):

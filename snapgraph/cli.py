@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from snapgraph.functions.cuts import shared_folder
 from snapgraph.operators import algorithms as A
 from snapgraph.plans.store import GraphStore
 from snapgraph.sources import io
@@ -36,22 +37,36 @@ def run_static(spark, args) -> None:
     print(f"AVERAGE test={args.test} time={sum(times) / len(times):.3f}")
 
 
+def root_of(spark, args) -> str:
+    return args.store or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+def trials(size: int) -> int:
+    """20 of each size, 3 of very large ones."""
+    return 20 if size < 10**8 else 3
+
+
 def batch_updates(spark, args) -> None:
+    """Inserts and deletes batches of growing size; the means are over the trials of a size."""
     g = io.load(spark, args.file, args.format, args.parts)
-    store = GraphStore.create(spark, args.store or tempfile.mkdtemp(), g)
+    store = GraphStore.create(spark, root_of(spark, args), g)
     n = 1 << max(0, (max(g.num_vertices().first()["n"], 1) - 1).bit_length() - 1)
     for size in args.sizes:
-        batch = io.rmat(spark, n, size, a=0.5, b=0.1, c=0.1).select("src", "dst")
-        for name, change in (("insert", store.insert_edges), ("delete", store.delete_edges)):
-            began = time.perf_counter()
-            change(batch)
-            took = time.perf_counter() - began
-            print(f"RESULT {name} size={size} time={took:.3f} edges_per_s={size / took:.0f}")
+        took: dict[str, list[float]] = {"insert": [], "delete": []}
+        for trial in range(args.trials or trials(size)):
+            batch = io.rmat(spark, n, size, seed=trial, a=0.5, b=0.1, c=0.1).select("src", "dst")
+            for name, change in (("insert", store.insert_edges), ("delete", store.delete_edges)):
+                began = time.perf_counter()
+                change(batch)
+                took[name].append(time.perf_counter() - began)
+        for name, each in took.items():
+            mean = sum(each) / len(each)
+            print(f"RESULT {name} size={size} trials={len(each)} time={mean:.3f} edges_per_s={size / mean:.0f}")
 
 
 def simultaneous(spark, args) -> None:
     g = io.load(spark, args.file, args.format, args.parts)
-    root = args.store or tempfile.mkdtemp()
+    root = root_of(spark, args)
     updates = stream.update_stream(g, args.sample)
     updates.repartitionByRange(args.batches, "seq").write.parquet(f"{root}/updates")
     store = GraphStore.create(spark, f"{root}/store", g)
@@ -81,7 +96,8 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--eps", type=float, default=1e-6)
             p.add_argument("-T", type=int, default=10)
         if name == "batch-updates":
-            p.add_argument("--sizes", type=int, nargs="+", default=[10, 100, 1000, 10_000, 100_000])
+            p.add_argument("--sizes", type=int, nargs="+", default=[*(10**k for k in range(1, 10)), 2 * 10**9])
+            p.add_argument("--trials", type=int, default=0)
         if name == "simultaneous":
             p.add_argument("--sample", type=int, default=100_000)
             p.add_argument("--batches", type=int, default=10)

@@ -24,17 +24,15 @@ def bfs(g: Graph, sources: DataFrame, depth: int | None = None) -> DataFrame:
     All sources run at once: a round is one job however many there are.
     """
     seen = frontier = cut(sources.select("query", F.col("id").cast("long"), F.col("id").cast("long").alias("parent"), F.lit(0).alias("level")))
-    levels, level = [frontier], 0
-    while depth is None or level < depth:
+    level, size = 0, frontier.count()
+    while size and (depth is None or level < depth):
         level += 1
         step = EdgeProgram(message={"parent": F.col("src")}, combine={"parent": F.min("parent")})
-        size = frontier.count()
         reached = edge_map(g, frontier.select("query", "id"), step, skip=seen, size=size, by=("query",))
         frontier = cut(reached.select("query", "id", "parent", F.lit(level).alias("level")))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-        seen = seen.unionByName(frontier)
+        size = frontier.count()
+        if size:
+            seen = seen.unionByName(frontier)
     return seen
 
 
@@ -52,18 +50,21 @@ def betweenness(g: Graph, source: int, include_unreachable: bool = False) -> Dat
     """(id, score): the source's dependency on each vertex it reaches; the source's own is the sum over its successors."""
     levels = [cut(source_table(g, source).select("id", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("id")
+    sizes = [levels[0].count()]
     while True:
         step = EdgeProgram(message={"sigma": F.col("sigma")}, combine={"sigma": F.sum("sigma")})
-        reached = cut(edge_map(g, levels[-1], step, skip=seen))
-        if reached.isEmpty():
+        reached = cut(edge_map(g, levels[-1], step, skip=seen, size=sizes[-1]))
+        size = reached.count()
+        if not size:
             break
         levels.append(reached)
+        sizes.append(size)
         seen = seen.unionByName(reached.select("id"))
     below = cut(levels[-1].withColumn("score", F.lit(0.0)))
     done = [below]
-    for level in reversed(levels[:-1]):
+    for k, level in reversed(list(enumerate(levels[:-1]))):
         share = (1.0 + F.col("score")) / F.col("sigma")
-        pulled = edge_map(g, below, EdgeProgram(message={"share": share}, combine={"share": F.sum("share")}), only=level)
+        pulled = edge_map(g, below, EdgeProgram(message={"share": share}, combine={"share": F.sum("share")}), only=level, size=sizes[k + 1], mode="pull")
         below = cut(level.join(pulled, "id", "left").select("id", "sigma", F.coalesce(F.col("share") * F.col("sigma"), F.lit(0.0)).alias("score")))
         done.append(below)
     out = done[0]
@@ -79,11 +80,13 @@ def maximal_independent_set(g: Graph) -> DataFrame:
     live = cut(g.vertices.select("id"))
     chosen = []
     while not live.isEmpty():
-        blocked = earlier.join(live.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        roots = cut(live.join(blocked, "id", "left_anti"))
+        # Between live vertices only: earlier shrinks with them.
+        roots = cut(live.join(earlier.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
         chosen.append(roots)
         gone = roots.union(neighbours_of(g, roots))
         live = cut(live.join(gone, "id", "left_anti"))
+        alive = lambda side: live.select(F.col("id").alias(side))
+        earlier = cut(earlier.join(alive("src"), "src", "left_semi").join(alive("dst"), "dst", "left_semi"))
     out = g.vertices.select("id").limit(0)
     for part in chosen:
         out = out.union(part)
@@ -99,7 +102,7 @@ def khop(g: Graph, sources: DataFrame, k: int) -> DataFrame:
 def two_hop(g: Graph, sources: DataFrame) -> DataFrame:
     """(query, n): the source, its neighbours and theirs, each once."""
     start = sources.select("query", F.col("id").cast("long"))
-    one = start.join(g.edges, F.col("id") == F.col("src")).select("query", F.col("dst").alias("id"))
+    one = start.join(g.edges, F.col("id") == F.col("src")).select("query", F.col("dst").alias("id")).distinct()
     two = one.join(g.edges, F.col("id") == F.col("src")).select("query", F.col("dst").alias("id"))
     return start.union(one).union(two).distinct().groupBy("query").agg(F.count(F.lit(1)).alias("n"))
 
@@ -114,7 +117,7 @@ def mutual_neighbours(g: Graph, pairs: DataFrame) -> DataFrame:
 
 def nibble_serial(g: Graph, sources: DataFrame, eps: float = 1e-6, rounds: int = 10) -> DataFrame:
     """(query, id, mass): truncated lazy walk; only mass over degree * eps moves on, the rest is dropped."""
-    degrees = g.degrees()
+    degrees = cut(g.degrees())
     mass = cut(sources.select("query", F.col("id").cast("long"), F.lit(1.0).alias("mass")))
     for _ in range(rounds):
         active = mass.join(degrees, "id").where(F.col("mass") > F.col("degree") * eps)
@@ -130,7 +133,7 @@ def nibble_serial(g: Graph, sources: DataFrame, eps: float = 1e-6, rounds: int =
 
 def nibble_parallel(g: Graph, sources: DataFrame, eps: float = 1e-9, rounds: int = 10) -> DataFrame:
     """(query, id, mass): as the serial form, but the frontier is who has mass >= degree * eps after a step, and others keep theirs."""
-    degrees = g.degrees()
+    degrees = cut(g.degrees())
     mass = cut(sources.join(degrees, "id").select("query", F.col("id").cast("long"), F.lit(1.0).alias("mass"), "degree", F.lit(True).alias("on")))
     for _ in range(rounds):
         active = mass.where("`on`")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from snapgraph.functions.cuts import cut, scanned, with_rank
+
 
 def contains(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst, found) for the asked pairs."""
@@ -14,8 +15,17 @@ def contains(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def with_place(edges: DataFrame) -> DataFrame:
-    """(src, dst, idx): a neighbour's place in its ascending list."""
-    return edges.select("src", "dst", (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).alias("idx"))
+    """(src, dst, idx): a neighbour's place in its ascending list, from its place in the order of all edges."""
+    placed = cut(with_rank(edges.select("src", "dst"), "src", "dst", name="pos"))
+    starts = placed.groupBy("src").agg(F.min("pos").alias("start"))
+    return placed.join(starts, "src").select("src", "dst", (F.col("pos") - F.col("start")).alias("idx"))
+
+
+def folded(edges: DataFrame, value: Column) -> DataFrame:
+    """(src, dst, fold): running sums of a value (on src, dst) along each ascending list."""
+    placed = cut(scanned(edges.select("src", "dst", value.alias("v")), ["src", "dst"], {"upto": (F.col("v"), "sum")}))
+    before = placed.groupBy("src").agg(F.min_by(F.col("upto") - F.col("v"), "dst").alias("before"))
+    return placed.join(before, "src").select("src", "dst", (F.col("upto") - F.col("before")).alias("fold"))
 
 
 def first_where(edges: DataFrame, condition: Column) -> DataFrame:
@@ -76,5 +86,9 @@ def arr_intersect_count(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def arr_filter(nbrs: Column, condition) -> Column:
+    return F.filter(nbrs, condition)
+
+
 def arr_count_where(nbrs: Column, condition) -> Column:
     return F.size(F.filter(nbrs, condition))

@@ -207,8 +207,36 @@ class OrderedMap:
         return self.range(low, high).reduce(fold)
 
     def aug_ranges(self, ranges: DataFrame) -> DataFrame:
-        """(low, high, sum, n) for many closed ranges: a range join, aggregated."""
-        return ranges.join(self.rows, F.col("key").between(F.col("low"), F.col("high")), "left").groupBy("low", "high").agg(F.coalesce(F.sum("val"), F.lit(0)).alias("sum"), F.count("key").alias("n"))
+        """(low, high, sum, n) for many closed ranges: running sums at the floor of high less those below low.  No range meets its entries."""
+        running = scanned(self.rows, ["key"], {"sum": (F.col("val"), "sum"), "n": (F.lit(1), "sum")})
+        upto = OrderedMap(running.select("key", F.struct("sum", "n").alias("val")))
+        at = lambda side, way, name: upto.near(ranges.select(F.col(side).alias("key")).distinct(), way).select(F.col("q").alias(side), F.col("val").alias(name))
+        both = ranges.join(at("high", "floor", "a"), "high", "left").join(at("low", "previous", "b"), "low", "left")
+        less = lambda f: F.when(F.col("high") < F.col("low"), 0).otherwise(F.coalesce(F.col("a")[f], F.lit(0)) - F.coalesce(F.col("b")[f], F.lit(0)))
+        return both.select("low", "high", less("sum").alias("sum"), less("n").cast("long").alias("n")).distinct()
+
+    def keys(self) -> DataFrame:
+        return self.ranked().select("rank", "key")
+
+    def values(self) -> DataFrame:
+        """(rank, val) in key order."""
+        return self.ranked().select("rank", "val")
+
+    def foreach_index(self, value: Column) -> DataFrame:
+        """(rank, value): a function of key, val and rank for every entry."""
+        return self.ranked().select("rank", value.alias("value"))
+
+    @staticmethod
+    def from_sorted(entries: DataFrame) -> OrderedMap:
+        """entries (idx, key, val) in ascending order of unique keys; raises if they are not."""
+        after = entries.select((F.col("idx") - 1).alias("idx"), F.col("key").alias("next"))
+        if not entries.join(after, "idx").where("key >= next").isEmpty():
+            raise ValueError("the keys do not ascend")
+        return OrderedMap(entries.select("key", "val"))
+
+    def multi_insert_sorted(self, entries: DataFrame, merge: Callable[[Column, Column], Column] = KEEP_NEW) -> OrderedMap:
+        """A bulk insert of entries that are sorted and unique already, so nothing is reduced first."""
+        return self.upsert(OrderedMap.from_sorted(entries), merge)
 
     def aug_select(self, share: float) -> DataFrame:
         """The first entry at which the running sum of values reaches the share of all."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,6 +173,18 @@ def is_sorted(a: DataFrame) -> DataFrame:
     return inversions(a).agg((F.count(F.lit(1)) == 0).alias("sorted"), F.min("idx").alias("first_break"))
 
 
+def is_partitioned(a: DataFrame, condition: Column) -> DataFrame:
+    """Whether all entries for which the condition holds stand before all others."""
+    holds = F.coalesce(condition, F.lit(False))
+    last, first = F.max(F.when(holds, F.col("idx"))), F.min(F.when(~holds, F.col("idx")))
+    return a.agg(F.coalesce(last < first, F.lit(True)).alias("partitioned"))
+
+
+def for_each(a: DataFrame, act: Callable[[Iterator], None]) -> None:
+    """Runs act once for each partition's rows, on the executors; for its effects only."""
+    a.foreachPartition(act)
+
+
 # -- groups
 
 

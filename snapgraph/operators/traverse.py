@@ -4,6 +4,11 @@ An ``EdgeProgram`` says what an edge sends (``message``, over the columns of the
 source's state and src, dst), how the messages of one target combine, and which
 targets may receive (``skip``: ids that may not).  Where the reference lets a
 race decide, the combination does.
+
+A round runs in one of two forms.  Push: the frontier meets its out-edges where
+they lie, messages are combined there and go to their targets.  Pull, for large
+frontiers of a symmetric graph: targets that may still receive meet their own
+edges where they lie and look the frontier up, so no message moves at all.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from snapgraph.plans.graph import Graph
 
 #: A frontier of up to so many ids (8 bytes each) is broadcast to the edges; a larger one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: A frontier with more than this share of all edges (its ids counted too) is pulled from: a fixed value.
+DENSE_SHARE = 20
 
 
 @dataclass(frozen=True)
@@ -27,17 +34,43 @@ class EdgeProgram:
     edge_condition: Column | None = None
 
 
-def edge_map(g: Graph, frontier: DataFrame, program: EdgeProgram | None = None, skip: DataFrame | None = None, only: DataFrame | None = None, size: int | None = None, by: tuple[str, ...] = (), no_output: bool = False) -> DataFrame:
+def is_dense(g: Graph, frontier: DataFrame, size: int | None = None) -> bool:
+    """Whether the frontier's ids and out-edges together are over a twentieth of all edges."""
+    m = g.edges.count()
+    if size is not None and size > m / DENSE_SHARE:
+        return True
+    out = g.edges.join(frontier.select(F.col("id").alias("src")).distinct(), "src", "left_semi").count()
+    return out + (frontier.count() if size is None else size) > m / DENSE_SHARE
+
+
+def edge_map(
+    g: Graph,
+    frontier: DataFrame,
+    program: EdgeProgram | None = None,
+    skip: DataFrame | None = None,
+    only: DataFrame | None = None,
+    size: int | None = None,
+    by: tuple[str, ...] = (),
+    no_output: bool = False,
+    mode: str = "push",
+) -> DataFrame:
     """The targets of the frontier's edges: id, the ``by`` columns, and the combined messages.
 
     frontier: id, by columns and state.  skip: (id, by) that may not receive.
-    only: (id) that may, which makes the plan the pull form.  size: rows of the
-    frontier if known, which decides push by broadcast or by shuffle.
+    only: (id) that may.  size: rows of the frontier if known, which decides
+    whether it is broadcast.  mode: push, pull, or auto (pull if the frontier is
+    dense); the rows are the same.
     """
     program = program or EdgeProgram()
-    edges = g.edges
+    if mode not in ("push", "pull", "auto"):
+        raise ValueError(mode)
+    pull = mode == "pull" or mode == "auto" and is_dense(g, frontier, size)
+    # In a symmetric graph the edges at a target are its own, turned round.
+    edges = g.edges.select(F.col("src").alias("dst"), F.col("dst").alias("src")) if pull and g.symmetric else g.edges
     if only is not None:
         edges = edges.join(only.select(F.col("id").alias("dst")), "dst", "left_semi")
+    if pull and skip is not None and not by:
+        edges = edges.join(skip.select(F.col("id").alias("dst")), "dst", "left_anti")
     senders = frontier.withColumnRenamed("id", "src")
     if size is not None and size <= BROADCAST_IDS:
         senders = F.broadcast(senders)
@@ -46,11 +79,41 @@ def edge_map(g: Graph, frontier: DataFrame, program: EdgeProgram | None = None,
         sent = sent.where(program.edge_condition)
     sent = sent.select(F.col("dst").alias("id"), *by, *(c.alias(n) for n, c in program.message.items()))
     got = sent.groupBy("id", *by).agg(*(c.alias(n) for n, c in program.combine.items())) if program.combine else sent.select("id", *by).distinct()
-    if skip is not None:
+    if skip is not None and (by or not pull):
         got = got.join(skip.select("id", *by), ["id", *by], "left_anti")
     return got.limit(0) if no_output else got
 
 
+# -- vertex subsets: DataFrames with a column id and any state
+
+
+def singleton(g: Graph, v: int) -> DataFrame:
+    return g.edges.sparkSession.createDataFrame([(v,)], "id long")
+
+
+def empty_subset(g: Graph) -> DataFrame:
+    return g.vertices.select("id").limit(0)
+
+
+def subset_where(g: Graph, condition: Column) -> DataFrame:
+    """The dense form: the vertices for which the condition (on id) holds."""
+    return g.vertices.select("id").where(condition)
+
+
+def size_of(frontier: DataFrame) -> DataFrame:
+    return frontier.agg(F.count(F.lit(1)).alias("n"))
+
+
+def is_empty(frontier: DataFrame) -> bool:
+    return frontier.isEmpty()
+
+
+def is_in(frontier: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, found) for the asked ids."""
+    here = frontier.select("id").distinct().withColumn("found", F.lit(True))
+    return ids.select("id").distinct().join(here, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def vertex_map(frontier: DataFrame, **columns: Column) -> DataFrame:
     return frontier.select("id", *(c.alias(n) for n, c in columns.items()))
 

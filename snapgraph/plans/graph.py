@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgraph.functions.cuts import scanned, with_rank
+from snapgraph.functions.cuts import cut, with_rank
 
 
 @dataclass(frozen=True)
@@ -16,6 +16,8 @@ class Graph:
 
     vertices: DataFrame
     edges: DataFrame
+    #: Whether every edge is there in both directions, so that in-edges may be read off the out-edges.
+    symmetric: bool = False
 
     @staticmethod
     def from_pairs(pairs: DataFrame, vertices: DataFrame | None = None, simplify: bool = True) -> Graph:
@@ -24,20 +26,27 @@ class Graph:
         if simplify:
             pairs = pairs.where("a <> b")
         both = pairs.select(F.explode(F.array(F.struct(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst")), F.struct(F.col("b").cast("long").alias("src"), F.col("a").cast("long").alias("dst")))).alias("e"))
-        return Graph.from_edges(both.select("e.src", "e.dst"), vertices)
+        return Graph.from_edges(both.select("e.src", "e.dst"), vertices, symmetric=True)
 
     @staticmethod
-    def from_edges(edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
+    def from_edges(edges: DataFrame, vertices: DataFrame | None = None, symmetric: bool = False) -> Graph:
         edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct()
         ids = edges.select(F.col("src").alias("id")).distinct() if vertices is None else vertices.select(F.col("id").cast("long")).union(edges.select("src")).union(edges.select("dst")).distinct()
-        return Graph(ids, edges)
+        return Graph(ids, edges, symmetric)
 
     @staticmethod
     def empty(spark: SparkSession) -> Graph:
         return Graph(spark.createDataFrame([], "id long"), spark.createDataFrame([], "src long, dst long"))
 
     def cached(self) -> Graph:
-        return Graph(self.vertices.cache(), self.edges.cache())
+        """For algorithms of many rounds: edges dealt by source once, so that a round moves its frontier and its messages only."""
+        parts = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return Graph(self.vertices.cache(), self.edges.repartition(parts, "src").cache(), self.symmetric)
+
+    def release(self) -> None:
+        """Gives back what cached() keeps."""
+        self.vertices.unpersist()
+        self.edges.unpersist()
 
     # -- sizes
 
@@ -82,6 +91,17 @@ class Graph:
         """Reads every edge and keeps nothing."""
         self.edges.write.format("noop").mode("overwrite").save()
 
+    def map_vertices_no_index(self, **columns: Column) -> DataFrame:
+        """id and the given columns (on id): nothing is ordered."""
+        return self.vertices.select("id", *(c.alias(n) for n, c in columns.items()))
+
+    def iter_edges(self) -> DataFrame:
+        """(id, visited, degree, ok): every vertex's edges counted by a scan, its distinct neighbours, and whether they agree."""
+        seen = self.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("visited"))
+        sizes = self.edges.distinct().groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+        both = self.vertices.join(seen, "id", "left").join(sizes, "id", "left")
+        return both.select("id", F.coalesce("visited", F.lit(0)).alias("visited"), F.coalesce("degree", F.lit(0)).alias("degree")).withColumn("ok", F.col("visited") == F.col("degree"))
+
     def check_edges(self) -> DataFrame:
         """How many edges end outside 0..num_vertices-1 (0 for a sound graph)."""
         n = self.num_vertices()
@@ -89,11 +109,7 @@ class Graph:
 
     def retrieve_edges(self) -> DataFrame:
         """(pos, src, dst): the edge list by (src, dst); a vertex's edges start at its exclusive degree sum."""
-        from pyspark.sql import Window as W
-
-        starts = scanned(self.degrees(), ["id"], {"start": (F.col("degree"), "sum")}, inclusive=False).select(F.col("id").alias("src"), "start")
-        place = F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1
-        return self.edges.withColumn("place", place).join(starts, "src").select((F.col("start") + F.col("place")).alias("pos"), "src", "dst")
+        return with_rank(self.edges.select("src", "dst"), "src", "dst", name="pos").select("pos", "src", "dst")
 
     def adjacency(self) -> DataFrame:
         """The flat snapshot: id, nbrs (ascending), degree."""
@@ -119,14 +135,34 @@ class Graph:
 
     # -- footprint
 
+    def code_sizes(self) -> DataFrame:
+        """(src, dst, bytes): the byte code of each gap; a list's first entry is a signed distance from its source.
+
+        An edge meets the one before it by its place in the whole order, so a hub's list is spread like any other.
+        """
+        placed = cut(with_rank(self.edges.select("src", "dst"), "src", "dst", name="pos"))
+        before = placed.select((F.col("pos") + 1).alias("pos"), F.col("src").alias("s"), F.col("dst").alias("d"))
+        both = placed.join(before, "pos", "left").withColumn("first", ~F.coalesce(F.col("s") == F.col("src"), F.lit(False)))
+        bits = F.length(F.bin(F.when(F.col("first"), F.abs(F.col("dst") - F.col("src"))).otherwise(F.col("dst") - F.col("d"))))
+        size = F.when(F.col("first"), F.when(bits <= 6, 1).otherwise(1 + F.ceil((bits - 6) / 7))).otherwise(F.greatest(F.lit(1), F.ceil(bits / 7)))
+        return both.select("src", "dst", size.cast("long").alias("bytes"))
+
     def storage_stats(self) -> DataFrame:
-        """vertices, edges, uncompressed_bytes (48 a vertex, 32 an edge) and delta_bytes (byte code of the gaps in each list)."""
-        from pyspark.sql import Window as W
-
-        previous = F.lag("dst").over(W.partitionBy("src").orderBy("dst"))
-        gap = F.coalesce(F.col("dst") - previous, F.abs(F.col("dst") - F.col("src")))
-        first = previous.isNull()
-        bits = F.length(F.bin(gap))
-        size = F.when(first, F.when(bits <= 6, 1).otherwise(1 + F.ceil((bits - 6) / 7))).otherwise(F.greatest(F.lit(1), F.ceil(bits / 7)))
-        sizes = self.edges.select(size.cast("long").alias("bytes")).agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("delta_bytes"))
-        return self.count_vertices().join(F.broadcast(sizes)).select(F.col("n").alias("vertices"), "edges", (F.col("n") * 48 + F.col("edges") * 32).alias("uncompressed_bytes"), "delta_bytes")
+        """vertices, edges, and bytes of three layouts: uncompressed (48 a vertex, 32 an edge), plain lists (56 a vertex, 4 an
+        edge) and delta (56 a vertex, byte code of the gaps in each list)."""
+        sizes = self.code_sizes().agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("code"))
+        n = F.col("n")
+        return self.count_vertices().join(F.broadcast(sizes)).select(
+            n.alias("vertices"), "edges", (n * 48 + F.col("edges") * 32).alias("uncompressed_bytes"), (n * 56 + F.col("edges") * 4).alias("plain_bytes"), F.col("code").alias("delta_bytes"), (n * 56 + F.col("code")).alias("delta_total_bytes")
+        )
+
+    def size_in_bytes(self) -> int:
+        """Bytes of the delta layout; raises if the graph is not sound (ends out of range, or a repeated edge)."""
+        if self.check_edges().first()["bad"] or not self.iter_edges().where("not ok").isEmpty():
+            raise ValueError("the graph is not sound")
+        return self.storage_stats().first()["delta_total_bytes"]
+
+
+def sort_updates(batch: DataFrame) -> DataFrame:
+    """(src, dst) dealt to ranges and sorted in each, so that the parts in order are the sorted batch; Spark's sort is a radix sort on key prefixes."""
+    return batch.select("src", "dst").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from snapgraph.functions.hashing import priority
+from snapgraph.functions.cuts import cut, shared_folder
+from snapgraph.functions.hashing import fork, ith_rand, mix32, mix64, priority
 from snapgraph.operators import algorithms as A
 from snapgraph.operators import nbrs as N
 from snapgraph.operators import traverse as T
-from snapgraph.plans.graph import Graph
-from snapgraph.plans.store import as_of
+from snapgraph.plans.graph import Graph, sort_updates
+from snapgraph.plans.store import GraphStore
 from snapgraph.sources import fixtures as X
 from snapgraph.sources import io
 
@@ -129,8 +132,78 @@ def _pairs(spark, d):
 PAIRS = f"pr(a, b) AS (VALUES (1::BIGINT, 3::BIGINT), (3, 5), (1, 9), (0, 2), (2, 4), (11, 13), (1, {HUGE}))"
 
 
-def _directed_log(spark, d):
-    return X.edge_log(spark, d)
+def _store(spark, d, last=14) -> GraphStore:
+    """A store to which the log's batches were committed one by one: seven insertions, seven deletions."""
+    store = GraphStore.create(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    log = cut(X.edge_log(spark, d))
+    for version in range(1, last + 1):
+        batch = log.where(F.col("version") == version).select("src", "dst")
+        (store.insert_edges if version <= 7 else store.delete_edges)(batch, small=True)
+    return store
+
+
+def q_vacuum(s, d):
+    """Versions that are left while one is pinned, with the edges of each."""
+    store = _store(s, d, 9)
+    held = store.acquire(3)
+    store.vacuum()
+    out = None
+    for version in store.versions():
+        part = store.graph_at(version).edges.agg(F.count(F.lit(1)).alias("m")).select(F.lit(version).cast("long").alias("version"), F.lit(store.readers(version)).cast("long").alias("readers"), "m")
+        out = part if out is None else out.union(part)
+    out = cut(out)
+    held.release()
+    return out
+
+
+def q_adjacency_file(s, d):
+    path = f"{shared_folder(s)}/graph-{uuid.uuid4().hex}"
+    io.write_adjacency(X.graph(s, d), path)
+    return io.read_adjacency(s, path).edges
+
+
+def q_csr_file(s, d):
+    path = f"{shared_folder(s)}/graph-{uuid.uuid4().hex}"
+    io.write_adjacency(X.graph(s, d), path)
+    return io.read_csr(s, path)[1]
+
+
+def q_binary_file(fmt):
+    def query(s, d):
+        path = f"{shared_folder(s)}/graph-{uuid.uuid4().hex}"
+        io.write_compressed(X.graph(s, d), path, fmt == "bytepda")
+        return io.read_compressed(s, path, fmt, parts=8).edges
+
+    return query
+
+
+def q_append_slab(s, d):
+    g = X.graph(s, d)
+    new = [(F.col(c) + HUGE).alias(c) for c in ("src", "dst")]
+    return g.append_slab(Graph(g.vertices.select(F.col("id") + HUGE), g.edges.select(*new))).edges
+
+
+def q_scan(s, d):
+    g = X.graph(s, d)
+    g.scan()
+    return g.num_edges()
+
+
+def edge_rounds(mode):
+    """One edge_map in the form named."""
+    return lambda s, d: T.edge_map(g := X.graph(s, d), _frontier(g), T.EdgeProgram(message={"m": F.col("src")}, combine={"least": F.min("m"), "n": F.count(F.lit(1))}), skip=_frontier(g), mode=mode)
+
+
+EDGE_ROUND = f"WITH {PS} SELECT dst AS id, min(src) AS least, count(*) AS n FROM e WHERE src%10=1 AND NOT dst%10=1 GROUP BY dst"
+#: Bytes of each edge's code: the first of a list by its distance to the source, the others by their gap.
+CODES = "gp AS (SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM e), cs AS MATERIALIZED (SELECT src, dst, (CASE WHEN gap IS NULL THEN (CASE WHEN length(bin(abs(dst-src)))<=6 THEN 1 ELSE 1+ceil((length(bin(abs(dst-src)))-6)/7.0) END) ELSE greatest(1, ceil(length(bin(gap))/7.0)) END)::BIGINT AS bytes FROM gp)"
+
+
+def sql_rand(i, state):
+    """ith_rand in SQL."""
+    one = f"((({i}) + {state}) * 2654435761) % 4294967296"
+    two = f"(xor({one}, ({one}) >> 15) * 73244475) % 4294967296"
+    return f"((xor({two}, ({two}) >> 13) * 41211551) % 4294967296)"
 
 
 QUERIES = {
@@ -147,15 +220,28 @@ QUERIES = {
     "g13_retrieve_edges": (lambda s, d: X.graph(s, d).retrieve_edges(), f"WITH {PS} SELECT row_number() OVER (ORDER BY src, dst)-1 AS pos, src, dst FROM e"),
     "g14_insert_batch": (lambda s, d: X.graph(s, d).insert_edges(_batch(s, d)).edges, f"WITH {PS}, {BATCH} SELECT src, dst FROM e UNION SELECT src, dst FROM bb"),
     "g15_delete_batch": (lambda s, d: X.graph(s, d).delete_edges(_returned(s, d)).edges, f"WITH {PS}, {RETURNED} SELECT src, dst FROM e EXCEPT SELECT src, dst FROM rr"),
+    "g3_contains_vertex": (lambda s, d: s.createDataFrame([(v, X.graph(s, d).contains_vertex(v)) for v in (2, HUGE)], "id long, found boolean"), f"WITH {PS} SELECT k AS id, EXISTS (SELECT 1 FROM v WHERE v.id=k) AS found FROM (VALUES (2::BIGINT), ({HUGE})) t(k)"),
+    "g6_map_vertices_no_index": (lambda s, d: X.graph(s, d).map_vertices_no_index(twice=F.col("id") * 2), f"WITH {PS} SELECT id, id*2 AS twice FROM v"),
+    "g10_scan": (q_scan, f"WITH {PS} SELECT count(*) AS m FROM e"),
+    "g11_iter_edges": (lambda s, d: X.graph(s, d).iter_edges(), f"WITH {PS} SELECT src AS id, count(*) AS visited, count(DISTINCT dst) AS degree, count(*)=count(DISTINCT dst) AS ok FROM e GROUP BY src"),
+    "g16_append_slab": (q_append_slab, f"WITH {PS} SELECT src, dst FROM e UNION ALL SELECT src+{HUGE}, dst+{HUGE} FROM e"),
+    "g17_sort_updates": (lambda s, d: sort_updates(_batch(s, d)).withColumn("part", F.spark_partition_id()).select("src", "dst", (F.col("part") >= 0).alias("dealt")), f"WITH {BATCH} SELECT src, dst, true AS dealt FROM bb"),
     "g20_storage_stats": (
-        lambda s, d: X.graph(s, d).storage_stats().select("vertices", "edges", "uncompressed_bytes"),
-        f"WITH {PS} SELECT (SELECT count(*) FROM v) AS vertices, count(*) AS edges, (SELECT count(*) FROM v)*48+count(*)*32 AS uncompressed_bytes FROM e",
+        lambda s, d: X.graph(s, d).storage_stats(),
+        f"WITH {PS}, {CODES}, n AS (SELECT count(*) AS n FROM v), c AS (SELECT count(*) AS m, sum(bytes)::BIGINT AS b FROM cs) SELECT n AS vertices, m AS edges, n*48+m*32 AS uncompressed_bytes, n*56+m*4 AS plain_bytes, b AS delta_bytes, n*56+b AS delta_total_bytes FROM n, c",
     ),
+    "g19_size_in_bytes": (lambda s, d: s.createDataFrame([(X.graph(s, d).size_in_bytes(),)], "bytes long"), f"WITH {PS}, {CODES} SELECT ((SELECT count(*) FROM v)*56+sum(bytes))::BIGINT AS bytes FROM cs"),
+    "n17_list_bytes": (lambda s, d: X.graph(s, d).code_sizes().groupBy("src").agg(F.sum("bytes").alias("bytes")), f"WITH {PS}, {CODES} SELECT src, sum(bytes)::BIGINT AS bytes FROM cs GROUP BY src"),
     "g24_adjacency": (lambda s, d: X.graph(s, d).adjacency().select("id", "degree", F.concat_ws(",", "nbrs").alias("nbrs")), f"WITH {PS} SELECT src AS id, count(*) AS degree, string_agg(dst, ',' ORDER BY dst) AS nbrs FROM e GROUP BY src"),
-    "t1_edge_map": (
-        lambda s, d: T.edge_map(g := X.graph(s, d), _frontier(g), T.EdgeProgram(message={"m": F.col("src")}, combine={"least": F.min("m"), "n": F.count(F.lit(1))}), skip=_frontier(g)),
-        f"WITH {PS} SELECT dst AS id, min(src) AS least, count(*) AS n FROM e WHERE src%10=1 AND NOT dst%10=1 GROUP BY dst",
-    ),
+    "t1_edge_map": (edge_rounds("auto"), EDGE_ROUND),
+    "t3_edge_map_sparse": (edge_rounds("push"), EDGE_ROUND),
+    "t4_edge_map_dense": (edge_rounds("pull"), EDGE_ROUND),
+    "t2_edge_map_flat": (lambda s, d: T.edge_map(g := X.graph(s, d, "co").cached(), T.subset_where(g, F.col("id") % 10 < 8), mode="auto"), f"WITH {CO} SELECT DISTINCT dst AS id FROM e WHERE src%10<8"),
+    "t5_edge_map_dense_forward": (lambda s, d: T.edge_map(g := X.graph(s, d), T.subset_where(g, F.col("id") % 2 == 1)), f"WITH {PS} SELECT DISTINCT dst AS id FROM e WHERE src%2=1"),
+    "t6_no_output": (lambda s, d: T.edge_map(g := X.graph(s, d), _frontier(g), no_output=True), f"WITH {PS} SELECT id FROM v WHERE false"),
+    "t8_subsets": (lambda s, d: T.empty_subset(g := X.graph(s, d)).union(T.singleton(g, 2)).union(T.subset_where(g, F.col("id") % 100 == 1)), f"WITH {PS} SELECT 2::BIGINT AS id UNION ALL SELECT id FROM v WHERE id%100=1"),
+    "t10_size": (lambda s, d: T.size_of(_frontier(X.graph(s, d))), f"WITH {PS} SELECT count(*) AS n FROM v WHERE id%10=1"),
+    "t10_is_in": (lambda s, d: T.is_in(_frontier(g := X.graph(s, d)), g.vertices), f"WITH {PS} SELECT id, id%10=1 AS found FROM v"),
     "t4_edge_map_pull": (lambda s, d: T.edge_map(g := X.graph(s, d), _frontier(g), only=g.vertices.where("id % 4 = 2")), f"WITH {PS} SELECT DISTINCT dst AS id FROM e WHERE src%10=1 AND dst%4=2"),
     "t7_vertex_map": (lambda s, d: T.vertex_map(_frontier(X.graph(s, d)), half=F.floor(F.col("id") / 2)), f"WITH {PS} SELECT id, id//2 AS half FROM v WHERE id%10=1"),
     "t11_map_reduce": (lambda s, d: T.map_reduce(_frontier(X.graph(s, d)), F.col("id"), F.sum), f"WITH {PS} SELECT sum(id)::BIGINT AS value FROM v WHERE id%10=1"),
@@ -163,6 +249,8 @@ QUERIES = {
     "t13_get_nghs": (lambda s, d: T.neighbours_of(g := X.graph(s, d), g.vertices.where("id % 50 = 1"), F.col("id") % 3 == 0), f"WITH {PS} SELECT DISTINCT dst AS id FROM e WHERE src%50=1 AND dst%3=0"),
     "n2_contains": (lambda s, d: N.contains(X.graph(s, d).edges, _batch(s, d)), f"WITH {PS}, {BATCH} SELECT src, dst, EXISTS (SELECT 1 FROM e WHERE e.src=bb.src AND e.dst=bb.dst) AS found FROM bb"),
     "n3_map_rank": (lambda s, d: N.with_place(X.graph(s, d).edges), f"WITH {PS} SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst)-1 AS idx FROM e"),
+    "n5_fold": (lambda s, d: N.folded(X.graph(s, d).edges, F.col("dst") % 7), f"WITH {PS} SELECT src, dst, (sum(dst%7) OVER (PARTITION BY src ORDER BY dst))::BIGINT AS fold FROM e"),
+    "n15_filter": (lambda s, d: X.graph(s, d, "co").adjacency().select("id", F.concat_ws(",", N.arr_filter(F.col("nbrs"), lambda x: x % 3 == 0)).alias("nbrs")), f"WITH {CO} SELECT src AS id, coalesce(string_agg(dst, ',' ORDER BY dst) FILTER (WHERE dst%3=0), '') AS nbrs FROM e GROUP BY src"),
     "n6_first_where": (lambda s, d: N.first_where(X.graph(s, d).edges, F.col("dst") % 7 == 0), f"WITH {PS} SELECT src, min(dst) AS dst FROM e WHERE dst%7=0 GROUP BY src"),
     "n7_count_if": (lambda s, d: N.count_where(X.graph(s, d).edges, F.col("dst") % 3 == 0), f"WITH {PS} SELECT src, count(*) FILTER (WHERE dst%3=0) AS n FROM e GROUP BY src"),
     "n8_adjacency": (lambda s, d: X.graph(s, d, "co").adjacency().select("id", F.concat_ws(",", "nbrs").alias("nbrs")), f"WITH {CO} SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS nbrs FROM e GROUP BY src"),
@@ -185,14 +273,22 @@ QUERIES = {
         f"WITH {COPS}, {SRC4} SELECT query, count(DISTINCT id) AS n FROM (SELECT query, id FROM s UNION ALL SELECT query, dst FROM s JOIN e ON e.src=s.id UNION ALL SELECT query, f.dst FROM s JOIN e ON e.src=s.id JOIN e f ON f.src=e.dst) GROUP BY query",
     ),
     "a7_mutual_friends": (lambda s, d: A.mutual_neighbours(X.graph(s, d), _pairs(s, d)), f"WITH {PS}, {PAIRS} SELECT a, b, (SELECT count(*) FROM e x JOIN e y ON x.dst=y.dst WHERE x.src=a AND y.src=b) AS n FROM pr"),
-    "a8_nibble_parallel": (lambda s, d: A.nibble_parallel(X.graph(s, d, "cops").cached(), A.source_table(X.graph(s, d, "cops"), 0, 2, 7, 20), 1.3e-6, 5).select("query", "id", F.round("mass", 9).alias("mass")), sql_nibble("cops", 5, 1.3e-6, True)),
-    "a9_nibble_serial": (lambda s, d: A.nibble_serial(X.graph(s, d, "cops").cached(), A.source_table(X.graph(s, d, "cops"), 0, 2, 7, 20), 1.3e-6, 5).select("query", "id", F.round("mass", 9).alias("mass")), sql_nibble("cops", 5, 1.3e-6, False)),
+    "a8_nibble_parallel": (lambda s, d: A.nibble_parallel(X.graph(s, d, "cops").cached(), A.source_table(X.graph(s, d, "cops"), 0, 2, 7, 20)).select("query", "id", F.round("mass", 9).alias("mass")), sql_nibble("cops", 10, 1e-9, True)),
+    "a9_nibble_serial": (lambda s, d: A.nibble_serial(X.graph(s, d, "cops").cached(), A.source_table(X.graph(s, d, "cops"), 0, 2, 7, 20)).select("query", "id", F.round("mass", 9).alias("mass")), sql_nibble("cops", 10, 1e-6, False)),
     "a10_ldd": (q_ldd, sql_ldd("ps", 0.2, 40)),
     "p16_components": (lambda s, d: A.components(X.graph(s, d, "co").cached()), sql_components("co", 40)),
-    "v3_as_of": (lambda s, d: as_of(_directed_log(s, d), 9), f"WITH {X.SQL_LOG} SELECT src, dst FROM log WHERE version<=9 GROUP BY src, dst HAVING max_by(op, version)='+'"),
-    "v5_insert_version": (lambda s, d: as_of(_directed_log(s, d), 3), f"WITH {X.SQL_LOG} SELECT DISTINCT src, dst FROM log WHERE version<=3"),
-    "v6_delete_version": (lambda s, d: as_of(_directed_log(s, d), 14), f"WITH {X.SQL_LOG} SELECT src, dst FROM log GROUP BY src, dst HAVING max_by(op, version)='+'"),
-    "v2_latest": (lambda s, d: _directed_log(s, d).agg(F.max("version").alias("version")), f"WITH {X.SQL_LOG} SELECT max(version) AS version FROM log"),
+    "v1_create": (lambda s, d: GraphStore.create(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}", X.graph(s, d)).graph_at(0).edges, f"WITH {PS} SELECT src, dst FROM e"),
+    "v2_latest": (lambda s, d: s.createDataFrame([(_store(s, d).latest(),)], "version long"), f"WITH {X.SQL_LOG} SELECT max(version) AS version FROM log"),
+    "v3_as_of": (lambda s, d: _store(s, d, 10).acquire(9).graph.edges, f"WITH {X.SQL_LOG} SELECT src, dst FROM log WHERE version<=9 GROUP BY src, dst HAVING max_by(op, version)='+'"),
+    "v4_vacuum": (q_vacuum, f"WITH {X.SQL_LOG}, k(version, readers) AS (VALUES (3::BIGINT, 1::BIGINT), (9, 0)) SELECT k.version, k.readers, (SELECT count(*) FROM (SELECT src, dst FROM log WHERE log.version<=k.version GROUP BY src, dst HAVING max_by(op, version)='+')) AS m FROM k"),
+    "v5_insert_version": (lambda s, d: _store(s, d, 3).graph_at(3).edges, f"WITH {X.SQL_LOG} SELECT DISTINCT src, dst FROM log WHERE version<=3"),
+    "v6_delete_version": (lambda s, d: _store(s, d).graph_at(14).edges, f"WITH {X.SQL_LOG} SELECT src, dst FROM log GROUP BY src, dst HAVING max_by(op, version)='+'"),
+    "io1_adjacency": (q_adjacency_file, f"WITH {PS} SELECT src, dst FROM e"),
+    "io2_byte": (q_binary_file("byte"), f"WITH {PS} SELECT src, dst FROM e"),
+    "io3_bytepda": (q_binary_file("bytepda"), f"WITH {PS} SELECT src, dst FROM e"),
+    "io10_csr": (q_csr_file, f"WITH {PS} SELECT row_number() OVER (ORDER BY src, dst)-1 AS place, src, dst FROM e"),
     "io11_rmat": (lambda s, d: io.rmat(s, 1024, 20_000, seed=7), io.sql_rmat(1024, 20_000, seed=7)),
+    "io15_ith_rand": (lambda s, d: X.graph(s, d).vertices.select("id", ith_rand(F.col("id"), 5).alias("r"), ith_rand(F.col("id"), fork(5, 3)).alias("f")), f"WITH {PS} SELECT id, {sql_rand('id', 5)} AS r, {sql_rand('id', fork(5, 3))} AS f FROM v"),
+    "io16_mixers": (lambda s, d: X.graph(s, d).vertices.select("id", mix32(F.col("id")).alias("h32"), mix64(F.col("id")).alias("h64")), f"WITH {PS} SELECT id, {sql_rand('id', 0)} AS h32, {sql_rand('id', 0)} * {1 << 30} + ({sql_rand('id', fork(0, 1))} >> 2) AS h64 FROM v"),
     "io15_priority": (lambda s, d: X.graph(s, d).vertices.select("id", priority("id").alias("p")), f"WITH {PS} SELECT id, {PRIO.format('id')} AS p FROM v"),
 }

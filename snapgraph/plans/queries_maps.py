@@ -62,8 +62,8 @@ QUERIES = {
     "m13_map_filter": (lambda s, d: cust(s, d).map_filter(F.when(F.col("val") > 0, F.col("val") + 1)).rows, f"WITH {C} SELECT key, val+1 AS val FROM c WHERE val>0"),
     "m14_map_reduce": (lambda s, d: cust(s, d).reduce(F.sum(F.col("val") * 2)), f"WITH {C} SELECT sum(val*2)::BIGINT AS value FROM c"),
     "m14_ordered_fold": (
-        lambda s, d: cust(s, d).affine_fold(31, 1_000_003),  # the SQL folds keys 0 to 60 only
-        f"WITH RECURSIVE {C}, x AS (SELECT row_number() OVER (ORDER BY key) AS i, val FROM c WHERE key BETWEEN 0 AND 60), f(i, acc) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT f.i+1, (((f.acc*31 + x.val) % 1000003) + 1000003) % 1000003 FROM f JOIN x ON x.i=f.i+1) SELECT acc AS value FROM f ORDER BY i DESC LIMIT 1",
+        lambda s, d: cust(s, d).affine_fold(31, 1_000_003),
+        f"WITH RECURSIVE {C}, x AS (SELECT row_number() OVER (ORDER BY key) AS i, val FROM c), f(i, acc) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT f.i+1, (((f.acc*31 + x.val) % 1000003) + 1000003) % 1000003 FROM f JOIN x ON x.i=f.i+1) SELECT acc AS value FROM f ORDER BY i DESC LIMIT 1",
     ),
     "m15_union": (lambda s, d: left(s, d).union(right(s, d), lambda a, b: a + b).rows, f"WITH {C} SELECT coalesce(l.key, r.key) AS key, coalesce(l.val, 0)+coalesce(r.val, 0) AS val FROM l FULL JOIN r ON l.key=r.key"),
     "m16_intersect": (lambda s, d: left(s, d).intersect(right(s, d), lambda a, b: a - b).rows, f"WITH {C} SELECT l.key, l.val-r.val AS val FROM l JOIN r ON l.key=r.key"),
@@ -82,6 +82,10 @@ QUERIES = {
     "m29_if_exist": (lambda s, d: cust(s, d).exists(F.col("val") < -99_000), f"WITH {C} SELECT coalesce(bool_or(val < -99000), false) AS found FROM c"),
     "m31_prefix_sizes": (lambda s, d: cust(s, d).prefix_sizes(F.col("key") % 10 + 1), f"WITH {C} SELECT key, val, coalesce(sum(key%10+1) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c"),
     "m32_take_while": (lambda s, d: cust(s, d).take_while(F.col("val") < 950_000), f"WITH {C} SELECT * FROM c WHERE key < coalesce((SELECT min(key) FROM c WHERE NOT val<950000), 9223372036854775807)"),
+    "m30_keys": (lambda s, d: left(s, d).keys(), f"WITH {C} SELECT row_number() OVER (ORDER BY key)-1 AS rank, key FROM l"),
+    "m30_foreach_index": (lambda s, d: left(s, d).foreach_index(F.col("val") + F.col("rank")), f"WITH {C} SELECT row_number() OVER (ORDER BY key)-1 AS rank, val + row_number() OVER (ORDER BY key)-1 AS value FROM l"),
+    "m25_multi_insert_sorted": (lambda s, d: left(s, d).multi_insert_sorted(right(s, d).ranked().withColumnRenamed("rank", "idx")).rows, f"WITH {C} SELECT coalesce(r.key, l.key) AS key, coalesce(r.val, l.val) AS val FROM l FULL JOIN r ON l.key=r.key"),
+    "m34_from_sorted": (lambda s, d: OrderedMap.from_sorted(left(s, d).ranked().withColumnRenamed("rank", "idx")).rows, f"WITH {C} SELECT * FROM l"),
     "m33_size": (lambda s, d: cust(s, d).rows.agg(F.count(F.lit(1)).alias("n")), f"WITH {C} SELECT count(*) AS n FROM c"),
     "ag1_total": (lambda s, d: cust(s, d).reduce(F.sum("val")), f"WITH {C} SELECT sum(val)::BIGINT AS value FROM c"),
     "ag2_left": (lambda s, d: cust(s, d).aug_left(), f"WITH {C} SELECT key, val, (sum(val) OVER (ORDER BY key))::BIGINT AS sum FROM c"),

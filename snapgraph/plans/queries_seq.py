@@ -8,6 +8,7 @@ from snapgraph.functions.cuts import scanned
 from snapgraph.functions.hashing import priority
 from snapgraph.operators import sequences as Q
 from snapgraph.operators import text as T
+from snapgraph.operators.tables import Counters, HashSet, HashTable
 from snapgraph.sources import fixtures as X
 from snapgraph.sources import io
 from snapgraph.sources.fixtures import table
@@ -49,7 +50,7 @@ def docs(s, d):
     return table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-#: One text for the suffix structures: all documents, lower-cased, in order of their ids.  The SQL sees the first 60 characters of four.
+#: One text for the suffix structures: all documents, lower-cased, in order of their ids.  SQL would compare whole suffixes pair by pair.
 def suffix_text(s, d):
     whole = docs(s, d).select("doc_id", F.lower("text").alias("text")).withColumn("size", F.char_length("text"))
     placed = scanned(whole, [F.col("doc_id").asc_nulls_last(), F.col("text")], {"start": (F.col("size"), "sum")}, inclusive=False)
@@ -57,10 +58,24 @@ def suffix_text(s, d):
     return chars.select((F.col("doc_id") + F.col("idx")).alias("idx"), "val")
 
 
-SUFFIX = "tx AS MATERIALIZED (SELECT string_agg(substr(lower(text), 1, 60), '' ORDER BY doc_id) AS t FROM documents WHERE doc_id<4), sx AS MATERIALIZED (SELECT i-1 AS idx, substr(t, i::INT) AS suf FROM tx, (SELECT unnest(range(1, length(t)+1)) AS i FROM tx))"
+def table_rows(s, d, k):
+    """A third of the events as rows (key, val, pos) of a table."""
+    return seq(s, d).where(F.col("idx") % 3 == k).select(F.col("user_id").cast("long").alias("key"), "val", F.col("idx").alias("pos"))
 
 
-CH = "ch AS MATERIALIZED (SELECT i-1 AS idx, substr(text, i::INT, 1) AS val FROM (SELECT text, unnest(range(1, length(text)+1)) AS i FROM documents WHERE doc_id=2))"
+def _added_up(s, a):
+    """Effects of for_each, seen through an accumulator."""
+    total = s.sparkContext.accumulator(0)
+
+    def act(rows):
+        for r in rows:
+            total.add(r["val"])
+
+    Q.for_each(a, act)
+    return s.createDataFrame([(total.value,)], "value long")
+
+
+CH = "ch AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, '')) AS val, generate_subscripts(string_split(text, ''), 1) - 1 AS idx FROM documents WHERE text <> '')"
 
 QUERIES = {
     "p3_reduce": (lambda s, d: Q.reduce(vals(s, d), F.sum("val")), f"WITH {E} SELECT sum(val)::BIGINT AS value FROM e"),
@@ -81,7 +96,7 @@ QUERIES = {
     "p15_range_min": (lambda s, d: Q.range_min(vals(s, d), ranges(s), 64), f"WITH {E}, {RANGES} SELECT low, high, (min(struct_pack(v := val, i := idx))).i AS idx FROM rg JOIN e ON idx BETWEEN low AND high GROUP BY low, high"),
     "p17_reservations": (
         lambda s, d: _all_rounds(s, d),
-        "WITH c AS (SELECT DISTINCT l_orderkey AS i, l_suppkey AS r FROM lineitem WHERE l_orderkey<200), h AS (SELECT r, min(i) AS h FROM c GROUP BY r) SELECT i FROM c JOIN h USING (r) GROUP BY i HAVING bool_and(i=h)",
+        None,  # a round for each commit: tested against brute force
     ),
     "p18_bag": (lambda s, d: Q.bag(vals(s, d), small(s, d)), f"WITH {E} SELECT val FROM e UNION ALL SELECT val FROM sm"),
     "p19_shuffle": (lambda s, d: Q.shuffled(vals(s, d), 5), f"WITH {E} SELECT row_number() OVER (ORDER BY ((idx+5)*2654435761)%4294967296, idx)-1 AS pos, idx, val FROM e"),
@@ -129,19 +144,34 @@ QUERIES = {
         lambda s, d: Q.window_average(seq(s, d).select(F.col("idx").cast("double").alias("time"), F.col("val").alias("value")), 10).select("time", F.round("latency", 6).alias("latency")),
         f"WITH {E}, b AS (SELECT min(idx)::DOUBLE AS t0, max(idx)::DOUBLE AS t1 FROM e), p AS (SELECT least(floor((idx-t0)/((t1-t0)/10)), 9) AS w, t0, t1, val FROM e, b) SELECT t0+(w+0.5)*(t1-t0)/10 AS time, round(avg(val), 6) AS latency FROM p GROUP BY w, t0, t1",
     ),
-    "str2_tokens": (lambda s, d: T.tokens(docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.max_by("token", "k").alias("last")), None),
+    "str1_is_space": (lambda s, d: T.partition_texts(docs(s, d), T.is_space).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts")), "SELECT doc_id, (length(text) - length(regexp_replace(text, '[\\r\\t\\n\\x00 ]', '', 'g')) + (CASE WHEN regexp_matches(text[1], '[\\r\\t\\n\\x00 ]') THEN 0 ELSE 1 END))::BIGINT AS parts FROM documents WHERE text <> ''"),
+    "str2_tokens": (
+        lambda s, d: T.tokens(docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.max_by("token", "k").alias("last")),
+        "WITH t AS (SELECT doc_id, regexp_split_to_array(text, '[\\r\\t\\n\\x00 ]') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM t), q AS (SELECT *, (sum(length(token)+1) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT - length(token) - 1 AS start FROM p) SELECT doc_id, count(*) AS n, sum(start)::BIGINT AS starts, max_by(token, k) AS last FROM q WHERE token <> '' GROUP BY doc_id",
+    ),
     "str3_tokenize": (lambda s, d: T.tokenize(docs(s, d)).select("doc_id", F.size("words").alias("n"), F.element_at("words", -1).alias("last")), "SELECT doc_id, len(w) AS n, w[-1] AS last FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\r\\t\\n\\x00 ]'), lambda x: x <> '') AS w FROM documents)"),
-    "str4_partition_at": (lambda s, d: T.partition_texts(docs(s, d), lambda c: c == " "), f"WITH {CH}, p AS (SELECT idx, sum((idx=0 OR val=' ')::INT) OVER (ORDER BY idx)-1 AS part FROM ch) SELECT part::BIGINT AS part, min(idx) AS \"first\", max(idx) AS \"last\" FROM p GROUP BY part"),
+    "str4_partition_at": (lambda s, d: T.partition_texts(docs(s, d), lambda c: c == " "), f"WITH {CH}, p AS (SELECT doc_id, idx, sum((idx=0 OR val=' ')::INT) OVER (PARTITION BY doc_id ORDER BY idx)-1 AS part FROM ch) SELECT doc_id, part::BIGINT AS part, min(idx) AS \"first\", max(idx) AS \"last\" FROM p GROUP BY doc_id, part"),
     "str5_split": (lambda s, d: T.tokenize(docs(s, d), chars=".,").select("doc_id", F.size("words").alias("n")), "SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.,]'), lambda x: x <> '')) AS n FROM documents"),
-    "agg11_inverted_index": (lambda s, d: T.inverted_index(docs(s, d)).select("word", "n", F.concat_ws(",", "keys").alias("docs")), "SELECT word, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) GROUP BY word"),
-    "str6_suffix_array": (lambda s, d: T.suffix_array(suffix_text(s, d)), f"WITH {SUFFIX} SELECT idx, row_number() OVER (ORDER BY suf)-1 AS rank FROM sx"),
-    "str7_lcp": (
-        lambda s, d: T.lcp(suffix_text(s, d)),
-        f"WITH {SUFFIX}, o AS (SELECT row_number() OVER (ORDER BY suf)-1 AS rank, suf, lag(suf) OVER (ORDER BY suf) AS prev FROM sx) SELECT rank, (SELECT count(*) FROM (SELECT unnest(range(1, least(length(suf), length(prev))+1)) AS k) WHERE substr(suf, 1, k::INT)=substr(prev, 1, k::INT)) AS lcp FROM o WHERE prev IS NOT NULL",
+    "agg11_inverted_index": (lambda s, d: T.inverted_index(docs(s, d)).select("word", "part", "n", F.concat_ws(",", "keys").alias("docs")), "SELECT word, doc_id//10000 AS part, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) GROUP BY word, doc_id//10000"),
+    "str6_suffix_array": (lambda s, d: T.suffix_array(suffix_text(s, d)), None),
+    "str7_lcp": (lambda s, d: T.lcp(suffix_text(s, d)), None),
+    "str8_cartesian_tree": (
+        lambda s, d: T.cartesian_tree(seq(s, d).select(F.col("user_id").alias("g"), "idx", "val"), "g"),
+        f"WITH {E}, k AS (SELECT a.user_id AS g, a.idx, a.val, max(b.idx) FILTER (WHERE b.idx<a.idx AND b.val<=a.val) AS l, min(b.idx) FILTER (WHERE b.idx>a.idx AND b.val<a.val) AS r FROM e a JOIN e b ON a.user_id=b.user_id GROUP BY a.user_id, a.idx, a.val) SELECT g, k.idx, CASE WHEN l IS NULL THEN coalesce(r, k.idx) WHEN r IS NULL THEN l WHEN x.val>y.val THEN l ELSE r END AS parent FROM k LEFT JOIN e x ON x.idx=l LEFT JOIN e y ON y.idx=r",
+    ),
+    "str9_find_all": (lambda s, d: T.find_all(docs(s, d), "a"), "SELECT doc_id, unnest(list_transform(list_filter(list_zip(string_split(text, ''), range(0, length(text))), x -> x[1]='a'), x -> x[2]))::BIGINT AS at FROM documents WHERE contains(text, 'a')"),
+    "s12_is_partitioned": (lambda s, d: Q.is_partitioned(vals(s, d), F.col("idx") < 500).withColumn("by_value", Q.is_partitioned(vals(s, d), F.col("val") < 5000).first()[0] == F.lit(True)), f"WITH {E} SELECT true AS partitioned, coalesce((SELECT max(idx) FROM e WHERE val<5000) < (SELECT min(idx) FROM e WHERE NOT val<5000), true) AS by_value"),
+    "f17_for_each": (lambda s, d: _added_up(s, vals(s, d)), f"WITH {E} SELECT sum(val)::BIGINT AS value FROM e"),
+    "agg9_table": (
+        lambda s, d: HashTable.of(table_rows(s, d, 0)).insert(table_rows(s, d, 1)).update(table_rows(s, d, 2)).delete(s.range(0, 1000, 10).select(F.col("id").alias("key"))).indexed(),
+        f"WITH {E}, r AS (SELECT user_id AS key, val, idx AS pos, idx%3 AS k FROM e), a AS (SELECT key, min_by(val, pos) AS val FROM r WHERE k=0 GROUP BY key), b AS (SELECT key, min_by(val, pos) AS val FROM r WHERE k=1 AND key NOT IN (SELECT key FROM a) GROUP BY key), c AS (SELECT key, max(val) AS val FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT key, val FROM r WHERE k=2) GROUP BY key) SELECT key, val, row_number() OVER (ORDER BY key)-1 AS index FROM c WHERE NOT (key<1000 AND key%10=0)",
     ),
-    "str8_cartesian_tree": (lambda s, d: T.cartesian_tree(seq(s, d).select(F.col("user_id").alias("g"), "idx", "val"), "g"), None),
+    "agg9_find": (lambda s, d: HashTable.of(table_rows(s, d, 0)).find(s.range(60).select(F.col("id").alias("key"))), f"WITH {E}, a AS (SELECT user_id AS key, min_by(val, idx) AS val FROM e WHERE idx%3=0 GROUP BY user_id) SELECT b.range AS key, a.val FROM range(60) b LEFT JOIN a ON a.key=b.range"),
+    "agg12_counters": (lambda s, d: Counters(s.createDataFrame([], "key long, val long")).insert(table_rows(s, d, 0)).insert(table_rows(s, d, 1)).entries(F.col("val") % 2 == 0), f"WITH {E} SELECT user_id AS key, sum(val)::BIGINT AS val FROM e WHERE idx%3<2 GROUP BY user_id HAVING sum(val)%2=0"),
+    "agg13_new_keys": (lambda s, d: HashSet.of(table_rows(s, d, 0)).insert(table_rows(s, d, 1))[1], f"WITH {E} SELECT DISTINCT user_id AS key FROM e WHERE idx%3=1 AND user_id NOT IN (SELECT user_id FROM e WHERE idx%3=0)"),
+    "agg13_contains": (lambda s, d: HashSet.of(table_rows(s, d, 0)).contains(s.range(60).select(F.col("id").alias("key"))), f"WITH {E} SELECT b.range AS key, b.range IN (SELECT user_id FROM e WHERE idx%3=0) AS found FROM range(60) b"),
     "str9_find": (lambda s, d: T.find(docs(s, d), "tion the"), "SELECT doc_id, instr(text, 'tion the')-1 AS at FROM documents WHERE instr(text, 'tion the')>0"),
-    "io12_characters": (lambda s, d: io.characters(docs(s, d), start=5, end=25), "SELECT doc_id, i-1 AS idx, substr(substr(text, 6, 20), i::INT, 1) AS val FROM (SELECT doc_id, text, unnest(range(1, length(substr(text, 6, 20))+1)) AS i FROM documents WHERE doc_id<20)"),
+    "io12_characters": (lambda s, d: io.characters(docs(s, d), start=5, end=25), "SELECT doc_id, i-1 AS idx, substr(substr(text, 6, 20), i::INT, 1) AS val FROM (SELECT doc_id, text, unnest(range(1, length(substr(text, 6, 20))+1)) AS i FROM documents)"),
     "io16_mix": (lambda s, d: vals(s, d).select("idx", priority("idx").alias("h")), f"WITH {E} SELECT idx, (idx*2654435761)%4294967296 AS h FROM e"),
 }
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from snapgraph.operators import nbrs as N
@@ -7,6 +8,7 @@ from snapgraph.operators import sequences as Q
 from snapgraph.operators import text as T
 from snapgraph.operators.algorithms import deterministic_reservations
 from snapgraph.operators.ordered import OrderedMap
+from snapgraph.operators.tables import Counters, HashSet, HashTable
 from snapgraph.plans.queries_maps import QUERIES as MAPS
 from snapgraph.plans.queries_seq import QUERIES
 
@@ -106,6 +108,53 @@ def test_ordered_fold_of_all_keys(spark, tmp_path):
     assert rows(few.up_to(0).affine_fold(3, 101, 4)) == [(4,)]
 
 
+def test_ranges_against_brute_force(spark):
+    rng = random.Random(13)
+    entries = {k: rng.randrange(-50, 50) for k in rng.sample(range(200), 70)}
+    asked = sorted({(rng.randrange(-5, 205), rng.randrange(-5, 205)) for _ in range(60)})
+    got = rows(omap(spark, list(entries.items())).aug_ranges(spark.createDataFrame(asked, "low long, high long")))
+    inside = lambda a, b: [v for k, v in entries.items() if a <= k <= b]
+    assert got == [(a, b, sum(inside(a, b)), len(inside(a, b))) for a, b in asked]
+
+
+def test_sorted_entries_are_checked(spark):
+    sorted_ones = spark.createDataFrame([(0, 2, 5), (1, 4, 6)], "idx long, key long, val long")
+    assert rows(omap(spark, [(2, 1), (3, 1)]).multi_insert_sorted(sorted_ones).rows) == [(2, 5), (3, 1), (4, 6)]
+    with pytest.raises(ValueError):
+        OrderedMap.from_sorted(sorted_ones.withColumn("key", -F.col("key")))
+
+
+def test_tables(spark):
+    entries = lambda items: spark.createDataFrame(items, "key long, val long, pos long")
+    keys = lambda *items: spark.createDataFrame([(k,) for k in items], "key long")
+    t = HashTable.of(entries([(1, 10, 1), (1, 11, 0), (2, 20, 0), (None, 5, 0)]))
+    assert rows(t.rows) == [(1, 11), (2, 20)]
+    assert rows(t.insert(entries([(2, 99, 0), (3, 30, 0)])).rows) == [(1, 11), (2, 20), (3, 30)]
+    assert rows(t.update(entries([(2, 99, 0), (1, 3, 0)])).rows) == [(1, 11), (2, 99)]
+    assert rows(t.delete(keys(1, 7)).indexed()) == [(2, 20, 0)]
+    assert sorted(map(tuple, t.find(keys(2, 5)).collect())) == [(2, 20), (5, None)] and t.count().first()[0] == 2
+    bigger, new = HashSet.of(keys(1, 1, 2)).insert(keys(2, 3, 3))
+    assert rows(bigger.entries()) == [(1,), (2,), (3,)] and rows(new) == [(3,)] and rows(bigger.contains(keys(3, 4))) == [(3, True), (4, False)] and bigger.clear().entries().isEmpty()
+    c = Counters(entries([]).select("key", "val")).insert(entries([(1, 2, 0), (1, 3, 0)])).insert(entries([(1, 4, 0), (2, 1, 0)]))
+    assert rows(c.entries()) == [(1, 9), (2, 1)] and rows(c.find(keys(2, 8))) == [(2, 1), (8, 0)] and rows(c.map(F.col("val") * 2).entries(F.col("val") > 5)) == [(1, 18)]
+
+
+def test_all_places_of_a_pattern(spark):
+    values = ["aaaa", "abab a", "", None, "b", "xa", "a.a\\Ea", "aa"]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    for pattern in ("a", "aa", "aba", ".", "\\E"):
+        want = [(d, k) for d, t in enumerate(values) for k in range(len(t or "")) if t.startswith(pattern, k)]
+        assert rows(T.find_all(docs, pattern)) == want, pattern
+    with pytest.raises(ValueError):
+        T.find_all(docs, "")
+
+
+def test_partitioned_and_for_each(spark):
+    a = seq(spark, [3, 1, 9, 8])
+    assert Q.is_partitioned(a, F.col("val") < 5).first()[0] and not Q.is_partitioned(a, F.col("val") > 5).first()[0]
+    assert Q.is_partitioned(a.limit(0), F.col("val") > 5).first()[0]
+
+
 def documents_at(spark, tmp_path, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     return str(tmp_path)

@@ -2,10 +2,13 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from snapgraph.operators import algorithms as A
+from snapgraph.operators import nbrs as N
 from snapgraph.operators import traverse as T
-from snapgraph.plans.graph import Graph
+from snapgraph.plans.graph import Graph, sort_updates
+from snapgraph.sources import codec
 
 
 def make(spark, pairs, vertices=()):
@@ -110,3 +113,46 @@ def test_edge_map_forms_agree(spark):
     push = rows(T.edge_map(g, u, size=2))
     assert push == rows(T.edge_map(g, u, only=g.vertices)) == rows(T.edge_map(g, u))
     assert T.edge_map(g, u, no_output=True).count() == 0
+
+
+def test_push_and_pull_agree_on_random_graphs(spark):
+    rng = random.Random(14)
+    g = make(spark, [(rng.randrange(30), rng.randrange(30)) for _ in range(80)]).cached()
+    one_way = Graph.from_edges(spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(80)], "src long, dst long"))
+    program = T.EdgeProgram(message={"m": F.col("src")}, combine={"least": F.min("m"), "n": F.count("m")})
+    for graph in (g, one_way):
+        u = T.subset_where(graph, F.col("id") % 3 == 1)
+        forms = [rows(T.edge_map(graph, u, program, skip=u, mode=mode)) for mode in ("push", "pull", "auto")]
+        assert forms[0] == forms[1] == forms[2] and forms[0]
+    assert T.is_dense(g, g.vertices) and not T.is_dense(g, T.empty_subset(g))
+    with pytest.raises(ValueError):
+        T.edge_map(g, g.vertices, mode="sideways")
+    g.release()
+
+
+def test_vertex_subsets(spark):
+    g = make(spark, PATH)
+    assert T.size_of(T.subset_where(g, F.col("id") > 2)).first()[0] == 2 and T.is_empty(T.empty_subset(g))
+    assert rows(T.is_in(T.singleton(g, 3), g.vertices)) == [(k, k == 3) for k in range(5)]
+
+
+def test_sizes_of_lists_equal_the_code(spark):
+    rng = random.Random(15)
+    g = make(spark, [(rng.randrange(5000), rng.randrange(5000)) for _ in range(300)])
+    want = {r["id"]: len(codec.encode(r["id"], list(r["nbrs"]))) for r in g.adjacency().collect()}
+    got = {}
+    for src, _, size in g.code_sizes().collect():
+        got[src] = got.get(src, 0) + size
+    assert got == want
+    stats = g.storage_stats().first()
+    assert stats["delta_bytes"] == sum(want.values()) and g.size_in_bytes() == stats["delta_total_bytes"] == 56 * len(want) + sum(want.values())
+    with pytest.raises(ValueError):
+        Graph(g.vertices, g.edges.union(g.edges.limit(1))).size_in_bytes()
+    assert rows(N.folded(make(spark, PATH).edges, F.col("dst") + 1)) == [(0, 1, 2), (1, 0, 1), (1, 2, 4), (2, 1, 2), (2, 3, 6), (3, 2, 3), (3, 4, 8), (4, 3, 4)]
+
+
+def test_sorted_batches(spark):
+    rng = random.Random(16)
+    batch = [(rng.randrange(9), rng.randrange(9)) for _ in range(60)]
+    got = sort_updates(spark.createDataFrame(batch, "src long, dst long")).collect()
+    assert list(map(tuple, got)) == sorted(batch)

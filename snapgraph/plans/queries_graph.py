@@ -180,7 +180,7 @@ def q_binary_file(fmt):
 def q_append_slab(s, d):
     g = X.graph(s, d)
     new = [(F.col(c) + HUGE).alias(c) for c in ("src", "dst")]
-    return g.append_slab(Graph(g.vertices.select(F.col("id") + HUGE), g.edges.select(*new))).edges
+    return g.append_slab(Graph(g.vertices.select((F.col("id") + HUGE).alias("id")), g.edges.select(*new))).edges
 
 
 def q_scan(s, d):

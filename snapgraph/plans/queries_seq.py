@@ -159,7 +159,7 @@ QUERIES = {
         lambda s, d: T.cartesian_tree(seq(s, d).select(F.col("user_id").alias("g"), "idx", "val"), "g"),
         f"WITH {E}, k AS (SELECT a.user_id AS g, a.idx, a.val, max(b.idx) FILTER (WHERE b.idx<a.idx AND b.val<=a.val) AS l, min(b.idx) FILTER (WHERE b.idx>a.idx AND b.val<a.val) AS r FROM e a JOIN e b ON a.user_id=b.user_id GROUP BY a.user_id, a.idx, a.val) SELECT g, k.idx, CASE WHEN l IS NULL THEN coalesce(r, k.idx) WHEN r IS NULL THEN l WHEN x.val>y.val THEN l ELSE r END AS parent FROM k LEFT JOIN e x ON x.idx=l LEFT JOIN e y ON y.idx=r",
     ),
-    "str9_find_all": (lambda s, d: T.find_all(docs(s, d), "a"), "SELECT doc_id, unnest(list_transform(list_filter(list_zip(string_split(text, ''), range(0, length(text))), x -> x[1]='a'), x -> x[2]))::BIGINT AS at FROM documents WHERE contains(text, 'a')"),
+    "str9_find_all": (lambda s, d: T.find_all(docs(s, d), "a"), "SELECT doc_id, unnest(list_transform(list_filter(list_zip(string_split(text, ''), range(0, length(text))), lambda x: x[1]='a'), lambda x: x[2]))::BIGINT AS at FROM documents WHERE contains(text, 'a')"),
     "s12_is_partitioned": (lambda s, d: Q.is_partitioned(vals(s, d), F.col("idx") < 500).withColumn("by_value", Q.is_partitioned(vals(s, d), F.col("val") < 5000).first()[0] == F.lit(True)), f"WITH {E} SELECT true AS partitioned, coalesce((SELECT max(idx) FROM e WHERE val<5000) < (SELECT min(idx) FROM e WHERE NOT val<5000), true) AS by_value"),
     "f17_for_each": (lambda s, d: _added_up(s, vals(s, d)), f"WITH {E} SELECT sum(val)::BIGINT AS value FROM e"),
     "agg9_table": (

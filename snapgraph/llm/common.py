@@ -124,24 +124,43 @@ def task_cache() -> dict:
 def kept(key: tuple, make):
     """What make() gives, kept in the worker under the key until a task asks for another one."""
     cache = task_cache()
+    forget(key[0])
     if key not in cache:
-        forget()
+        for k in [k for k in cache if isinstance(k, tuple) and k[0] == key[0]]:
+            del cache[k]
         cache[key] = make()
     return cache[key]
 
 
-def forget() -> None:
-    """Drops what other operators keep in this worker and hands the memory back."""
+#: Arrays over so many bytes are the system's own maps, so that they go back to it when they are freed.
+OWN_MAP = 1 << 20
+
+
+def forget(*own: str) -> None:
+    """At a task's begin: drops what other operators keep in this worker, hands the memory back, and sees that large arrays will be."""
     cache = task_cache()
-    old = [k for k in cache if k[0] != "pow"]
+    if "settled" not in cache:
+        cache["settled"] = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        _libc("mallopt", -3, OWN_MAP)  # M_MMAP_THRESHOLD, which else grows with use
+    old = [k for k in cache if isinstance(k, tuple) and k[0] not in ("pow", *own)]
     for k in old:
         del cache[k]
     if old:
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: it has its own ways
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system."""
+    _libc("malloc_trim", 0)
+
+
+def _libc(name: str, *args: int) -> None:
+    try:
+        getattr(ctypes.CDLL("libc.so.6"), name)(*args)
+    except (OSError, AttributeError):  # another C library: it has its own ways
+        pass
 
 
 # ---------------------------------------------------------------- blocks
@@ -236,7 +255,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 16 << 20:
+        if size <= 1 << 20:  # more are made in some milliseconds
             cache["pow", base] = have
     return have[:n]
 
@@ -368,6 +387,7 @@ def answered(routed: DataFrame, answer) -> DataFrame:
     """
 
     def count(table: pa.Table) -> pa.Table:
+        forget()
         out = []
         for space in sorted(set(table.column("space").to_pylist())):
             rows = table.filter(pc.equal(table.column("space"), space)).to_pylist()

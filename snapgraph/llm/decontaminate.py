@@ -191,6 +191,7 @@ def search(index: DataFrame, items: list, window: int = WINDOW, slop: int = 0, d
     phrases = index.sparkSession.sparkContext.broadcast(pickle.dumps(phrases_of(items, window)))
 
     def run(batches):
+        forget()
         asked = pickle.loads(phrases.value)
         lengths = asked["lengths"]
         for batch in batches:

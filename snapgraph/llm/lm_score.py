@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, answered, bucketed, drop, gram_hashes, in_order, lower_table, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpacked, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, answered, bucketed, drop, forget, gram_hashes, in_order, lower_table, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpacked, unpack_small, words_of, written
 
 ALPHA = 0.4
 #: Larger blocks send a common n-gram less often.
@@ -75,6 +75,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     cut = np.uint64(64 - bits)
 
     def send_short(batches):
+        forget()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in ("block", "ends", "text")}
@@ -94,6 +95,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         return distinct, counts, in_order(replies, n, read_bits).astype(bool)[np.searchsorted(names, distinct >> cut)] if len(distinct) else np.zeros(0, bool)
 
     def send_counts(key, block: pa.Table, replies: pa.Table) -> pa.Table:
+        forget()
         rows: list = []
         for row in block.to_pylist():
             n_words, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64))
@@ -106,6 +108,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     full, full_path = written(answered(blocks.groupBy("block").cogroup(short.groupBy("block")).applyInArrow(send_counts, ROUTED), sum_bytes), "counts")
 
     def finish(key, block: pa.Table, replies: pa.Table) -> pa.Table:
+        forget()
         rows = []
         for row in block.to_pylist():
             n_words, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64))

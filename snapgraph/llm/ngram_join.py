@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import answered, components, drop, gram_hashes, in_order, lower_table, numbered, pack_sorted, parts_for, prefix_sums, routed_batch, routes, span_hashes, spaced_words, sum_bytes, text_blocks, unpack_small, unpack_sorted, words_of, written
+from snapgraph.llm.common import answered, components, drop, forget, gram_hashes, in_order, lower_table, numbered, pack_sorted, parts_for, prefix_sums, routed_batch, routes, span_hashes, spaced_words, sum_bytes, text_blocks, unpack_small, unpack_sorted, words_of, written
 
 WORDS = 4
 #: Linked: 100 * intersection >= PERCENT * union, in whole numbers.
@@ -87,6 +87,7 @@ def sizes(blocks: DataFrame, words: int = WORDS) -> DataFrame:
     """block, k (place in the block), doc_id, n_shingles, set_id (null for an empty set)."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for j in range(batch.num_rows):
                 row = {n: batch.column(n)[j].as_py() for n in ("block", "ids", "ends", "text")}
@@ -195,6 +196,7 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
         return np.unique(np.concatenate(sets) >> cut, return_counts=True)
 
     def send(batches):
+        forget()
         for batch in batches:
             for j in range(batch.num_rows):
                 row = {n: batch.column(n)[j].as_py() for n in ("block", "ends", "text")}
@@ -209,6 +211,7 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
 
     def listed(key, block: pa.Table, answers: pa.Table) -> pa.Table:
         """Of the first documents, those with a listed prefix token: set id, n, shingles, and those tokens."""
+        forget()
         rows = []
         for row in block.to_pylist():
             sets = row_sets(row, words)
@@ -244,6 +247,7 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
     placed = step(placed.withColumn("g", F.xxhash64("leader", "piece")), "placed")
 
     def group(key, table):
+        forget()
         ids, cells, lead = (table.column(c).to_pylist() for c in ("x", "keys", "leader"))
         order = sorted(range(len(ids)), key=lambda k: (ids[k] != lead[k], ids[k]))
         order = [k for j, k in enumerate(order) if not j or ids[k] != ids[order[j - 1]]]
@@ -279,6 +283,7 @@ def set_links(blocks: DataFrame, blocks_path: str, classes: DataFrame, words: in
     opened = groups.join(shares, "g").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
 
     def open_group(key, asks: pa.Table, held: pa.Table) -> pa.Table:
+        forget()
         found = []
         for row in held.to_pylist():
             union = unpack_sorted(row["union"], row["n_union"])

@@ -15,7 +15,7 @@ from snapgraph.llm.common import lower_table, prefix_sums, span_hashes
 
 LETTER, DIGIT, MARK, APOSTROPHE, SPACE, LINE = 1, 2, 3, 4, 5, 6
 #: Distinct pieces a worker keeps; beyond, it starts again.
-MEMO = 3_000_000
+MEMO = 1_500_000
 
 
 def classes(data: np.ndarray) -> np.ndarray:

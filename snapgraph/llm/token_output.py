@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import id_and_text, joined, kept, slices, written
+from snapgraph.llm.common import forget, id_and_text, joined, kept, slices, written
 from snapgraph.llm.pieces import PieceMemo
 
 SHARD_TOKENS = 1 << 20
@@ -210,6 +210,7 @@ def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -
     ordered = encoded(docs, path, bounds).repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_last(), "check")
 
     def run(batches):
+        forget()
         shard, first, part = 0, 0, 0
         held, docs_held, ends, n = [], [], [], 0
 

@@ -39,7 +39,7 @@ from snapgraph.llm.common import id_and_text, kept, slices
 LENGTH, DECAY, WIDTH = 3, 0.6, 24
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 40_000
 LANDMARKS = 48
-MEMO = 400_000
+MEMO = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 SINGLES = re.compile(r"(?<!\S)(?:\w[\W_]*\s+){2,}\w(?!\w)")

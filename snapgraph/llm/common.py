@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import gc
 import sys
@@ -44,9 +45,25 @@ def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder."""
     path = f"{shared_folder(spark)}/snapgraph-{tag}-{uuid.uuid4().hex}"
     atexit.register(_drop_quietly, spark, path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return path
 
 
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def collected():
+    """The list of the scratch folders made inside."""
+    paths: list[str] = []
+    token = _MADE.set(paths)
+    try:
+        yield paths
+    finally:
+        _MADE.reset(token)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

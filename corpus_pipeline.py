@@ -1,16 +1,20 @@
 """A corpus pipeline of five operators: each stage works on all that the one before it kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``.  What a stage returns is to be written
+and read again before the next one is called: that one drops the scratch tables
+that the stage before it read from.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from snapgraph.llm import decontaminate, mixing, ngram_join, token_output, toxicity
-from snapgraph.llm.common import written
+from snapgraph.llm.common import collected, drop, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +46,29 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_output.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Scratch folders of the stage that was called last.
+_left: list[str] = []
+
+
+def _stage(function):
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            drop(spark, _left.pop())
+        with collected() as made:
+            out = function(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_join", drop_near_copies),
-    ("decontamination", drop_benchmark),
-    ("mixing", mix_sources),
-    ("token_output", write_tokens),
+    ("toxicity", _stage(drop_toxic)),
+    ("ngram_join", _stage(drop_near_copies)),
+    ("decontamination", _stage(drop_benchmark)),
+    ("mixing", _stage(mix_sources)),
+    ("token_output", _stage(write_tokens)),
 ]
 
 #: The fitted model and the tokenizer have no SQL form; tests compare the stages with brute force.
@@ -55,10 +76,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        if before:
+            drop(spark, before)
+        before = path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads its own files from here on
+    if before:
+        drop(spark, before)
+    return out
 
 
 def queries() -> dict:

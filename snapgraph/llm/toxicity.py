@@ -224,7 +224,8 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 class Model:
     def __init__(self, texts: list[str], toxic: np.ndarray):
-        self.share = float(np.mean(toxic)) if len(toxic) else 0.5
+        self.labelled = len(toxic) > 0
+        self.share = float(np.mean(toxic)) if self.labelled else 0.5
         self.landmarks = None
         if len(toxic) and 0 < self.share < 1 and (names := pick_landmarks(texts, toxic)):
             self.landmarks = Landmarks(names)
@@ -291,7 +292,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text scores under ``least``."""
+    """The rows, with all their columns, whose text scores under ``least``; all of them if no row was labelled."""
+    if not model.labelled:
+        return docs
     fetch = shipped(docs, model)
 
     def run(batches):

@@ -30,8 +30,8 @@ from snapgraph.llm.pieces import PieceMemo
 SHARD_TOKENS = 1 << 20
 #: Text bytes of one range of documents: a task writes them as a few shards.
 RANGE_BYTES = 8 << 20
-#: Ranges whose first places are broadcast (16 bytes each); more are joined.
-BROADCAST_RANGES = 1 << 20
+#: Beyond so many ranges they grow instead: their bounds are on the driver and in every task, and their first places are broadcast.
+MOST_RANGES = 1 << 16
 END = 0
 #: The string of the vocabulary's special token, which the library finds in any text.
 SPECIALS = (b"<|endoftext|>",)
@@ -196,9 +196,9 @@ def encoded(docs: DataFrame, path: str, bounds: tuple[int, ...] = ()) -> DataFra
 
 
 def range_bounds(docs: DataFrame) -> tuple[int, ...]:
-    """Ids that cut the documents into ranges of about RANGE_BYTES of text."""
+    """Ids that cut the documents into ranges of about RANGE_BYTES of text, at most MOST_RANGES; a task streams a larger one as more shards."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(-(-size // RANGE_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(max(-(-size // RANGE_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
     shares = [k / ranges for k in range(1, ranges)]
     found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 4 * ranges))).first()[0] if shares else None
     return tuple(sorted(set(found or ())))
@@ -244,10 +244,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
     # One row per range of documents: the only list that one task sums.
     before = F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
-    few = starts.count() <= BROADCAST_RANGES
-    placed = shards.join(F.broadcast(starts) if few else starts, "part").select((F.col("part_start") + F.col("first")).alias("first"), "docs", "ends", "payload")
+    placed = shards.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("first")).alias("first"), "docs", "ends", "payload")
 
     def run(batches):
+        forget()
         for batch in batches:
             for first, docs, ends, payload in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 ids = WaveletMatrix.load(payload).decode().astype("<u4")

@@ -297,6 +297,13 @@ def prefix_sums(data: np.ndarray, seed: int = 1) -> np.ndarray:
     return out
 
 
+def run_sums(words: np.ndarray) -> np.ndarray:
+    """The same for a sequence of word fingerprints: span_hashes of it names runs of words."""
+    out = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * _powers(_BASE, len(words)), out=out[1:])
+    return out
+
+
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of data[start:end]; equal bytes have equal ones."""
     values = sums[ends] - sums[starts]

@@ -1,11 +1,13 @@
-"""Token counts: the exact count at every prefix, by dynamic programming over pieces.
+"""Token counts: the exact count at every prefix, by dynamic programming.
 
 The prefix table of a text: it is cut where no token can cross, and
 count[k] = count[k-1] + tokens(piece k) is stored for every cut.  The count of a
-piece comes from the tokenizers library once per distinct piece and worker.
-Between two cuts, ``count_at`` and ``longest_prefix`` use the counts of the
-piece's own prefixes, made on demand and kept as well.  So truncation and budget
-questions never encode a text again.
+whole piece comes from the tokenizers library once per distinct piece and worker.
+Between two cuts, ``count_at`` and ``longest_prefix`` read the counts of the piece's
+own prefixes, which ``prefix_dp`` makes in linear time from the vocabulary alone
+and which are kept as well.  So truncation and budget questions never encode a
+text again.  Only a piece whose prefixes are normalised otherwise than the whole
+(characters that compose) asks the library for its heads.
 
 Null text: empty, 0 tokens.  Empty table: no rows.  Repeated rows: one row each.
 Very long texts: whole, in a block of their own.
@@ -13,6 +15,9 @@ Very long texts: whole, in a block of their own.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 
 from snapgraph.llm.common import id_and_text, joined, kept, slices
 from snapgraph.llm.pieces import PieceMemo
+from snapgraph.llm.prefix_dp import PrefixCounter
 
 LIMIT = 2048
 #: Strings of the vocabulary's special tokens, which the library finds in any text.
@@ -48,16 +54,18 @@ def tables(col: pa.Array, memo: PieceMemo):
 class Prefixes:
     """Answers about one text from its stored prefix table, without encoding it again."""
 
-    def __init__(self, text: str, ends: np.ndarray, counts: np.ndarray, memo: PieceMemo):
-        self.raw, self.ends, self.counts, self.memo = text.encode(), ends, counts, memo
-        self._within: dict[bytes, list[int]] = {}
+    def __init__(self, text: str, ends: np.ndarray, counts: np.ndarray, memo: PieceMemo, counter: PrefixCounter):
+        self.raw, self.ends, self.counts, self.memo, self.counter = text.encode(), ends, counts, memo, counter
+        self._within: dict[bytes, tuple[list[int], list[int]]] = {}
 
-    def within(self, piece: bytes) -> list[tuple[int, int]]:
-        """(bytes, tokens) of the piece's own prefixes."""
+    def within(self, piece: bytes) -> tuple[list[int], list[int]]:
+        """Bytes and tokens of the piece's own prefixes, the empty one first."""
         if piece not in self._within:
             text = piece.decode()
-            heads = [text[:k] for k in range(1, len(text) + 1)]
-            self._within[piece] = [(0, 0), *((len(h.encode()), len(ids)) for h, ids in zip(heads, self.memo.encode(heads)))]
+            counts = None if any(s in piece for s in SPECIALS) else self.counter.prefixes(text)
+            if counts is None:
+                counts = [len(ids) for ids in self.memo.encode([text[:k] for k in range(1, len(text) + 1)])]
+            self._within[piece] = [0, *accumulate(len(c.encode()) for c in text)], [0, *counts]
         return self._within[piece]
 
     def _piece(self, k: int) -> tuple[int, int, bytes]:
@@ -72,7 +80,9 @@ class Prefixes:
         if k == len(self.ends):
             return int(self.counts[-1]) if k else 0
         before, start, piece = self._piece(k)
-        return before + max((n for b, n in self.within(piece) if b == size - start), default=0)
+        sizes, counts = self.within(piece)
+        at = bisect_left(sizes, size - start)
+        return before + (counts[at] if at < len(sizes) and sizes[at] == size - start else 0)
 
     def longest_prefix(self, budget: int) -> int:
         """Bytes of the whole pieces, and of the next piece's longest head, that take at most ``budget`` tokens."""
@@ -80,7 +90,7 @@ class Prefixes:
         if k == len(self.ends):
             return len(self.raw)
         before, start, piece = self._piece(k)
-        return start + max(b for b, n in self.within(piece) if before + n <= budget)
+        return start + max(b for b, n in zip(*self.within(piece)) if before + n <= budget)
 
 
 def prefix_table(docs: DataFrame, path: str, limit: int = LIMIT, keep_table: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, pii, suffix_dedup, token_counts, token_output, toxicity
+from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, pii, prefix_dp, suffix_dedup, token_counts, token_output, toxicity
 from snapgraph.llm.common import components
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -100,6 +100,23 @@ def test_pii_base_spans_equal_plain_regexes(spark):
     assert pii.detected(nothing(spark)).count() == 0
 
 
+def test_pii_adds_spelled_out_addresses_and_secrets_but_no_plain_numbers(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["house", "river", "at", "paper", "stone", "met", "noon"]) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    values = [f"{prose(5)} {word()}{k % 2 * k or ''}@{word()}{k % 3 or ''}.example.com {prose(3)}" for k in range(60)]
+    values += [f'{prose(4)} token = "a{hexes(39)}" {prose(3)}' for _ in range(60)]
+    values += [f"{prose(3)} {rng.randrange(10**6)} 12 45 678 {prose(2)} call +1 (974) 555-{1000 + k}" for k in range(60)]
+    values += [f"{prose(4)} page_{rng.randrange(10, 99)}_of_the_long_manual_{rng.choice('abcdef')} {prose(2)}" for _ in range(60)]
+    asked = {"x bob at site dot example dot com y": 1, "x ann [at] mail3 [dot] example [dot] com y": 1, f'key: "b{hexes(39)}"': 1, "paper 4711 12 45 678 stone": 0, "x page_44_of_the_long_manual_c y": 0, "met at noon dot": 0, prose(30): 0}
+    docs, _ = documents(spark, [*values, *asked])
+    got = {r.doc_id: r for r in pii.detected(docs).collect()}
+    assert [got[len(values) + k].n_added for k in range(len(asked))] == list(asked.values())
+    assert all(r.n_found == r.n_added + r.n_email + r.n_ip + r.n_card + r.n_phone for r in got.values())
+    assert all(got[k].n_added == 1 and got[k].spans.startswith("secret:") for k in range(60, 120)) and not any(got[k].n_added for k in [*range(60), *range(180, 240)])
+
+
 def test_boosted_trees_learn_counts():
     cells = [((0, d, 0, 0, 0, 0, 0, 0), 90 if d == 6 else 1, 2 if d == 6 else 60) for d in range(9)]
     base, trees = pii.fit_trees(cells)
@@ -163,24 +180,62 @@ def test_proximity(spark):
 # ---------------------------------------------------------------- 3
 
 
-def test_suffix_dedup(spark):
-    assert suffix_dedup.is_cover(suffix_dedup.COVER, suffix_dedup.V)
-    docs, raw = documents(spark)
-    data = {d: t.encode() for d, t in raw.items()}
-    counts = collections.Counter(b[k : k + 400] for b in data.values() for k in range(len(b) - 399))
-    want = {}
-    for d, b in data.items():
+def brute_suffix_dedup(values):
+    """(n_bytes, n_removed, n_spans, kept_sha256, n_passage_words) of each text."""
+    data = [(t or "").encode() for t in values]
+    counts = collections.Counter(b[k : k + 400] for b in data for k in range(len(b) - 399))
+    spaced = [b.split() for b in data]  # bytes.split: the six ASCII spaces
+    runs = lambda ws: {tuple(ws[k : k + 51]) for k in range(len(ws) - 50)}
+    texts_with = collections.Counter(r for ws in spaced for r in runs(ws))
+    out = []
+    for b, ws in zip(data, spaced):
         gone = bytearray(len(b))
         for k in range(len(b) - 399):
             if counts[b[k : k + 400]] > 1:
                 gone[k : k + 400] = b"\1" * 400
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        want[d] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        told = {j for k in range(len(ws) - 50) if texts_with[tuple(ws[k : k + 51])] > 1 for j in range(k, k + 51)}
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), len(told)))
+    return out
+
+
+def test_suffix_dedup(spark):
+    assert suffix_dedup.is_cover(suffix_dedup.COVER, suffix_dedup.V) and suffix_dedup.is_cover(suffix_dedup.PASSAGE_COVER, suffix_dedup.PASSAGE_V)
+    rng = random.Random(3)
+    short = " ".join(rng.choice("ab") for _ in range(55))  # 55 words in 109 bytes
+    values = texts() + [short, f"x {short}\n\ny z", f"{short} {short}", " ".join(rng.choice("cd") for _ in range(60)) * 1]
+    docs, _ = documents(spark, values)
+    want = dict(enumerate(brute_suffix_dedup(values)))
     assert {r[0]: tuple(r[1:]) for r in suffix_dedup.removed(docs).collect()} == want
-    assert sum(w[1] for w in want.values()) > 3000
+    assert sum(w[1] for w in want.values()) > 3000 and want[len(values) - 4][1:5:3] == (0, 55)
     assert suffix_dedup.removed(nothing(spark)).count() == 0
 
 
+def test_suffix_dedup_repeated_rows_null_ids_and_clashing_columns(spark):
+    text = texts()[3]
+    rows = [(5, text, 1), (5, text, 1), (None, text, 2), (None, "w " * 70, 2), (None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block int").withColumn("n_bytes", F.lit("k"))
+    got = sorted((tuple(r) for r in suffix_dedup.removed(docs).collect()), key=str)
+    assert got == sorted(((r[0], *w) for r, w in zip(rows, brute_suffix_dedup([r[1] for r in rows]))), key=str)
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    """Texts over the 2 MB of a run and the 4 MB of a segment: one passage in both, one inside a text."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    word = lambda n: " ".join("%x" % v for v in rng.integers(1 << 20, 1 << 28, n).tolist())
+    shared, once = word(120), word(100)
+    first = word(330_000) + " " + shared + " " + once + " " + word(10) + " " + once
+    second = word(20) + " " + shared + "!"
+    third = "y" * 5_000_000
+    docs = spark.createDataFrame([(1, first), (2, second), (3, third), (4, third)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.removed(docs).collect()}
+    assert got[1].n_bytes == len(first) > 2_500_000
+    # A space on each side of the shared passage is equal too.
+    assert got[2].n_removed == len(shared) + 1 and got[2].n_passage_words == 119
+    assert got[1].n_removed == len(shared) + 1 + 2 * (len(once) + 1) and got[1].n_passage_words == 119
+    assert got[3].n_removed == got[4].n_removed == 5_000_000 and got[3].n_spans == 1
+
+
 # ---------------------------------------------------------------- 4 and 8
 
 
@@ -201,15 +256,37 @@ def test_token_counts_equal_the_library(spark):
 
 
 def test_prefix_questions_need_no_encoding(spark):
-    docs, raw = documents(spark, ["Hello, wonderful worlds of tokens 12345!", "", "unbelievable"])
-    memo, library = token_counts.memo_for(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    class Refuses:
+        def encode(self, texts):
+            raise AssertionError("a text was encoded again")
+
+    rng = random.Random(17)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400))
+    values = ["Hello, wonderful worlds of tokens 12345!", "", "unbelievable", "They'll say it's they're we've 'twas I'm 'reference' x'd !'re", "naïve café Ωmega 漢字かな " + cjk, "a--b...c;;;d 10,000.00 <<>>", "pneumonoultramicroscopicsilicovolcanoconiosis" * 4]
+    docs, raw = documents(spark, values)
+    library, counter = Tokenizer.from_file(WORD_BPE), prefix_dp.PrefixCounter(WORD_BPE)
     for r in token_counts.prefix_table(docs, WORD_BPE).collect():
         text = raw[r.doc_id]
-        table = token_counts.Prefixes(text, np.frombuffer(r["ends"], "<i4"), np.frombuffer(r["counts"], "<i4"), memo)
-        size = lambda p: len(library.encode(text[:p], add_special_tokens=False).ids)
-        assert [table.count_at(p) for p in range(len(text) + 1)] == [size(p) for p in range(len(text) + 1)]
-        for budget in range(size(len(text)) + 2):
-            assert size(table.longest_prefix(budget)) <= budget
+        table = token_counts.Prefixes(text, np.frombuffer(r["ends"], "<i4"), np.frombuffer(r["counts"], "<i4"), Refuses(), counter)
+        want = [len(library.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        sizes = [len(text[:p].encode()) for p in range(len(text) + 1)]
+        assert [table.count_at(b) for b in sizes] == want
+        for budget in range(0, want[-1] + 2, max(1, want[-1] // 40)):
+            fits = table.longest_prefix(budget)
+            assert want[sizes.index(fits)] <= budget
+
+
+def test_prefix_counts_of_odd_pieces_equal_the_library():
+    library, counter = Tokenizer.from_file(WORD_BPE), prefix_dp.PrefixCounter(WORD_BPE)
+    rng, told = random.Random(18), 0
+    letters = list("etaoinshrdlucmfwypvbgkqjxz") * 4 + list("éßñøç漢字かΩжд'’-.;!?0123456789é̀ÅＡﬁ")
+    for _ in range(400):
+        piece = "".join(rng.choice(letters) for _ in range(rng.randint(1, 25)))
+        got = counter.prefixes(piece)
+        if got is not None:
+            told += 1
+            assert got == [len(library.encode(piece[:k], add_special_tokens=False).ids) for k in range(1, len(piece) + 1)], piece
+    assert told > 250 and counter.prefixes("e\u0301a") is None
 
 
 def test_token_output(spark):
@@ -491,9 +568,56 @@ def test_lm_scores(spark):
     assert lm_score.scored(nothing(spark)).count() == 0
 
 
+# ---------------------------------------------------------------- rows and names
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Names that an operator may want for itself belong to the user."""
+    names = ["_row", "row", "d", "copies", "component_id", "_mix_row", "_mix_copy", "a.b", "block", "size", "rank"]
+    values = ["one two three four five", "one two three four five", "six seven eight", None, ""]
+    rows = [(k if k != 3 else None, t, "s", *(f"{n}{k}" for n in names)) for k, t in enumerate(values)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    marks = lambda df: collections.Counter(tuple(r[3:]) for r in df.collect())
+    own = lambda ks: collections.Counter(tuple(f"{n}{k}" for n in names) for k in ks)
+    items = spark.createDataFrame([(1, "six seven eight")], "item_id long, text string")
+    for out in (decontaminate.clean(docs, items), ngram_join.one_of_each(docs), mixing.repeated(docs)):
+        assert out.columns == docs.columns
+    assert marks(decontaminate.clean(docs, items)) == own([0, 1, 3, 4])
+    assert marks(ngram_join.one_of_each(docs)) == own([0, 2, 3, 4])
+    taken = collections.Counter({r.doc_id: r.copies for r in mixing.mixed(docs).collect()})
+    assert marks(mixing.repeated(docs)) == own(d if d is not None else 3 for d in taken.elements())
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = " ".join("w%d" % k for k in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "a"), (None, None, None), (None, "", "a"), (7, "other words here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    count = lambda df, *cols: collections.Counter(tuple(r[c] for c in cols) for r in df.collect())
+    assert count(ngram_join.joined_components(docs), "doc_id", "n_shingles", "component_id") == collections.Counter([(1, 27, 1), (1, 27, 1), (None, 27, None), (None, 0, None), (None, 0, None), (7, 1, 7)])
+    assert count(token_counts.budget_table(docs, public_tokenizers.path("word_bpe_49k.json")), "doc_id", "n_bytes") == collections.Counter((d, len((t or "").encode())) for d, t, _ in rows)
+    scores = lm_score.scored(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_words) for r in scores) == collections.Counter([(1, 30), (1, 30), (None, 30), (None, 0), (None, 0), (7, 3)])
+    assert len({r.score for r in scores if r.n_words == 30}) == 1
+    assert count(mixing.mixed(docs), "doc_id", "size") == collections.Counter([(1, 30), (1, 30), (None, 30), (None, 0), (None, 0), (7, 3)])
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_pipeline_of_empty_tables_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    labels, benchmark = "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, docs in (("empty", []), ("nulls", [(None, None, None, None, 1, "k"), (None, "", "en", "a", 1, "k"), (None, "x " * 50, "en", None, 1, "k"), (4, "one two", "en", "a", 1, "k")])):
+        at = tmp_path / name
+        spark.createDataFrame(docs, SCHEMA).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([], labels).write.parquet(str(at / "labels.parquet"))
+        spark.createDataFrame([], benchmark).write.parquet(str(at / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(at)).collect()
+        assert all(r.n_tokens > 0 for r in out) and (len(out) > 0) == (name == "nulls")
+
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables and exact reranking.
 
-Every table turns a unit vector by three rounds of random signs and a fast
-Hadamard transform and hashes it to its nearest signed axis.  All vectors are
-indexed under their own axis of each of ``TABLES`` tables; a query looks under
-its ``PROBES`` nearest axes of each.  Candidates are ranked by the exact inner
-product in double precision on the original vectors.
+A rotation turns a unit vector by three rounds of random signs and a fast
+Hadamard transform and names its nearest signed axis.  A table's cell is the
+axes of one or more rotations together: as many, and of the last one only so many
+axes, that a cell holds about ``CELL`` vectors whatever the number of rows.  All
+vectors are indexed under their own cell of each of ``TABLES`` tables; a query
+looks into the ``PROBES`` cells of each whose axes are nearest together.
+Candidates are ranked by the exact inner product in double precision on the
+original vectors.
 
 Rows are bucketed by norm, in bands a factor of ``BAND`` wide.  Inside a band the
 smallest angle is nearly the largest inner product, so hashing sees unit vectors
@@ -12,7 +15,8 @@ and every band is asked with all probes; a band of at most ``PIECE`` rows is
 one cell and is searched whole.  Index rows of one cell are dealt to pieces of about
 ``PIECE`` vectors and its queries go to every piece, so copies of one vector,
 however many, never meet in one task; each piece returns a query's best TOP, which
-loses none of the best TOP over all.  A query that found fewer than TOP, where
+loses none of the best TOP over all.  Small cells travel together, so that a task
+does not open them one by one.  A query that found fewer than TOP, where
 more candidates are, is asked of every piece.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or
@@ -33,8 +37,12 @@ from pyspark.sql import functions as F
 
 from snapgraph.llm.common import written
 
-TABLES, PROBES, TOP = 8, 18, 20
+TABLES, PROBES, TOP = 16, 16, 20
+#: Vectors that a cell of a table holds on the mean.
+CELL = 64
 PIECE = 2048
+#: Rows of a cell that are scored for many queries at once.
+SMALL = 256
 BAND = 1.25
 SEED = 20240607
 
@@ -50,22 +58,41 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def axes(vectors: np.ndarray, tables: int, probes: int) -> np.ndarray:
-    """The nearest signed axes of unit vectors, nearest first: array (rows, tables, probes); 2k is +axis k, 2k+1 is -axis k."""
-    width = 1 << max(1, int(vectors.shape[1] - 1).bit_length())
-    padded = np.zeros((len(vectors), width))
-    padded[:, : vectors.shape[1]] = vectors
-    signs = np.random.Generator(np.random.PCG64([SEED, width])).choice([-1.0, 1.0], size=(tables, 3, width))
-    out = np.empty((len(vectors), tables, probes), np.int32)
-    for t in range(tables):
-        turned = padded
-        for r in range(3):
-            turned = hadamard(turned * signs[t, r]) / np.sqrt(width)
-        both = np.stack([turned, -turned], axis=2).reshape(len(vectors), 2 * width)
-        best = np.argpartition(-both, min(probes, 2 * width) - 1, axis=1)[:, :probes]
-        order = np.argsort(-np.take_along_axis(both, best, 1), axis=1, kind="stable")
-        out[:, t] = np.take_along_axis(best, order, 1)
-    return out
+def shape(rows: int, width: int, cell: int = 0) -> tuple[int, ...]:
+    """How many axes (positive ones) each rotation of a table tells apart, so that a cell holds about so many of the rows."""
+    out, left = [width], rows / (cell or CELL) / (2 * width)
+    while left > 1:
+        own = min(width, 1 << max(0, math.ceil(math.log2(left)) - 1))
+        out.append(own)
+        left /= 2 * own
+    return tuple(out)
+
+
+def turned(unit: np.ndarray, table: int, rotation: int) -> np.ndarray:
+    """The unit vectors (as wide as a power of two) after one pseudo-random rotation."""
+    width = unit.shape[1]
+    signs = np.random.Generator(np.random.PCG64([SEED, width, table, rotation])).choice([-1.0, 1.0], size=(3, width))
+    for r in range(3):
+        unit = hadamard(unit * signs[r]) / np.sqrt(width)
+    return unit
+
+
+def cells_of(unit: np.ndarray, axes: tuple[int, ...], table: int, probes: int) -> np.ndarray:
+    """The cells of one table whose signed axes are nearest together, nearest first: array (rows, up to probes)."""
+    cells = np.zeros((len(unit), 1), np.int64)
+    loss = np.zeros((len(unit), 1))
+    for rotation, m in enumerate(axes):
+        x = turned(unit, table, rotation)[:, :m]
+        both = np.concatenate([x, -x], axis=1)
+        keep = min(probes, 2 * m)
+        near = np.argpartition(-both, keep - 1, axis=1)[:, :keep] if keep < 2 * m else np.tile(np.arange(2 * m), (len(unit), 1))
+        values = np.take_along_axis(both, near, 1)
+        away = (both.max(1, keepdims=True) - values) ** 2
+        sums = (loss[:, :, None] + away[:, None, :]).reshape(len(unit), -1)
+        names = (cells[:, :, None] * (2 * m) + near[:, None, :]).reshape(len(unit), -1)
+        best = np.argsort(sums, axis=1, kind="stable")[:, :probes]
+        loss, cells = np.take_along_axis(sums, best, 1), np.take_along_axis(names, best, 1)
+    return cells
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -75,44 +102,56 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite & F.exists("v", lambda x: x != 0))
 
 
-def hashed(rows: DataFrame, width: int, tables: int, probes: int) -> DataFrame:
-    """row and cell (table and axis) of rows (row, v), one for each table and probe."""
+def hashed(rows: DataFrame, width: int, tables: int, probes: int, shapes: dict[int, tuple[int, ...]], every_band: bool) -> DataFrame:
+    """row, band and cell of rows (row, band, v), one for each table and probe; every_band: in all the bands named, else in the row's own."""
+    full = 1 << max(1, int(width - 1).bit_length())
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            x = np.zeros((len(cells), width))
-            for row, own in zip(x, cells):
-                row[: len(own)] = own
-            scale = np.abs(x).max(1, keepdims=True)
-            unit = x / (scale * np.linalg.norm(x / scale, axis=1, keepdims=True))
-            found = axes(unit, tables, probes)
-            numbers = (found + (np.arange(tables, dtype=np.int32) << 20)[None, :, None]).reshape(len(x), -1)
-            for low in range(0, len(ids), 256):
-                part = numbers[low : low + 256]
-                each = part.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(ids[low : low + 256], np.int64), each)), pa.array(part.reshape(-1))], names=["row", "cell"]
-                )
-
-    return rows.mapInArrow(run, "row long, cell int")
-
-
-def best_of(ids: np.ndarray, firsts: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, rough: np.ndarray, top: int):
-    """The top distinct ids of one query among the rows, which are in order of ids (each begins at firsts): exact scores, ties to the smaller id."""
-    allowed = ids != query
-    rough = np.where(allowed, rough, -np.inf)
-    if len(firsts) > top:
-        edge = np.partition(np.maximum.reduceat(rough, firsts), len(firsts) - top)[len(firsts) - top]
-        near = np.flatnonzero((rough >= edge - 1e-9 * (1 + abs(edge))) & allowed)
-    else:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                ids, own, cells = (part.column(k).to_pylist() for k in range(3))
+                x = np.zeros((len(cells), full))
+                for line, values in zip(x, cells):
+                    line[: len(values)] = values
+                x /= np.abs(x).max(1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for axes in set(shapes.values()):
+                    bands = [b for b, s in shapes.items() if s == axes]
+                    at = np.arange(len(ids)) if every_band else np.flatnonzero(np.isin(own, bands))
+                    for t in range(tables if len(at) else 0):
+                        found = cells_of(x[at], axes, t, probes)
+                        names = np.array(ids, np.int64)[at]
+                        for band in bands if every_band else (None,):
+                            of = np.full(len(at), band, np.int32) if every_band else np.array(own, np.int32)[at]
+                            each = found.shape[1]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, each)), pa.array(np.repeat(of, each)), pa.array((found * tables + t).reshape(-1))], names=["row", "band", "cell"])
+
+    return rows.select("row", "band", "v").mapInArrow(run, "row long, band int, cell long")
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, names: np.ndarray, q: np.ndarray, top: int) -> list[tuple]:
+    """(query, id, score) of the top distinct ids of each query among rows in order of ids: exact scores, ties to the smaller id."""
+    if len(ids) <= SMALL and (len(ids) < 2 or (ids[1:] != ids[:-1]).all()):
+        scores = (q[:, None, :] * x[None, :, :]).sum(2)
+        ranked = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
+        pairs = np.repeat(names, ranked.shape[1]), ids[ranked].reshape(-1), np.take_along_axis(scores, ranked, 1).reshape(-1)
+        other = pairs[0] != pairs[1]
+        return [tuple(c[other] for c in pairs)]
+    firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    out = []
+    for name, own, rough in zip(names.tolist(), q, q @ x.T):
+        allowed = ids != name
+        rough = np.where(allowed, rough, -np.inf)
         near = np.flatnonzero(allowed)
-    scores = (x[near] * q).sum(1)
-    order = np.lexsort((ids[near], -scores))
-    order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:top]
-    return ids[near][order], scores[order]
+        if len(firsts) > top:
+            edge = np.partition(np.maximum.reduceat(rough, firsts), len(firsts) - top)[len(firsts) - top]
+            near = np.flatnonzero((rough >= edge - 1e-9 * (1 + abs(edge))) & allowed)
+        scores = (x[near] * own).sum(1)
+        order = np.lexsort((ids[near], -scores))
+        order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:top]
+        out.append((np.full(len(order), name), ids[near][order], scores[order]))
+    return out
 
 
 def neighbours(vectors: DataFrame, is_query: Column, top: int = TOP, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -123,58 +162,65 @@ def neighbours(vectors: DataFrame, is_query: Column, top: int = TOP, tables: int
     rows, _ = written(rows.withColumn("most", most).withColumn("band", F.round(norm / math.log(BAND)).cast("int")).drop("most"), "banded")
     width = int(rows.agg(F.max(F.size("v"))).first()[0] or 1)
     bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()
-    large = [r.band for r in bands if r.n > PIECE]
-    # A cell is a band's number above 32 bits of table and axis; the one cell of a small band has 1 << 31 there.
-    cell = lambda below: (F.col("band").cast("long") * (1 << 32) + below).alias("cell")
-    whole = F.lit(1 << 31)
-    spread = hashed(rows.where(F.col("band").isin(large)).select("row", "v"), width, tables, 1).join(rows.select("row", "band"), "row")
-    base, _ = written(spread.select("row", cell(F.col("cell"))).unionByName(rows.where(~F.col("band").isin(large)).select("row", cell(whole))), "cells")
-    loads, _ = written(base.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")), "loads")
+    shapes = {r.band: shape(r.n, 1 << max(1, int(width - 1).bit_length())) for r in bands if r.n > PIECE}
+    small = [r.band for r in bands if r.n <= PIECE]
+    # The one cell of a small band is -1.
+    spread = hashed(rows.where(F.col("band").isin(list(shapes))), width, tables, 1, shapes, False)
+    base, _ = written(spread.unionByName(rows.where(F.col("band").isin(small)).select("row", "band", F.lit(-1).cast("long").alias("cell"))), "cells")
+    # Cells are opened in chunks of about PIECE vectors; a cell larger than that is dealt to pieces.
+    sizes = {r.band: r.n for r in bands}
+    chunks = F.element_at(F.create_map(*(F.lit(v) for b, n in sizes.items() for v in (b, max(1, n * (tables if b in shapes else 1) // PIECE)))), F.col("band")) if sizes else F.lit(1)
+    loads = base.groupBy("band", "cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    loads, _ = written(loads.withColumn("chunk", F.pmod(F.xxhash64("cell"), chunks)), "loads")
     queries, _ = written(rows.where(is_query).dropDuplicates(["vec_id"]), "queries")
-    spark = rows.sparkSession
-    both = spark.createDataFrame([(b,) for b in large], "band int"), spark.createDataFrame([(r.band,) for r in bands if r.n <= PIECE], "band int")
-    asked = hashed(queries.select("row", "v"), width, tables, probes).crossJoin(F.broadcast(both[0])).select("row", cell(F.col("cell")))
-    asked = asked.unionByName(queries.select("row").crossJoin(F.broadcast(both[1])).select("row", cell(whole)))
-    held = base.join(loads, "cell").select("row", "cell", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece"))
-    held = held.join(rows, "row").select("vec_id", "cell", "piece", "v")
+    asked = hashed(queries, width, tables, probes, shapes, True)
+    if small:
+        asked = asked.unionByName(queries.select("row", F.explode(F.array(*(F.lit(b) for b in small))).alias("band"), F.lit(-1).cast("long").alias("cell")))
+    key = ["band", "chunk", "piece"]
+    # Chunks under a name of their own: both sides of the cogroup take them from one table.
+    held = base.join(loads, ["band", "cell"]).select("row", "band", (F.col("chunk") + 0).alias("chunk"), "cell", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece"))
+    held = held.join(rows.drop("band"), "row").select("vec_id", *key, "cell", "v")
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.zeros((len(column), width))
+        for line, own in zip(x, column.to_pylist()):
+            line[: len(own)] = own
+        return x
+
+    def runs(cells: np.ndarray) -> dict[int, slice]:
+        """Where each cell's rows stand, in order of cells."""
+        at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])).tolist() if len(cells) else []
+        return {int(cells[a]): slice(a, b) for a, b in zip(at, [*at[1:], len(cells)])}
 
     def search(key, queries: pa.Table, items: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
-        if queries.num_rows and items.num_rows:
-            items = items.sort_by("vec_id")
-            ids = items.column("vec_id").to_numpy()
-            firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            x = np.zeros((len(ids), width))
-            for row, own in zip(x, items.column("v").to_pylist()):
-                row[: len(own)] = own
-            names = queries.column("query_id").to_pylist()
-            q = np.zeros((len(names), width))
-            for row, own in zip(q, queries.column("q").to_pylist()):
-                row[: len(own)] = own
-            for low in range(0, len(names), 256):
-                rough = q[low : low + 256] @ x.T
-                for name, own, line in zip(names[low : low + 256], q[low : low + 256], rough):
-                    found, scores = best_of(ids, firsts, x, name, own, line, top)
-                    out_q.append(np.full(len(found), name))
-                    out_v.append(found)
-                    out_s.append(scores)
-        arrays = [np.concatenate(a) if a else np.zeros(0) for a in (out_q, out_v, out_s)]
-        return pa.Table.from_arrays([pa.array(arrays[0].astype(np.int64)), pa.array(arrays[1].astype(np.int64)), pa.array(arrays[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
+        found: list[tuple] = []
+        items, queries = items.sort_by([("cell", "ascending"), ("vec_id", "ascending")]), queries.sort_by("cell")
+        ids, x = items.column("vec_id").to_numpy(), matrix(items.column("v"))
+        names, q = queries.column("query_id").to_numpy(), matrix(queries.column("q"))
+        there = runs(items.column("cell").to_numpy())
+        for cell, own in runs(queries.column("cell").to_numpy()).items():
+            if cell in there:
+                at = there[cell]
+                for low in range(own.start, own.stop, 256):
+                    part = slice(low, min(low + 256, own.stop))
+                    found += best_of(ids[at], x[at], names[part], q[part], top)
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 3
+        return pa.Table.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, (np.int64, np.int64, np.float64))], names=["query_id", "vec_id", "score"])
 
     def answers(asked: DataFrame) -> DataFrame:
-        asks = asked.select("row", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-        asks = asks.join(queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "row").select("query_id", "cell", "piece", "q")
-        found = asks.groupBy("cell", "piece").cogroup(held.groupBy("cell", "piece")).applyInArrow(search, "query_id long, vec_id long, score double")
+        asks = asked.select("row", "band", "chunk", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        asks = asks.join(queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "row").select("query_id", *key, "cell", "q")
+        found = asks.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
         each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
         return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    first, _ = written(answers(asked.join(loads, "cell")), "answers")
+    first, _ = written(answers(asked.join(loads, ["band", "cell"])), "answers")
     candidates = rows.select("vec_id").distinct().count() - 1
     counts = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short, _ = written(queries.select("row", F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(top, candidates)).select("row", "query_id"), "short")
     if short.isEmpty():
         return first
     # Table 0 and the small bands hold every row once.
-    once = loads.where((F.pmod("cell", F.lit(1 << 32)) < 1 << 20) | (F.pmod("cell", F.lit(1 << 32)) == whole))
+    once = loads.where((F.col("cell") == -1) | (F.pmod("cell", F.lit(tables)) == 0))
     return first.join(short, "query_id", "left_anti").unionByName(answers(short.select("row").crossJoin(F.broadcast(once))))

@@ -6,6 +6,7 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapgraph.functions.cuts import cut, scanned, with_rank
@@ -23,10 +24,14 @@ def read_csr(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
 
     Tokens get global places from per-line counts, so the file is read in splits;
     an edge's source is the last vertex whose offset is not past the edge's place.
+    Spark deals splits by size, so lines are ordered by the place of their split first.
     """
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    words = cut(lines.select("line", F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("w")).where("size(w) > 0"))
-    spread = with_rank(words.select("line", F.posexplode("w").alias("k", "word")), "line", "k", name="pos")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"), "value")
+    folder, part = F.regexp_extract("file", "^(.*)/", 1), F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    # One row for each split: so few that one task numbers them.
+    splits = cut(lines.select("file", "at").distinct().withColumn("split", F.row_number().over(W.orderBy(folder, part, "file", "at"))))
+    words = cut(lines.join(F.broadcast(splits), ["file", "at"]).select("split", "line", F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("w")).where("size(w) > 0"))
+    spread = with_rank(words.select("split", "line", F.posexplode("w").alias("k", "word")), "split", "line", "k", name="pos")
     spread = cut(spread.select("pos", "word"))
     head = {r["pos"]: r["word"] for r in spread.where("pos < 3").collect()}
     if head.get(0) != HEADER:

@@ -38,6 +38,27 @@ def test_codec_edges_of_the_code():
     assert codec.decode_blocks(7, codec.encode_blocks(7, many)) == many
 
 
+def test_text_files_are_read_in_their_order(spark, tmp_path):
+    """Spark deals large files, and full splits, before small ones; part 100000 comes after part 99999."""
+    g = Graph.from_pairs(spark.createDataFrame([(k, k * 7 % 40) for k in range(40)], "a long, b long"))
+    io.write_adjacency(g, str(tmp_path / "adj"))
+    words = [w for f in sorted((tmp_path / "adj").glob("part-*")) for w in f.read_text().split()]
+    (tmp_path / "dealt").mkdir()
+    for name, own in (("part-00000", words[:2]), ("part-99999", words[2:9]), ("part-100000", words[9:])):
+        (tmp_path / "dealt" / f"{name}-x.txt").write_text("\n".join(own) + "\n")
+    want = rows(g.edges.orderBy("src", "dst").select("src", "dst"))
+    for size in ("128m", "40"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            n, edges = io.read_csr(spark, str(tmp_path / "dealt"))
+            got = rows(edges.select("place", "src", "dst"))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [r[0] for r in got] == list(range(len(want))) and [r[1:] for r in got] == want
+
+
 def test_files_round_trip(spark, tmp_path, monkeypatch):
     rng = random.Random(1)
     g = Graph.from_pairs(spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(60)], "a long, b long"))

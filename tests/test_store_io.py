@@ -53,6 +53,7 @@ def test_text_files_are_read_in_their_order(spark, tmp_path):
         try:
             n, edges = io.read_csr(spark, str(tmp_path / "dealt"))
             got = rows(edges.select("place", "src", "dst"))
+            assert rows(io.read_adjacency(spark, str(tmp_path / "dealt")).edges) == want
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")

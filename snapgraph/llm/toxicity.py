@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import id_and_text, kept, slices
+from snapgraph.llm.common import forget, id_and_text, kept, slices, trim
 
 LENGTH, DECAY, WIDTH = 3, 0.6, 24
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 40_000
@@ -243,6 +243,19 @@ class Model:
             self.weights, self.bias = svm(x, toxic)
             self.slope, self.shift = platt(margin, toxic)
 
+    def state(self) -> dict:
+        """Plain values that of() makes the same model from."""
+        return vars(self) | {"landmarks": self.landmarks and vars(self.landmarks)}
+
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        model = cls.__new__(cls)
+        vars(model).update(state)
+        if model.landmarks:
+            model.landmarks = Landmarks.__new__(Landmarks)
+            vars(model.landmarks).update(state["landmarks"])
+        return model
+
     def scores(self, texts: list[str], memo: dict) -> np.ndarray:
         if self.landmarks is None:
             return np.full(len(texts), self.share)
@@ -258,13 +271,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(fold_of() != 0)
     order = F.xxhash64("doc_id")
     texts = id_and_text(docs).where(F.length("text") <= MOST_CHARS)
-    rows = []
+    picked = []
     for toxic, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         # Twice the bound of ids, so that long or missing texts leave enough.
         ids = known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(2 * most)
-        rows += texts.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").limit(most).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))
-    return Model([r["text"] for r in rows], np.array([int(r["toxic"] > 0) for r in rows]))
+        picked.append(texts.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").limit(most).select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")))
+
+    def trained(rows: list[dict]) -> bytes:
+        rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))
+        return pickle.dumps(Model([r["text"] for r in rows], np.array([int(r["toxic"] > 0) for r in rows])).state())
+
+    def train(batches):
+        forget()
+        state = trained([r for batch in batches for r in batch.to_pylist()])
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary())], names=["state"])
+
+    # One task of an executor fits: the rows picked are bounded, but their runs of letters would stay in the driver's memory.
+    found = picked[0].unionByName(picked[1]).coalesce(1).mapInArrow(train, "state binary").first()
+    return Model.of(pickle.loads(found["state"] if found else trained([])))
 
 
 def shipped(docs: DataFrame, model: Model):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -399,6 +400,20 @@ def test_toxicity_on_held_out_texts(spark):
     assert {r.score for r in toxicity.predictions(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_is_not_fit_in_the_driver(spark, monkeypatch):
+    """Its runs of letters took the pipeline's driver over its memory; what comes back is the same model."""
+    docs, labels = labelled(spark)
+    fold = labels.where(toxicity.fold_of() != 0).join(docs, "doc_id").select("doc_id", "text", "toxic").collect()
+    fold.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))
+    want = toxicity.Model([r["text"] for r in fold], np.array([r["toxic"] for r in fold]))
+    here, driver, init = [], os.getpid(), toxicity.Model.__init__
+    monkeypatch.setattr(toxicity.Model, "__init__", lambda self, *a: (here.append(1) if os.getpid() == driver else None) or init(self, *a))
+    model = toxicity.fit(docs, labels)
+    texts = [r["text"] for r in fold[:50]]
+    assert model.landmarks.names == want.landmarks.names and np.allclose(model.scores(texts, {}), want.scores(texts, {}))
+    assert not here
+
+
 def test_kernel_counts_gapped_subsequences():
     def brute(s, t, n, decay):
         from itertools import combinations

@@ -1 +1,11 @@
-"""snapgraph subpackage."""
+"""Operators on graphs, maps, sequences, tables and texts.
+
+Functions of this package that run on executors are shipped by value, so the
+executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

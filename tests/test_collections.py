@@ -201,6 +201,19 @@ def test_suffix_array_of_whole_documents(spark, tmp_path):
     assert rows(got.select("rank", "idx")) == list(enumerate(order))
 
 
+def test_suffix_array_moves_rows_of_many_places(spark, monkeypatch):
+    """Ranks travel as arrays, and a group of equal prefixes over several ranges of keys: a row a suffix took too long."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abé 中") for _ in range(150))
+    whole = base + "x" + base + "ab" * 30 + "a" * 60
+    chars = spark.createDataFrame(list(enumerate(whole)), "idx long, val string")
+    order = sorted(range(len(whole)), key=lambda k: whole[k:].encode())
+    monkeypatch.setattr(T, "SPAN", 64)
+    monkeypatch.setattr(T, "KEYS", 40)
+    assert rows(T.suffix_array(chars).select("rank", "idx")) == list(enumerate(order))
+    assert T.suffix_array(chars.limit(0)).count() == 0
+
+
 def test_lcp_of_whole_documents_takes_few_rounds(spark, tmp_path, monkeypatch):
     rng = random.Random(9)
     long_one = "".join(rng.choice("aBé ") for _ in range(200))

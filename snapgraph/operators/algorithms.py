@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.functions.cuts import cut, scanned, with_rank
+from snapgraph.functions.cuts import cut, drop, scanned, stored, with_rank
 from snapgraph.functions.hashing import priority
 from snapgraph.operators.traverse import EdgeProgram, edge_map, neighbours_of
 from snapgraph.plans.graph import Graph
@@ -133,8 +133,10 @@ def nibble_serial(g: Graph, sources: DataFrame, eps: float = 1e-6, rounds: int =
 
 def nibble_parallel(g: Graph, sources: DataFrame, eps: float = 1e-9, rounds: int = 10) -> DataFrame:
     """(query, id, mass): as the serial form, but the frontier is who has mass >= degree * eps after a step, and others keep theirs."""
-    degrees = cut(g.degrees())
-    mass = cut(sources.join(degrees, "id").select("query", F.col("id").cast("long"), F.lit(1.0).alias("mass"), "degree", F.lit(True).alias("on")))
+    spark = g.edges.sparkSession
+    # As the edges are dealt, so a round meets it without a shuffle; the mass of the round before goes when the next is stored.
+    degrees = g.degrees().cache()
+    mass, path = stored(sources.join(degrees, "id").select("query", F.col("id").cast("long"), F.lit(1.0).alias("mass"), "degree", F.lit(True).alias("on")))
     for _ in range(rounds):
         active = mass.where("`on`")
         step = EdgeProgram(message={"mass": F.col("mass") / (2 * F.col("degree"))}, combine={"mass": F.sum("mass")})
@@ -142,9 +144,12 @@ def nibble_parallel(g: Graph, sources: DataFrame, eps: float = 1e-9, rounds: int
         kept = mass.select("id", "query", F.when(F.col("on"), F.col("mass") / 2).otherwise(F.col("mass")).alias("mass"), F.lit(False).alias("got"))
         both = kept.unionByName(spread.select("id", "query", "mass", F.lit(True).alias("got")))
         after = both.groupBy("query", "id").agg(F.sum("mass").alias("mass"), F.max("got").alias("got")).join(degrees, "id")
-        mass = cut(after.select("query", "id", "mass", "degree", (F.col("mass") >= F.col("degree") * eps).alias("on")))
+        before = path
+        mass, path = stored(after.select("query", "id", "mass", "degree", (F.col("mass") >= F.col("degree") * eps).alias("on")))
+        drop(spark, before)
         if mass.where("`on`").isEmpty():
             break
+    degrees.unpersist()
     return mass.select("query", "id", "mass")
 
 

@@ -18,6 +18,8 @@ class Graph:
     edges: DataFrame
     #: Whether every edge is there in both directions, so that in-edges may be read off the out-edges.
     symmetric: bool = False
+    #: Where the vertices are the edges' sources: the edges as they came, repeats too.
+    raw: DataFrame | None = None
 
     @staticmethod
     def from_pairs(pairs: DataFrame, vertices: DataFrame | None = None, simplify: bool = True) -> Graph:
@@ -30,18 +32,23 @@ class Graph:
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None, symmetric: bool = False) -> Graph:
-        edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct()
+        raw = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
+        edges = raw.distinct()
         ids = edges.select(F.col("src").alias("id")).distinct() if vertices is None else vertices.select(F.col("id").cast("long")).union(edges.select("src")).union(edges.select("dst")).distinct()
-        return Graph(ids, edges, symmetric)
+        return Graph(ids, edges, symmetric, raw if vertices is None else None)
 
     @staticmethod
     def empty(spark: SparkSession) -> Graph:
         return Graph(spark.createDataFrame([], "id long"), spark.createDataFrame([], "src long, dst long"))
 
     def cached(self) -> Graph:
-        """For algorithms of many rounds: edges dealt by source once, so that a round moves its frontier and its messages only."""
+        """For algorithms of many rounds: edges dealt by source and sorted once, so that a round moves its frontier and its messages only."""
         parts = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return Graph(self.vertices.cache(), self.edges.repartition(parts, "src").cache(), self.symmetric)
+        if self.raw is None:
+            return Graph(self.vertices.cache(), self.edges.repartition(parts, "src").sortWithinPartitions("src").cache(), self.symmetric)
+        # Repeats of an edge meet where its source is dealt to, so the edges are shuffled once and the vertices not at all.
+        edges = self.raw.repartition(parts, "src").distinct().sortWithinPartitions("src").cache()
+        return Graph(edges.select(F.col("src").alias("id")).distinct().cache(), edges, self.symmetric)
 
     def release(self) -> None:
         """Gives back what cached() keeps."""

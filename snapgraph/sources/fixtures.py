@@ -18,12 +18,12 @@ def pairs_ps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs_cops(spark: SparkSession, d: str) -> DataFrame:
-    """Customers, orders, parts, suppliers: four layers with hubs."""
+    """Customers, orders, parts, suppliers: four layers with hubs; repeats go where the graph is made."""
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     co = orders.select((F.col("o_custkey") * 4).alias("a"), (F.col("o_orderkey") * 4 + 1).alias("b"))
     op = line.select((F.col("l_orderkey") * 4 + 1).alias("a"), (F.col("l_partkey") * 4 + 2).alias("b"))
     ps = line.select((F.col("l_partkey") * 4 + 2).alias("a"), (F.col("l_suppkey") * 4 + 3).alias("b"))
-    return co.union(op).union(ps).distinct()
+    return co.union(op).union(ps)
 
 
 def pairs_co(spark: SparkSession, d: str) -> DataFrame:

@@ -156,3 +156,14 @@ def test_sorted_batches(spark):
     batch = [(rng.randrange(9), rng.randrange(9)) for _ in range(60)]
     got = sort_updates(spark.createDataFrame(batch, "src long, dst long")).collect()
     assert list(map(tuple, got)) == sorted(batch)
+
+
+def test_cached_graph_shuffles_its_edges_once(spark):
+    """Repeats meet where their source is dealt to; the vertices come from the cached edges."""
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (4, 1)], "a long, b long")
+    g = Graph.from_pairs(pairs).cached()
+    plan = g.edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1, plan
+    assert sorted(map(tuple, g.edges.collect())) == [(1, 2), (1, 4), (2, 1), (4, 1)]
+    assert sorted(r[0] for r in g.vertices.collect()) == [1, 2, 4]
+    g.release()

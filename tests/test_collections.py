@@ -229,6 +229,21 @@ def test_lcp_of_whole_documents_takes_few_rounds(spark, tmp_path, monkeypatch):
     assert len(cuts) < 40  # one for each character before
 
 
+def test_lcp_moves_rows_of_many_places(spark, monkeypatch):
+    """Lengths travel as arrays, one comparison for each run of places; repeats reach over many blocks: a row a suffix and length took too long."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abé 中") for _ in range(300))
+    monkeypatch.setattr(T, "SPAN", 64)
+    monkeypatch.setattr(T, "KEYS", 40)
+    monkeypatch.setattr(T, "NEAR", 2)
+    for whole in (base + "x" + base + "ab" * 30 + "a" * 60, "a" * 130, "".join(map(chr, range(0x4E00, 0x4E00 + 300)))):
+        chars = spark.createDataFrame(list(enumerate(whole)), "idx long, val string")
+        order = sorted(range(len(whole)), key=lambda k: whole[k:].encode())
+        shared = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        assert rows(T.lcp(chars)) == [(r, shared(whole[order[r - 1] :], whole[order[r] :])) for r in range(1, len(whole))]
+    assert T.lcp(chars.limit(0)).count() == 0
+
+
 def test_cartesian_tree_and_tokens(spark):
     got = rows(T.cartesian_tree(spark.createDataFrame([(1, k, v) for k, v in enumerate([3, 1, 2, 1, 5])], "g long, idx long, val long"), "g"))
     assert got == [(1, 0, 1), (1, 1, 1), (1, 2, 3), (1, 3, 1), (1, 4, 3)]

@@ -269,9 +269,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     have = cache.get(("pow", base))
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
+        have, k = np.ones(size, dtype=np.uint64), 1
+        while k < size:  # a running product waits for each step
+            upto = min(2 * k, size)
+            np.multiply(have[: upto - k], np.uint64(pow(base, k, 2**64)), out=have[k:upto])
+            k = upto
         if size <= 1 << 20:  # more are made in some milliseconds
             cache["pow", base] = have
     return have[:n]
@@ -311,6 +313,11 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(values)
 
 
+def mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for bytes and a table of 256 values of one byte, without an index of eight bytes for each; to be read only."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def lower_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
@@ -334,7 +341,7 @@ def spaced_words() -> np.ndarray:
 
 def words_of(low: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a block (texts end with a line feed, which is in no word)."""
-    edge = np.diff(is_word[low].astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    edge = np.diff(mapped(low, is_word).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
@@ -350,6 +357,21 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def key_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of 64-bit keys, and the keys in it.
+
+    Plain sorting is much faster than finding an order, so places are sorted within the low bits of the keys; keys that
+    differ in these bits only, and so may come out wrong, are sorted as a whole.
+    """
+    low = np.uint64((1 << max(len(keys) - 1, 0).bit_length()) - 1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    return order, found
+
+
 # ---------------------------------------------------------------- packed exchange
 
 
@@ -357,7 +379,8 @@ def pack_sorted(keys: np.ndarray) -> bytes:
     """Ascending 64-bit keys as byte planes of their differences; planes of zeros are left out."""
     gaps = np.diff(keys, prepend=np.uint64(0))
     planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
-    used = [k for k in range(8) if planes[k].any()]
+    every = int(np.bitwise_or.reduce(gaps))
+    used = [k for k in range(8) if every >> 8 * k & 255]
     return bytes([len(used), *used]) + planes[used].tobytes()
 
 
@@ -445,8 +468,9 @@ def sum_bytes(sums: np.ndarray, leads: np.ndarray) -> bytes:
 
 def in_order(replies: pa.Table, space: int, decode) -> np.ndarray:
     """The answers of one block, in the order of its keys."""
-    rows = sorted((r for r in replies.to_pylist() if r["space"] == space), key=lambda r: r["part"])
-    return np.concatenate([decode(r["reply"], r["n"]) for r in rows]) if rows else np.zeros(0, np.int64)
+    own = replies.select(["part", "n", "reply"]).filter(pc.equal(replies.column("space"), space)).sort_by("part")
+    cells = [decode(cell, n) for cell, n in zip(own.column("reply").to_pylist(), own.column("n").to_pylist())]
+    return np.concatenate(cells) if cells else np.zeros(0, np.int64)
 
 
 def read_bits(cell: bytes, n: int) -> np.ndarray:

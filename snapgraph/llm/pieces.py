@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from snapgraph.llm.common import lower_table, prefix_sums, span_hashes
+from snapgraph.llm.common import key_order, lower_table, mapped, prefix_sums, span_hashes
 
 LETTER, DIGIT, MARK, APOSTROPHE, SPACE, LINE = 1, 2, 3, 4, 5, 6
 #: Distinct pieces a worker keeps; beyond, it starts again.
@@ -26,7 +26,7 @@ def classes(data: np.ndarray) -> np.ndarray:
     table[39] = APOSTROPHE
     table[32] = SPACE
     table[[9, 10, 13]] = LINE
-    found = table[data]
+    found = mapped(data, table).copy()
     lead = np.flatnonzero(data[:-1] == 0xC3)
     lead = lead[(data[lead + 1] >= 0x80) & (data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
     found[lead] = LETTER
@@ -35,7 +35,7 @@ def classes(data: np.ndarray) -> np.ndarray:
 
 
 def _pairs(rules: dict[int, tuple[int, ...]]) -> np.ndarray:
-    table = np.zeros((8, 8), bool)
+    table = np.zeros((32, 8), bool)
     for left, rights in rules.items():
         table[left, list(rights)] = True
     return table.reshape(-1)
@@ -51,7 +51,7 @@ def cuts(data: np.ndarray, ends: np.ndarray, drop_space: bool, specials: tuple[b
     """Starts and ends of the pieces of a block; ``ends`` are the places of the line feeds after its texts."""
     kinds = classes(data)
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = (DROP_SPACE if drop_space else KEEP_SPACE)[(kinds[:-1] << 3) | kinds[1:]]
+    cut[1:-1] = mapped((kinds[:-1] << 3) | kinds[1:], DROP_SPACE if drop_space else KEEP_SPACE)
     if not drop_space:  # one line feed between sure characters is a token of its own
         sure = (kinds >= LETTER) & (kinds <= APOSTROPHE)
         cut[2:-1] |= (kinds[1:-1] == LINE) & sure[:-2] & sure[2:]
@@ -98,8 +98,10 @@ class PieceMemo:
     def look_up(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the pieces, and for each the row of the memo that holds its ids."""
         starts, stops = cuts(data, ends, self.drop_space, self.specials)
-        hashes = span_hashes(prefix_sums(lower_table()[data] if self.lower else data), starts, stops)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes = span_hashes(prefix_sums(mapped(data, lower_table()) if self.lower else data), starts, stops)
+        order, found = key_order(hashes)
+        another = np.diff(found, prepend=~found[:1]) != 0
+        distinct, first = found[another], order[another]
         if len(self.keys) + len(distinct) > MEMO:
             self._reset()
         place = np.searchsorted(self.keys, distinct)
@@ -118,7 +120,9 @@ class PieceMemo:
             self.keys = np.insert(self.keys, place[new], distinct[new])
             self.rows = np.insert(self.rows, place[new], base + np.arange(len(new)))
             place = np.searchsorted(self.keys, distinct)
-        return starts, stops, self.rows[place][inverse]
+        rows = np.empty(len(order), np.int64)
+        rows[order] = np.repeat(self.rows[place], np.diff(np.flatnonzero(another), append=len(order)))
+        return starts, stops, rows
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after the other, and the number of ids up to each piece's end."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm.common import alnum_words, answered, bucketed, drop, forget, gram_hashes, in_order, lower_table, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpacked, unpack_small, words_of, written
+from snapgraph.llm.common import alnum_words, answered, bucketed, drop, forget, gram_hashes, in_order, key_order, lower_table, mapped, parts_for, prefix_sums, read_bits, repeated_bits, routed_batch, routes, span_hashes, sum_bytes, text_blocks, unpacked, unpack_small, words_of, written
 
 ALPHA = 0.4
 #: Larger blocks send a common n-gram less often.
@@ -39,7 +39,7 @@ SCORES = "doc_id long, n_words long, n_backoff long, score double"
 
 def grams_of(data: np.ndarray, ends: np.ndarray):
     """Words per text, and for each order the n-grams that end at each word (0 where the text has too few before it) with a flag."""
-    low = lower_table()[data]
+    low = mapped(data, lower_table())
     starts, stops = words_of(low, alnum_words())
     words = span_hashes(prefix_sums(low), starts, stops)
     upto = np.searchsorted(starts, ends)
@@ -53,14 +53,18 @@ def grams_of(data: np.ndarray, ends: np.ndarray):
     return n_words, orders
 
 
-def others(keys: np.ndarray, has: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """For each word, the count of its n-gram outside its own document (0 where it has none); totals: by distinct key."""
+def others(keys: np.ndarray, has: np.ndarray, doc: np.ndarray, totals: np.ndarray, ordered: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """For each word, the count of its n-gram outside its own document (0 where it has none); totals: by distinct key; ordered: key_order of the n-grams."""
     out = np.zeros(len(keys), np.int64)
     if has.any():
-        distinct, inverse = np.unique(keys[has], return_inverse=True)
-        own = doc[has] * np.int64(len(distinct)) + inverse
-        _, where, counts = np.unique(own, return_inverse=True, return_counts=True)
-        out[has] = totals[inverse] - counts[where]
+        order, found = key_order(keys[has]) if ordered is None else ordered
+        own = doc[has][order]
+        new = np.concatenate([[True], found[1:] != found[:-1]])
+        runs = np.flatnonzero(new | np.concatenate([[True], own[1:] != own[:-1]]))
+        counts = np.diff(runs, append=len(own))
+        rest = np.empty(len(own), np.int64)
+        rest[order] = np.repeat(totals[np.cumsum(new)[runs] - 1] - counts, counts)
+        out[has] = rest
     return out
 
 
@@ -88,11 +92,11 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     short, short_path = written(answered(blocks.mapInArrow(send_short, ROUTED), repeated_bits), "short")
 
-    def shared(keys: np.ndarray, has: np.ndarray, replies: pa.Table, n: int):
-        """The distinct n-grams of a block, their counts in it, and which of them may occur again."""
-        distinct, counts = np.unique(keys[has], return_counts=True)
-        names = np.unique(distinct >> cut)
-        return distinct, counts, in_order(replies, n, read_bits).astype(bool)[np.searchsorted(names, distinct >> cut)] if len(distinct) else np.zeros(0, bool)
+    def shared(distinct: np.ndarray, replies: pa.Table, n: int) -> np.ndarray:
+        """Which of the distinct n-grams of a block may occur again."""
+        names = distinct >> cut
+        place = np.cumsum(names[1:] != names[:-1])
+        return in_order(replies, n, read_bits).astype(bool)[np.concatenate([[0], place])] if len(distinct) else np.zeros(0, bool)
 
     def send_counts(key, block: pa.Table, replies: pa.Table) -> pa.Table:
         forget()
@@ -101,7 +105,8 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
             n_words, orders = grams_of(unpacked(row["text"]), np.array(row["ends"], np.int64))
             rows += routes(row["block"], TOTAL, np.zeros(1, np.uint64), np.array([int(n_words.sum())]), parts)
             for n, (keys, has) in enumerate(orders, 1):
-                distinct, counts, again = shared(keys, has, replies, n)
+                distinct, counts = np.unique(keys[has], return_counts=True)
+                again = shared(distinct, replies, n)
                 rows += routes(row["block"], FULL + n, distinct[again], counts[again], parts)
         return pa.Table.from_batches([routed_batch(rows)])
 
@@ -116,10 +121,12 @@ def scored(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
             total = int(in_order(replies, TOTAL, unpack_small)[0])
             c = []
             for n, (keys, has) in enumerate(orders, 1):
-                distinct, _, again = shared(keys, has, replies, n)
+                ordered = key_order(keys[has])
+                distinct = ordered[1][np.diff(ordered[1], prepend=~ordered[1][:1]) != 0]
+                again = shared(distinct, replies, n)
                 totals = np.ones(len(distinct), np.int64)
                 totals[again] = in_order(replies, FULL + n, unpack_small)
-                c.append(others(keys, has, doc, totals))
+                c.append(others(keys, has, doc, totals, ordered))
             rest = (total - n_words)[doc].astype(np.float64)
             value = np.where(c[0] > 0, c[0] / np.maximum(rest, 1.0), 1.0 / (rest + 1.0))
             top = c[0] > 0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, pii, prefix_dp, suffix_dedup, token_counts, token_output, toxicity
+from snapgraph.llm import common
 from snapgraph.llm.common import components
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -658,3 +659,18 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(kept["mixing"]) <= set(kept["decontamination"]) and max(kept["mixing"].values()) <= 3
     assert kept["token_output"] == kept["mixing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sum(kept["mixing"].values())
+
+
+def test_order_of_keys_that_differ_in_low_bits_only():
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 9, 300, np.uint64), rng.integers(0, 2**64, 1000, np.uint64)[rng.integers(0, 1000, 5000)], np.uint64(1 << 63) + rng.integers(0, 5, 40, np.uint64), np.zeros(0, np.uint64), np.ones(1, np.uint64)):
+        order, found = common.key_order(keys)
+        want = np.argsort(keys, kind="stable")
+        assert (order == want).all() and (found == keys[want]).all()
+        doc, has = np.arange(len(keys)) // 7, np.arange(len(keys)) % 7 > 0
+        totals = np.unique(keys[has], return_counts=True)[1] + 3
+        total = dict(zip(np.unique(keys[has]).tolist(), totals.tolist()))
+        own = collections.Counter(zip(doc[has].tolist(), keys[has].tolist()))
+        assert lm_score.others(keys, has, doc, totals).tolist() == [total[k] - own[d, k] if h else 0 for k, h, d in zip(keys.tolist(), has.tolist(), doc.tolist())]
+    for base in (common._BASE, common._INVERSE):
+        assert common._powers(base, 70_000)[[0, 1, 2, 65_536, 69_999]].tolist() == [pow(base, k, 2**64) for k in (0, 1, 2, 65_536, 69_999)]

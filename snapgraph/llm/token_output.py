@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapgraph.llm.common import forget, id_and_text, joined, kept, slices, written
-from snapgraph.llm.pieces import PieceMemo
+from snapgraph.llm.pieces import LOOK_UP_BYTES, PieceMemo
 
 SHARD_TOKENS = 1 << 20
 #: Text bytes of one range of documents: a task writes them as a few shards.
@@ -183,7 +184,8 @@ def encoded(docs: DataFrame, path: str, bounds: tuple[int, ...] = ()) -> DataFra
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
-                for doc, own in zip(part.column(0).to_pylist(), ids_of(part.column(1), memo)):
+                found = chain.from_iterable(ids_of(few.column(1), memo) for few in slices(part, 1, LOOK_UP_BYTES))
+                for doc, own in zip(part.column(0).to_pylist(), found):
                     ids = np.concatenate([own, end]).astype("<u4")
                     narrow = bool(ids.max() < 1 << 16)
                     place = len(cuts) if doc is None else int(np.searchsorted(cuts, doc, side="right"))

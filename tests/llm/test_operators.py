@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, pii, prefix_dp, suffix_dedup, token_counts, token_output, toxicity
+from snapgraph.llm import decontaminate, lm_score, mixing, nearest, ngram_join, pieces, pii, prefix_dp, suffix_dedup, token_counts, token_output, toxicity
 from snapgraph.llm import common
 from snapgraph.llm.common import components
 
@@ -674,3 +675,53 @@ def test_order_of_keys_that_differ_in_low_bits_only():
         assert lm_score.others(keys, has, doc, totals).tolist() == [total[k] - own[d, k] if h else 0 for k, h, d in zip(keys.tolist(), has.tolist(), doc.tolist())]
     for base in (common._BASE, common._INVERSE):
         assert common._powers(base, 70_000)[[0, 1, 2, 65_536, 69_999]].tolist() == [pow(base, k, 2**64) for k in (0, 1, 2, 65_536, 69_999)]
+
+
+def test_new_pieces_reach_the_library_few_at_once(spark, monkeypatch):
+    """Each text given to the library leaves an object until its ids are read; a block's at once took the pipeline's executors over their memory."""
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    memo = pieces.PieceMemo(BYTE_BPE, False, token_output.SPECIALS, False)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    sizes, encode = [], memo.encode
+    monkeypatch.setattr(memo, "encode", lambda given: sizes.append(len(given)) or encode(given))
+    rng = np.random.default_rng(6)
+    values = [" ".join("x%d'%d漢" % (a, b) for a, b in rng.integers(0, 10**6, (300, 2)).tolist()) for _ in range(50)]
+    got = token_output.ids_of(pa.array(values), memo)
+    assert max(sizes) <= 4096 < sum(sizes)
+    assert [g.tolist() for g in got] == [e.ids for e in memo.tokenizer.encode_batch(values, add_special_tokens=False)]
+
+
+def test_pieces_of_one_class_go_to_the_merges():
+    memo = pieces.PieceMemo(BYTE_BPE, False, token_output.SPECIALS, False)
+    whole = [b"a", b" Walking", "éÿÀñ".encode(), " naïveÖ".encode(), b"0", b" 12345678901", b"!?", b" <|-_~`@[\\]^{}$&(", b"x" * 300]
+    others = [b" ", b"\n", b"  a", b"a1", b"'s", b"don't", b"<|endoftext|>", "÷×".encode(), "漢".encode(), "á".encode(), b"a\nb", b"!'"]
+    library = memo.tokenizer.encode_batch([p.decode() for p in whole + others], add_special_tokens=False)
+    given, encode = [], memo.encode
+    memo.encode = lambda texts: given.extend(texts) or encode(texts)
+    begins, lengths, ids = memo.runs((whole + others)[::-1])
+    assert given == [p.decode() for p in others[::-1]]
+    assert [ids[a : a + n].tolist() for a, n in zip(begins, lengths)][::-1] == [e.ids for e in library]
+    assert pieces.PieceMemo(WORD_BPE, True, token_counts.SPECIALS, True).merges is None  # it ends words by a mark of its own
+
+
+def test_memo_of_pieces(monkeypatch):
+    table = pieces.Table(16)
+    keys = np.arange(2000, dtype=np.uint64) << np.uint64(12)  # many at one place
+    assert (table.find(keys) == -1).all()
+    table.add(keys[:3], np.arange(3))
+    table.add(keys[3:1000], np.arange(3, 1000))
+    assert table.find(keys).tolist() == [*range(1000), *[-1] * 1000] and 2 * table.count <= len(table.keys)
+
+    data = np.frombuffer(bytes(range(1, 101)) * 2, np.uint8)
+    spans = [(a, b) for a in range(100) for b in range(a + 1, 101)]
+    twice = np.array(spans + [(a + 100, b + 100) for a, b in spans])
+    prints = pieces.fingerprints(data, twice[:, 0], twice[:, 1])
+    assert (prints[: len(spans)] == prints[len(spans) :]).all() and len(np.unique(prints)) == len(spans)
+
+    monkeypatch.setattr(pieces, "MEMO", 300)  # it starts again, now and then within a text
+    memo = pieces.PieceMemo(BYTE_BPE, False, token_output.SPECIALS, False)
+    values = odd_texts(400)
+    values = [v or "" for v in values]
+    for k in range(0, len(values), 50):
+        got = token_output.ids_of(pa.array(values[k : k + 50]), memo)
+        assert [g.tolist() for g in got] == [e.ids for e in memo.tokenizer.encode_batch(values[k : k + 50], add_special_tokens=False)]

@@ -37,12 +37,25 @@ END = 0
 #: The string of the vocabulary's special token, which the library finds in any text.
 SPECIALS = (b"<|endoftext|>",)
 STEP = 512
+#: Ids that are partitioned at once, so that their places stay in a core's cache.
+SPAN = 1 << 15
 SHARDS = "part int, shard int, first long, n_tokens long, docs array<long>, ends array<long>, payload binary"
 
 
 # ---------------------------------------------------------------- wavelet matrix
 
 
+def _kind(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
+
+
+def _places(ones: np.ndarray):
+    """Runs of SPAN bits: where they begin, and the places in them of the zeros and of the ones; taking these is much faster than taking by a mask."""
+    for at in range(0, len(ones), SPAN):
+        run = ones[at : at + SPAN]
+        yield at, np.flatnonzero(~run), np.flatnonzero(run)
+
+
 class WaveletMatrix:
     """Bit planes with rank and select; ``dump`` and ``load`` are its file format."""
 
@@ -56,13 +69,20 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        now = np.asarray(ids, dtype=np.uint32)
-        bits = max(1, int(now.max(initial=0)).bit_length())
-        planes = []
+        bits = max(1, int(np.max(ids, initial=0)).bit_length())
+        kind = _kind(bits)
+        now, planes = np.asarray(ids).astype(kind), []
+        spare = np.empty_like(now)
         for level in range(bits - 1, -1, -1):
-            ones = (now >> np.uint32(level)) & np.uint32(1) == 1
+            ones = (now & kind(1 << level)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            now = np.concatenate([now[~ones], now[ones]])
+            low, high = 0, len(now) - int(np.count_nonzero(ones))
+            for at, off, on in _places(ones) if level else ():
+                run = now[at : at + SPAN]
+                run.take(off, out=spare[low : low + len(off)], mode="clip")
+                run.take(on, out=spare[high : high + len(on)], mode="clip")
+                low, high = low + len(off), high + len(on)
+            now, spare = spare, now
         return cls(len(now), planes)
 
     def plane(self, k: int) -> np.ndarray:
@@ -133,14 +153,19 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.count(token))]
 
     def decode(self) -> np.ndarray:
-        below = np.zeros(self.n, dtype=np.uint32)
+        """The ids, in 16 bits each where that is enough."""
+        kind = _kind(self.bits)
+        below, now = np.zeros(self.n, kind), np.empty(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             ones = self.plane(k).view(bool)
-            zeros = self.n - int(np.count_nonzero(ones))
-            now = np.empty(self.n, dtype=np.uint32)
-            now[~ones] = below[:zeros]
-            now[ones] = below[zeros:] | np.uint32(1 << (self.bits - 1 - k))
-            below = now
+            low, high = 0, self.n - int(np.count_nonzero(ones))
+            below[high:] |= kind(1 << (self.bits - 1 - k))
+            for at, off, on in _places(ones):
+                run = now[at : at + SPAN]
+                run[off] = below[low : low + len(off)]
+                run[on] = below[high : high + len(on)]
+                low, high = low + len(off), high + len(on)
+            below, now = now, below
         return below
 
     def dump(self) -> bytes:

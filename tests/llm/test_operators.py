@@ -725,3 +725,18 @@ def test_memo_of_pieces(monkeypatch):
     for k in range(0, len(values), 50):
         got = token_output.ids_of(pa.array(values[k : k + 50]), memo)
         assert [g.tolist() for g in got] == [e.ids for e in memo.tokenizer.encode_batch(values[k : k + 50], add_special_tokens=False)]
+
+
+def test_wavelet_matrix_in_runs(monkeypatch):
+    """The planes by their definition; places are taken in runs, ids are kept in 16 bits where that is enough."""
+    monkeypatch.setattr(token_output, "SPAN", 64)
+    for top, kind in ((50_000, np.uint16), (90_000, np.uint32)):
+        ids = np.random.default_rng(2).integers(0, top, 1000)
+        ids[7] = top - 1
+        w = token_output.WaveletMatrix.build(ids)
+        now = ids.tolist()
+        for k in range(w.bits):
+            bits = [v >> (w.bits - 1 - k) & 1 for v in now]
+            assert w.plane(k).tolist() == bits
+            now = [v for v, b in zip(now, bits) if not b] + [v for v, b in zip(now, bits) if b]
+        assert w.decode().dtype == kind and (w.decode() == ids).all()

@@ -117,6 +117,8 @@ _LETTERS = _byte_letters()
 _LETTERS[10] = 10  # the line feed parts pieces here
 #: Pieces that a byte-level vocabulary leaves whole before its merges: one class, and a space before it at most.
 _WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+#: Longer pieces are not matched, since a match takes memory for each of its letters.
+LONGEST = 256
 
 
 class Table:
@@ -193,7 +195,7 @@ class PieceMemo:
 
     def runs(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each piece's ids begin, how many they are, and the ids; a piece that the library's first steps would leave whole goes to its merges at once."""
-        whole = np.fromiter((self.merges is not None and _WHOLE(p) is not None for p in pieces), bool, len(pieces))
+        whole = np.fromiter((self.merges is not None and len(p) <= LONGEST and _WHOLE(p) is not None for p in pieces), bool, len(pieces))
         lengths = np.empty(len(pieces), np.int32)
         cell = b"\n".join(compress(pieces, whole.tolist()))
         written = _LETTERS[np.frombuffer(cell, np.uint8)].tobytes().decode("utf-16-le").split("\n") if cell else []

@@ -1,5 +1,7 @@
+import glob
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from snapgraph.operators.algorithms import deterministic_reservations
 from snapgraph.operators.ordered import OrderedMap
 from snapgraph.operators.tables import Counters, HashSet, HashTable
 from snapgraph.plans.queries_maps import QUERIES as MAPS
-from snapgraph.plans.queries_seq import QUERIES
+from snapgraph.plans.queries_seq import QUERIES, suffix_text
 
 
 def rows(df):
@@ -214,6 +216,41 @@ def test_suffix_array_moves_rows_of_many_places(spark, monkeypatch):
     assert T.suffix_array(chars.limit(0)).count() == 0
 
 
+def test_suffix_array_takes_whole_texts_and_wide_ranks(spark, tmp_path, monkeypatch):
+    """Texts reach their blocks in pieces: a row a character took an executor's memory in sorting them."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abé 中") for _ in range(rng.randrange(1, 150))) for _ in range(9)] + ["ab" * 200]
+    texts += texts[2:5]
+    pieces = suffix_text(spark, documents_at(spark, tmp_path, texts))
+    starts = [sum(map(len, texts[:k])) for k in range(len(texts))]
+    assert rows(pieces) == list(zip(starts, texts))
+    whole = "".join(texts)
+    order = sorted(range(len(whole)), key=lambda k: whole[k:].encode())
+    for name, value in (("SPAN", 64), ("KEYS", 40), ("DEALT", 100)):
+        monkeypatch.setattr(T, name, value)
+    for narrow in (T.NARROW, 1):
+        monkeypatch.setattr(T, "NARROW", narrow)
+        assert rows(T.suffix_array(pieces).select("rank", "idx")) == list(enumerate(order))
+
+
+def test_suffix_array_leaves_the_writer_few_rows(spark, monkeypatch):
+    """The writer held a hundred rows, of some megabytes each, before it looked at their size."""
+    monkeypatch.setattr(T, "SPAN", 64)
+    held = []
+
+    def looked(df, *most, stored=T.stored):
+        got, path = stored(df, *most)
+        files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
+        held.extend(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups))
+        return got, path
+
+    monkeypatch.setattr(T, "stored", looked)
+    word = "".join(random.Random(13).choice("abc") for _ in range(64 * 60))
+    chars = spark.createDataFrame(list(enumerate(word)), "idx long, val string")
+    assert T.suffix_array(chars).count() == len(word)
+    assert sum(held) >= 180 and max(held) <= 8
+
+
 def test_lcp_of_whole_documents_takes_few_rounds(spark, tmp_path, monkeypatch):
     rng = random.Random(9)
     long_one = "".join(rng.choice("aBé ") for _ in range(200))

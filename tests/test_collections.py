@@ -281,6 +281,24 @@ def test_lcp_moves_rows_of_many_places(spark, monkeypatch):
     assert T.lcp(chars.limit(0)).count() == 0
 
 
+def test_lcp_takes_whole_texts_and_wide_ranks(spark, tmp_path, monkeypatch):
+    """Texts reach their blocks in pieces: a row a character took an executor's memory in sorting them."""
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("abé 中") for _ in range(rng.randrange(1, 150))) for _ in range(9)] + ["ab" * 200]
+    texts += texts[2:5]
+    pieces = suffix_text(spark, documents_at(spark, tmp_path, texts))
+    assert pieces.count() == len(texts)
+    whole = "".join(texts)
+    order = sorted(range(len(whole)), key=lambda k: whole[k:].encode())
+    for name, value in (("SPAN", 64), ("KEYS", 40), ("NEAR", 2)):
+        monkeypatch.setattr(T, name, value)
+    shared = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+    want = [(r, shared(whole[order[r - 1] :], whole[order[r] :])) for r in range(1, len(whole))]
+    for narrow in (T.NARROW, 1):
+        monkeypatch.setattr(T, "NARROW", narrow)
+        assert rows(T.lcp(pieces)) == want
+
+
 def test_cartesian_tree_and_tokens(spark):
     got = rows(T.cartesian_tree(spark.createDataFrame([(1, k, v) for k, v in enumerate([3, 1, 2, 1, 5])], "g long, idx long, val long"), "g"))
     assert got == [(1, 0, 1), (1, 1, 1), (1, 2, 3), (1, 3, 1), (1, 4, 3)]
